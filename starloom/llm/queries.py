@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .digest import op2_fingerprints
 from .media import op4_media
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op4_media": op4_media,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .digest import op2_fingerprints
 from .media import op4_media
+from .packing import op3_packing
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_packing": op3_packing,
     "op4_media": op4_media,
 }
 ORACLE_SQL: dict[str, str] = {}

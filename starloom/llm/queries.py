@@ -5,10 +5,12 @@ from __future__ import annotations
 from .digest import op2_fingerprints
 from .media import op4_media
 from .packing import op3_packing
+from .pieces import op8_pieces
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op8_pieces": op8_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -6,11 +6,13 @@ from .digest import op2_fingerprints
 from .media import op4_media
 from .packing import op3_packing
 from .pieces import op8_pieces
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}

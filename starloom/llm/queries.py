@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .digest import op2_fingerprints
 from .media import op4_media
+from .neardup import op9_near_duplicates
 from .packing import op3_packing
 from .pieces import op8_pieces
 from .toxicity import op6_toxicity
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_media": op4_media,
     "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}

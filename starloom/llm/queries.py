@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .digest import op2_fingerprints
+from .linecrf import op5_quality
 from .media import op4_media
 from .neardup import op9_near_duplicates
 from .packing import op3_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
     "op9_near_duplicates": op9_near_duplicates,

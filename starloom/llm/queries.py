@@ -9,6 +9,8 @@ from .neardup import op9_near_duplicates
 from .packing import op3_packing
 from .pieces import op8_pieces
 from .toxicity import op6_toxicity
+from .urls import SQL as OP7_SQL
+from .urls import op7_urls
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
@@ -16,7 +18,10 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_urls": op7_urls,
     "op8_pieces": op8_pieces,
     "op9_near_duplicates": op9_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": OP7_SQL,
+}

@@ -8,6 +8,7 @@ from .media import op4_media
 from .neardup import op9_near_duplicates
 from .packing import op3_packing
 from .pieces import op8_pieces
+from .secrets import op10_secrets
 from .toxicity import op6_toxicity
 from .urls import SQL as OP7_SQL
 from .urls import op7_urls
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_urls": op7_urls,
     "op8_pieces": op8_pieces,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": OP7_SQL,

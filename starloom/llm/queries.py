@@ -8,12 +8,14 @@ from .media import op4_media
 from .neardup import op9_near_duplicates
 from .packing import op3_packing
 from .pieces import op8_pieces
+from .pii import op1_pii
 from .secrets import op10_secrets
 from .toxicity import op6_toxicity
 from .urls import SQL as OP7_SQL
 from .urls import op7_urls
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_media": op4_media,

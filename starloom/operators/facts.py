@@ -29,7 +29,7 @@ def values(claims: Column, prop: str) -> Column:
 def linked(claims: Column, prop: str) -> Column:
     """array<int>: the Q-numbers that a property's values name."""
     numbers = F.transform(values(claims, prop), lambda v: item_number(F.get_json_object(v, "$.id")))
-    return F.filter(numbers, lambda n: n.isNotNull())
+    return F.coalesce(F.filter(numbers, lambda n: n.isNotNull()), F.array().cast("array<int>"))
 
 
 def facts(entities: DataFrame, artists: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ def tagged(masters: DataFrame) -> DataFrame:
     """(artist, name, is_style): masters(artists array, genres array, styles array) by every credited artist and every
     tag; repeated ones count again. Masters without a tag go."""
     tags = F.concat(
-        F.transform(F.coalesce("genres", F.array().cast("array<string>")), lambda g: F.struct(g.alias("name"), F.lit(False).alias("is_style"))),
-        F.transform(F.coalesce("styles", F.array().cast("array<string>")), lambda g: F.struct(g.alias("name"), F.lit(True).alias("is_style"))),
+        F.transform(F.coalesce("genres", F.array().cast("array<string>")), lambda g: F.named_struct(F.lit("name"), g, F.lit("is_style"), F.lit(False))),
+        F.transform(F.coalesce("styles", F.array().cast("array<string>")), lambda g: F.named_struct(F.lit("name"), g, F.lit("is_style"), F.lit(True))),
     )
     rows = masters.where("size(genres) > 0 or size(styles) > 0").select(F.explode("artists").alias("artist"), tags.alias("tags"))
     return rows.select("artist", F.explode("tags").alias("t")).select("artist", "t.name", "t.is_style").where("name <> ''")

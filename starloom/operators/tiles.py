@@ -37,13 +37,13 @@ def bounds(stars: DataFrame) -> DataFrame:
 
 def tile_of(value: Column, least: Column, span: Column, level: Column) -> Column:
     """Column or row of a coordinate at a level, clamped to the level's tiles; single-precision steps."""
-    side = F.shiftleft(F.lit(1), level)
+    side = F.call_function("shiftleft", F.lit(1), level)
     at = F.floor((((value - least) / span).cast("float") * side.cast("float")).cast("float")).cast("int")
     return F.least(F.greatest(at, F.lit(0)), side - 1)
 
 
 def stars_at(level: Column, level0: int = LEVEL0_STARS) -> Column:
-    return F.lit(level0).cast("bigint") * F.shiftleft(F.lit(1).cast("bigint"), 2 * level)
+    return F.lit(level0).cast("bigint") * F.call_function("shiftleft", F.lit(1).cast("bigint"), 2 * level)
 
 
 def last_level(n: int, level0: int = LEVEL0_STARS, most: int = MAX_LEVEL) -> int:

@@ -75,7 +75,7 @@ def paragraphs(text: Column, least_bytes: int = 40) -> Column:
     """array<string>: lines joined up to a blank one, without lists, tables and headings; of more than `least_bytes`
     bytes and two words at least."""
     blocks = F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*(?:\n[ \t]*)+")
-    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^[*#:;|!=]"))
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^[*#:;|!=]"))
     return F.filter(F.transform(blocks, lambda b: F.array_join(lines(b), " ")), lambda p: (F.octet_length(p) > least_bytes) & F.contains(p, F.lit(" ")))
 
 

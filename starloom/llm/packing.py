@@ -18,8 +18,9 @@ SEQUENCE = 4096
 OPEN_BINS = 1024
 END_ID = 1
 TOKENS_PER_TASK = 1 << 24
-#: Chunks of text whose ids a Python worker remembers; beyond it the memory starts anew.
-MOST_REMEMBERED = 300_000
+#: Chunks of text whose ids a Python worker remembers; beyond it new ones are gathered, and those used again kept.
+MOST_REMEMBERED = 400_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -37,7 +38,7 @@ class ChunkTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
+        self._tokenizer, self._known, self._before = Tokenizer.from_file(path), {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -45,13 +46,20 @@ class ChunkTokens:
         # only Python's lower() looks at what stands around a capital sigma.
         texts = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
         chunks = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
+        new = {c for doc in chunks for c in doc}.difference(self._known)
+        if len(self._known) + len(new) > MOST_REMEMBERED:
+            self._before, self._known = self._known, {}
+            new = {c for doc in chunks for c in doc}
         known = self._known
-        new = list({c for doc in chunks for c in doc}.difference(known))
-        if len(known) + len(new) > MOST_REMEMBERED:
-            known.clear()
-            new = list({c for doc in chunks for c in doc})
-        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
+        known |= {c: self._before[c] for c in new & self._before.keys()}
+        # Letters and the ASCII marks after them are tokenised apart
+        cut = {c: stem for c in new.difference(known) if (stem := c.rstrip(_MARKS)) != c and stem.isalpha()}
+        tails = {c[len(stem) :] for c, stem in cut.items()}
+        alone = list((new.difference(cut) | set(cut.values()) | tails).difference(known))
+        for c, e in zip(alone, self._tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
             known[c] = array("I", e.ids).tobytes()
+        for c, stem in cut.items():
+            known[c] = known[stem] + known[c[len(stem) :]]
         return [b"".join(map(known.__getitem__, doc)) for doc in chunks]
 
 

@@ -1,0 +1,236 @@
+"""The operators on small tables: edge cases, held-out labels, planted cases and brute force."""
+
+import hashlib
+
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from conftest import SF, SF_LARGE
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from starloom.llm import common, digest, linecrf, media, neardup, packing, pieces, pii, queries, secrets, toxicity, urls
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, id string, bin int, bands int, secrets string"
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog and runs away from it all day long.", "en", "s"),
+    (1, "The quick brown fox jumps over the lazy dog and runs away from it all day long.", "en", "s"),
+    (2, None, None, None),
+    (3, "", "en", None),
+    (4, "word " * 40_000, "en", "s"),
+    (5, "The quick brown fox jumps over the lazy dog and runs away from it all day long.", None, "s"),
+    (None, "a text without an id, at 10.0.0.1 and password=353d1714f142020edb", "en", "s"),
+    (7, "🎉 é \n\n\t mixed Ünïcode 1.2.3.4 +1 (743) 555-3824", "fr", "t"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, lang, s, len(t or ""), 0.5, "x", 1, 2, "y") for i, t, lang, s in ROWS]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 0, 1), (None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def runs(odd, labels):
+    """Each operator as a function of documents."""
+    return {
+        "pii": lambda d: pii.spans(d, pii.train([t for _, t, *_ in ROWS if t and len(t) < 1000], steps=5)),
+        "digest": digest.fingerprints,
+        "packing": packing.packed,
+        "media": media.media_rows,
+        "quality": lambda d: linecrf.scored(d, linecrf.trained(d, labels)),
+        "toxicity": lambda d: toxicity.scored(d, toxicity.trained(d, labels)),
+        "pieces": pieces.coded,
+        "ids": pieces.encoded,
+        "near": neardup.classes,
+        "secrets": lambda d: secrets.found(d, secrets.train(secrets.decoys(d.sparkSession), ["the", "of"])),
+    }
+
+
+@pytest.mark.parametrize("name", ["pii", "digest", "packing", "media", "quality", "toxicity", "pieces", "ids", "near", "secrets"])
+def test_odd_rows(runs, odd, name):
+    got = runs[name](odd).collect()
+    ids = [r.doc_id for r in got]
+    if name == "packing":
+        assert len(got) == len(ROWS) + ids.count(4) - 1
+    else:
+        assert sorted(map(str, ids)) == sorted(str(r[0]) for r in ROWS)
+    assert runs[name](odd.where("false")).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(odd):
+    got = {r.doc_id: (r.class_id, r.n_copies) for r in neardup.classes(odd).collect()}
+    assert got == {1: (1, 3), 5: (1, 3), 2: (2, 2), 3: (2, 2), 4: (4, 1), 7: (7, 1), None: (None, None)}
+    kept = neardup.deduplicated(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "7", "None"]
+
+
+def words(text):
+    return [w for w in re.split(r"[\x00-\x20]+", text.lower()) if w]
+
+
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # A chain of edits whose ends differ, and a large group of near copies that don't all resemble its first
+    base = [f"w{k}" for k in range(60)]
+    for k in range(30):
+        edited = list(base)
+        edited[k * 2] = f"x{k}"
+        rows.append((10_000 + k, " ".join(edited)))
+    sets = [shingle_set(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i][1] == rows[j][1] or (both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_fingerprints_follow_descending_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    old, digest.followed.__defaults__ = digest.followed.__defaults__, (20, 10_000)
+    try:
+        got = {r.doc_id: r for r in digest.fingerprints(docs).collect()}
+    finally:
+        digest.followed.__defaults__ = old
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)]
+        edited = text[: len(text) - len(text) // 2] + after[1][: len(text) // 2]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        parse = lambda h: np.frombuffer(bytes.fromhex(h), np.uint8).reshape(-1, 256)
+        assert got[i].near_next == pytest.approx(digest.likeness(parse(got[i].fingerprint), parse(got[after[0]].fingerprint)))
+        assert got[i].near_edited == pytest.approx(digest.likeness(parse(got[i].fingerprint), parse(got[i].edited_fingerprint)))
+
+
+def test_packing_places_every_piece(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.packed(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    for r in rows:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and zlib.crc32(np.array(own, "<u4").tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    for n in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == n), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len({r.sequence_id for r in rows}) <= 1.05 * sum(r.length for r in rows) / 4096 + 1
+
+
+def held_out(rows, label, threshold, spark):
+    marks = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF_LARGE}/labels.parquet").collect()}
+    pairs = [(r.score, marks[r.doc_id]) for r in rows if r.doc_id in marks and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(pairs) > 30
+    return sum((s >= threshold) == bool(y) for s, y in pairs) / len(pairs)
+
+
+def test_quality_on_held_out_labels(spark):
+    rows = linecrf.op5_quality(spark, SF_LARGE).collect()
+    assert held_out(rows, "quality", linecrf.THRESHOLD, spark) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    rows = toxicity.op6_toxicity(spark, SF_LARGE).collect()
+    assert held_out(rows, "toxic", toxicity.THRESHOLD, spark) > 0.85
+    docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    machine = toxicity.trained(docs, spark.read.parquet(f"{SF_LARGE}/labels.parquet"))
+    plain, marked, fine = machine.score(["it is an idiot in this", "it is an i.d.i.o.t in this", "it is an apple in this"])
+    assert plain > 0.5 and marked > 0.5 and fine < 0.5
+
+
+def test_urls_against_sql(spark):
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_LARGE}/{name}.parquet'")
+    want = sorted(map(str, con.execute(f"SELECT page_id, host, path, \"rule\", verdict, bad_bound FROM ({urls.SQL})").fetchall()))
+    got = urls.op7_urls(spark, SF_LARGE).select("page_id", "host", "path", "rule", "verdict", "bad_bound").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_odd_urls(spark):
+    links = ["http://A.Net/x", "https://sub.example.net/en/1", "https://example.net.evil.org/fr/", "nothing", None, "http://net", "http://x.org?q=/fr/", "http://É.COM/de/", "http://example.com/de/5#a"]
+    pages = spark.createDataFrame(list(enumerate(links)), "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("share", F.lit(1))
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages, none).collect()}
+    assert got == {
+        0: ("a.net", "/x", "net/", "block"), 1: ("sub.example.net", "/en/1", "example.net/en/", "allow"), 2: ("example.net.evil.org", "/fr/", "org/fr/", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"),
+        5: ("net", "", None, "allow"), 6: ("x.org", "", None, "allow"), 7: ("É.com", "/de/", None, "allow"), 8: ("example.com", "/de/5", "example.com/de/", "block"),
+    }
+
+
+def test_bad_hosts_are_blocked(spark):
+    pages = spark.createDataFrame([(i, f"http://bad.example.com/en/{i}") for i in range(60)] + [(100 + i, f"http://good.example.com/en/{100 + i}") for i in range(60)], "page_id bigint, url string")
+    marks = spark.createDataFrame([(i, 0, 0) for i in range(50)] + [(100 + i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    got = {(r.host, r.verdict) for r in urls.judged(pages, marks).collect()}
+    assert got == {("bad.example.com", "block"), ("good.example.com", "allow")}
+
+
+SECRET = re.compile(r'AKIA[A-Z0-9]{16}|token = "[0-9a-f]{16,}"|password=[0-9a-f]{12,}')
+
+
+def test_secrets(spark):
+    docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    rows = secrets.found(docs, secrets.trained(docs)).withColumn("clean", secrets.redacted(F.col("text"), F.col("secrets"))).collect()
+    for r in rows:
+        for s in r.secrets:
+            assert r.text[s.start : s.end] == s.value
+        assert bool(SECRET.search(r.text)) <= bool(r.secrets) and not SECRET.search(r.clean)
+    extra = [s.value for r in rows for s in r.secrets if not SECRET.search(r.text)]
+    assert len(extra) <= 2
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = {r.doc_id: r.text for r in docs.collect()}
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = common.stage(step(spark, docs, SF), name)
+        assert docs.columns == columns and docs.schema["doc_id"].dataType == before.schema["doc_id"].dataType
+        assert 0 < docs.count() <= before.count()
+        if name == "near_duplicates":
+            kept = {r.class_id for r in neardup.classes(before).collect()}
+            assert kept == {r.doc_id for r in docs.collect()}
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert all(not SECRET.search(t) for t in left.values())
+    assert all(t == first[i] for i, t in left.items() if not SECRET.search(first[i]) and "[SECRET]" not in t)
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, SF).collect()} == left.keys()
+
+
+def test_all_ten_are_registered():
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))

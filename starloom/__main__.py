@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="starloom")
     sub = top.add_subparsers(dest="job", required=True)
     source = sub.add_parser("import")
-    source.add_argument("source", choices=["backbone", "similarity", "genres", "facts"])
+    source.add_argument("source", choices=["backbone", "similarity", "genres", "facts", "prose"])
     source.add_argument("--dump", required=True)
     source.add_argument("--dump-version", default="latest")
     source.add_argument("--min-score", type=float, default=0.0)
@@ -49,6 +49,7 @@ def main(argv: list[str] | None = None) -> None:
             "similarity": lambda: jobs.import_similarity(canon, args.dump, args.dump_version, args.min_score),
             "genres": lambda: jobs.import_genres(canon, args.dump, args.dump_version, args.labels, args.artists),
             "facts": lambda: jobs.import_facts(canon, args.dump, args.dump_version),
+            "prose": lambda: jobs.import_prose(canon, args.dump, args.dump_version),
         }
         print(json.dumps({"rows": run[args.source]()}))
     elif args.job == "layout":

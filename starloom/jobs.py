@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import parsing
-from .operators import backbone, facts, genres, layout, serve, similarity, slicing, tiles
+from .operators import backbone, facts, genres, layout, prose, serve, similarity, slicing, tiles
 from .schema import TABLES
 from .sources import dumps
 from .staging import stage
@@ -90,6 +90,16 @@ def import_facts(canon: Canon, path: str, version: str = "latest") -> int:
     return canon.replace({n: typed(df, n) for n, df in tables.items()}, "facts", version)
 
 
+def import_prose(canon: Canon, path: str, version: str) -> int:
+    """Page records of an encyclopedia dump; concatenated bzip2 streams are split and read in parallel."""
+    require(canon, "artist_wikidata", "facts")
+    found = dumps.pages(dumps.xml_records(canon.spark, path, "page", dumps.PAGE))
+    rows = stage(typed(prose.prose(found, canon.read("artist_wikidata"), version), "artist_prose"), "prose")
+    if rows.isEmpty():
+        raise ValueError("no wanted page in this dump")
+    return canon.replace({"artist_prose": rows}, "prose", version)
+
+
 def make_layout(canon: Canon, metric: str | None = None, iterations: int = layout.ITERATIONS, seed: int = layout.SEED, least: float = 0.0) -> str:
     """Lay one metric's graph out and store its positions under a key; the same key replaces the same layout."""
     metrics = canon.read("similarity_metric").orderBy("id").limit(100).collect()

@@ -33,6 +33,7 @@ COPY_COLUMNS: dict[str, list[tuple[str, int, str]]] = {
 MASTER = "artists struct<artist:array<struct<id:string>>>, genres struct<genre:array<string>>, styles struct<style:array<string>>"
 LABEL = "id string, name string, profile string, parentLabel struct<_VALUE:string,_id:string>"
 ARTIST = "id string"
+PAGE = "title string, revision struct<id:bigint,text:struct<_VALUE:string>>"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -83,6 +84,11 @@ def labels(rows: DataFrame) -> DataFrame:
     return rows.select(whole_number(F.trim("id")).alias("id"), F.trim("name").alias("name"), F.trim("profile").alias("profile"), whole_number(F.col("parentLabel._id")).alias("parent_id"))
 
 
+def pages(rows: DataFrame) -> DataFrame:
+    """(title, revision_id, text) of page records; the XML source has undone the dump's own escapes."""
+    return rows.select("title", F.col("revision.id").alias("revision_id"), F.col("revision.text._VALUE").alias("text")).where("title is not null and text is not null")
+
+
 def index(rows: DataFrame) -> DataFrame:
     """(offset, page_id, title) of index lines; a title may hold colons."""
     parts = F.split("value", ":", 3)

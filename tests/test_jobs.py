@@ -25,7 +25,10 @@ def canon(spark, tmp_path_factory):
         (folder / name).write_text("\n".join(lines) + "\n")
     (folder / "relations.json").write_text('{"id_0":10,"id_1":20,"score":0.9}\n{"id_0":20,"id_1":30,"score":0.5}\nbroken\n{"id_0":30,"id_1":40,"score":0.4}\n')
     (folder / "masters.xml").write_text("<masters><master><artists><artist><id>77</id></artist></artists><genres><genre>Rock</genre></genres></master></masters>")
-    (folder / "facts.json").write_text('[\n{"id":"Q1","labels":{"en":{"value":"One"}},"claims":{"P434":[{"mainsnak":{"datavalue":{"value":"%s"}}}]}},\n]\n' % MBID.format(1))
+    (folder / "facts.json").write_text('[\n{"id":"Q1","labels":{"en":{"value":"One"}},"claims":{"P434":[{"mainsnak":{"datavalue":{"value":"%s"}}}]},"sitelinks":{"enwiki":{"title":"One (band) & co"}}},\n]\n' % MBID.format(1))
+    page = "<page><title>{}</title><ns>0</ns><id>7</id><revision><id>12345</id><text bytes='9' xml:space='preserve'>{}</text></revision></page>"
+    text = "'''One''' are a band from [[Land]] with a very long history of records.&lt;ref&gt;x&lt;/ref&gt;"
+    (folder / "pages.xml").write_text("<mediawiki>" + page.format("One (band) &amp; co", text) + page.format("One", "other") + "</mediawiki>")
     canon = Canon(spark, str(tmp_path_factory.mktemp("canon")))
     with pytest.raises(ValueError):
         jobs.import_similarity(canon, str(folder / "relations.json"), "1")
@@ -33,6 +36,7 @@ def canon(spark, tmp_path_factory):
     jobs.import_similarity(canon, str(folder / "relations.json"), "1")
     jobs.import_genres(canon, str(folder / "masters.xml"), "1")
     jobs.import_facts(canon, str(folder / "facts.json"))
+    jobs.import_prose(canon, str(folder / "pages.xml"), "1")
     jobs.make_layout(canon, iterations=3)
     return canon
 
@@ -43,6 +47,9 @@ def test_imports(canon):
     assert canon.read("artist_prominence").where("artist_id = 2").first().degree == 2
     assert [tuple(r) for r in canon.read("artist_genre").collect()] == [(1, 1, 1)]
     assert canon.read("artist_wikidata").first().qid == 1
+    prose = canon.read("artist_prose").first()
+    assert prose.extract == "One are a band from Land with a very long history of records." and prose.revision_id == 12345
+    assert prose.source_url.endswith("/One_(band)_&_co") and prose.extract_chars < prose.source_chars
 
 
 def test_card_and_search(canon):

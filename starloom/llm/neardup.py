@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
@@ -105,9 +105,8 @@ def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame
     return docs.select("id", "text").mapInArrow(sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose exact shingle-set Jaccard similarity is `least` or more. Only the candidates' shingle hashes
-    are made and moved, each text's once."""
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, own array<bigint>): the sorted shingle hashes of the wanted ids' texts, made once for all comparisons."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
@@ -115,6 +114,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["id", "own"])
 
+    one = texts.join(wanted, "id", "left_semi").select("id", "text").groupBy("id").agg(F.min("text").alias("text"))
+    return one.mapInArrow(hashes, "id bigint, own array<bigint>")
+
+
+def _similar(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose exact shingle-set Jaccard similarity is `least` or more; own: shingle_sets()."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
@@ -125,9 +131,6 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     keep[i] = both >= least * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = texts.join(wanted, "id", "left_semi").select("id", "text").groupBy("id").agg(F.min("text").alias("text"))
-    own = stage(one.mapInArrow(hashes, "id bigint, own array<bigint>"), "shingles")
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
@@ -149,33 +152,42 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
-def _likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs whose short sketches don't rule them out."""
-    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("q")), "b")
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return both.where(apart <= int((1 - LEAST_ESTIMATE) / 2 * SKETCH_BITS)).select("a", "b")
+def _apart(a: list[str], b: list[str]) -> Column:
+    """Bits in which two short sketches differ."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def _sketch(made: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name0, name1, ...): the words of the short sketches."""
+    return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_BITS // 64)))
 
 
 def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(verified links, classes) between distinct texts: `made` has their sketches, `texts` at least their (id, text)."""
+    """(verified links, classes) between distinct texts: `made` has their sketches, `texts` at least their (id, text).
+    Pairs whose short sketches rule them out are never made: that test is part of the joins' conditions."""
     made = made.where(F.col("bands").isNotNull())
+    p, q = ([f"{x}{k}" for k in range(SKETCH_BITS // 64)] for x in "pq")
+    likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) / 2 * SKETCH_BITS)
     entry = made.select("id", F.explode("bands").alias("bucket"))
     heads = entry.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stage(entry.join(heads.select("bucket", "head"), "bucket"), "buckets")
+    own = stage(shingle_sets(texts, buckets.select("id").distinct()), "shingles")
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = stage(_similar(stage(_likely(star, made), "pairs"), texts, least), "links")
+    star = star.join(_sketch(made, "a", "p"), "a").join(_sketch(made, "b", "q"), "b").where(likely).select("a", "b")
+    first = stage(_similar(star, own, least), "links")
     classes = stage(components(made, first), "classes")
     # What a bucket still holds in more than one class: its rest against all that is there, in other classes
     head_class = classes.select(F.col("id").alias("head"), F.col("class").alias("head_class"))
-    known = buckets.join(classes, "id").join(head_class, "head").select("bucket", "id", "class", "head_class")
+    known = stage(buckets.join(classes, "id").join(head_class, "head").select("bucket", "id", "class", "head_class"), "known")
     rest = known.where(F.col("class") != F.col("head_class")).select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"))
-    other = known.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), (F.col("class") == F.col("head_class")).alias("main"))
-    crossed = rest.join(other, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))))
-    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = stage(_likely(crossed.join(star, ["a", "b"], "left_anti"), made), "pairs")
-    if crossed.isEmpty():
+    other = known.join(rest.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), (F.col("class") == F.col("head_class")).alias("main"))
+    rest, other = rest.join(_sketch(made, "a", "p"), "a"), other.join(_sketch(made, "b", "q"), "b")
+    meet = (rest["bucket"] == other["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & likely
+    crossed = rest.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = stage(_similar(crossed.join(first, ["a", "b"], "left_anti"), own, least), "links")
+    if second.isEmpty():
         return first, classes
-    found = first.unionByName(stage(_similar(crossed, texts, least), "links"))
+    found = first.unionByName(second)
     return found, components(made, found)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 #: The rules of this query: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -67,7 +67,7 @@ def _level(counts: DataFrame, keys: list[str], prior: Column, name: str) -> Data
     weight = F.when((F.col("whole") > F.col("chance")) & (rho > 0), F.least(F.greatest(1 / rho - 1, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))).otherwise(MOST_WEIGHT)
     posterior = by.join(F.broadcast(fit.select(weight.alias("w"))))
     posterior = posterior.select(*keys, ((F.col("k") + F.col("w") * F.col("p")) / (F.col("m") + F.col("w"))).alias(name), (F.col("m") + F.col("w")).alias(f"{name}_weight"))
-    return counts.join(posterior, keys)
+    return stage(counts.join(posterior, keys), name)
 
 
 def domains(host: Column) -> tuple[Column, Column]:
@@ -76,11 +76,12 @@ def domains(host: Column) -> tuple[Column, Column]:
 
 
 def reputation(seen: DataFrame) -> DataFrame:
-    """Rows (host, domain, suffix, pages, bad, share, bound) of hosts with labelled pages."""
+    """Rows of hosts with labelled pages: posterior means and weights by suffix, domain and host, and the host's bound.
+    The table is small beside the pages, and each level reads it twice, so it is written out level by level."""
     domain, suffix = domains(F.col("host"))
     counts = seen.select("host", domain.alias("domain"), suffix.alias("suffix"), F.col("pages").cast("double").alias("pages"), F.col("bad").cast("double").alias("bad"))
     whole = counts.agg(((F.sum("bad") + 1) / (F.sum("pages") + 2)).alias("all"))
-    counts = counts.join(F.broadcast(whole))
+    counts = stage(counts.join(F.broadcast(whole)), "hosts")
     counts = _level(counts, ["suffix"], F.col("all"), "by_suffix")
     counts = _level(counts, ["domain", "suffix"], F.col("by_suffix"), "by_domain")
     counts = _level(counts, ["host", "domain", "suffix"], F.col("by_domain"), "share")

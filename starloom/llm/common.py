@@ -1,15 +1,15 @@
-"""Helpers that the corpus operators share: inputs, staging, bounded batches and labelled samples."""
+"""Helpers that the corpus operators share: inputs, bounded batches and labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage as stage
+
 #: Rows that Spark hands to Python at once; texts are whole, so this bounds a worker's memory.
 ROWS_PER_BATCH = 512
 
@@ -23,23 +23,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="starloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/starloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: F.Column) -> F.Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -28,10 +28,10 @@ from .common import bounded_batches, in_parts, stage, table, texts_of
 SHINGLE = 5
 ROWS, BANDS = 9, 48
 LEAST = 0.8
-#: Registers whose low bit makes the short sketch, and the least estimate from it that goes on to verification: more
-#: than four deviations below 0.8.
-SKETCH_BITS = 256
-LEAST_ESTIMATE = 0.62
+#: Words of the short sketch, which has a bit of each register, and the least estimate from it that goes on to
+#: verification: 3.4 deviations below 0.8.
+SKETCH_WORDS = -(-ROWS * BANDS // 64)
+LEAST_ESTIMATE = 0.70
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +94,8 @@ def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame
             for r in range(rows):
                 band = bytehash.mix(band * np.uint64(31) + got[:, r::rows])
             band = bytehash.mix(band + np.arange(bands, dtype=np.uint64))
-            bits = np.packbits((bytehash.mix(got[:, :SKETCH_BITS]) & np.uint64(1)).astype(np.uint8), axis=1)
+            low = (bytehash.mix(got) & np.uint64(1)).astype(np.uint8)
+            bits = np.packbits(np.pad(low, ((0, 0), (0, -low.shape[1] % 64))), axis=1)
             empty = pa.array(~got.any(1))
             lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (band, bits)]
             raw = [t.encode("utf-8", "surrogatepass") for t in whole]
@@ -159,21 +160,22 @@ def _apart(a: list[str], b: list[str]) -> Column:
 
 def _sketch(made: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name0, name1, ...): the words of the short sketches."""
-    return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_BITS // 64)))
+    return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)))
 
 
 def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(verified links, classes) between distinct texts: `made` has their sketches, `texts` at least their (id, text).
     Pairs whose short sketches rule them out are never made: that test is part of the joins' conditions."""
     made = made.where(F.col("bands").isNotNull())
-    p, q = ([f"{x}{k}" for k in range(SKETCH_BITS // 64)] for x in "pq")
-    likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) / 2 * SKETCH_BITS)
+    p, q = ([f"{x}{k}" for k in range(SKETCH_WORDS)] for x in "pq")
+    likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) / 2 * ROWS * BANDS)
     entry = made.select("id", F.explode("bands").alias("bucket"))
     heads = entry.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stage(entry.join(heads.select("bucket", "head"), "bucket"), "buckets")
     own = stage(shingle_sets(texts, buckets.select("id").distinct()), "shingles")
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(_sketch(made, "a", "p"), "a").join(_sketch(made, "b", "q"), "b").where(likely).select("a", "b")
+    other = _sketch(made, "b", "q")
+    star = star.join(_sketch(made, "a", "p"), "a").join(other, (star["b"] == other["b"]) & likely).select("a", star["b"])
     first = stage(_similar(star, own, least), "links")
     classes = stage(components(made, first), "classes")
     # What a bucket still holds in more than one class: its rest against all that is there, in other classes

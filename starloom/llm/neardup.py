@@ -170,8 +170,10 @@ def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[Data
     p, q = ([f"{x}{k}" for k in range(SKETCH_WORDS)] for x in "pq")
     likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) / 2 * ROWS * BANDS)
     entry = made.select("id", F.explode("bands").alias("bucket"))
+    # Aggregates are written out before they are joined back: both sides are then shuffled for the join, and Spark can
+    # split a bucket or a group of copies that holds very many rows
     heads = entry.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stage(entry.join(heads.select("bucket", "head"), "bucket"), "buckets")
+    buckets = stage(entry.join(stage(heads.select("bucket", "head"), "heads"), "bucket"), "buckets")
     own = stage(shingle_sets(texts, buckets.select("id").distinct()), "shingles")
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     other = _sketch(made, "b", "q")
@@ -204,13 +206,13 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     made = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
     key = ["h", "c", "n"]
-    groups = made.groupBy(*key).agg(F.min("id").alias("group"), F.count(F.lit(1)).alias("n_copies"))
+    groups = stage(made.groupBy(*key).agg(F.min("id").alias("group"), F.count(F.lit(1)).alias("n_copies")), "groups")
     named = stage(made.select("id", *key).join(groups, key).select(F.col("id").alias("doc_id"), "group", "n_copies"), "rows")
     chosen = named.where("doc_id = group").select(F.col("doc_id").alias("id")).distinct()
     found, label = links(made.join(chosen, "id", "left_semi").dropDuplicates(["id"]), rows, least)
     degree = found.select(F.explode(F.array("a", "b")).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n_links"))
     group = label.select(F.col("id").alias("group"), "class").join(degree, "group", "left")
-    out = named.join(group, "group", "left").select("doc_id", F.coalesce("class", "group").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = named.join(stage(group, "group-classes"), "group", "left").select("doc_id", F.coalesce("class", "group").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     nameless = docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("bigint").alias(c) for c in out.columns))
     return out.unionByName(nameless)
 

@@ -110,7 +110,8 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     by_domain = known.groupBy("domain").agg(F.first(bound("by_domain", "by_domain_weight")).alias("b2"))
     by_suffix = known.groupBy("suffix").agg(F.first(bound("by_suffix", "by_suffix_weight")).alias("b3"))
     hosts = hosts.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
-    hosts = hosts.select("host", F.round(F.coalesce("b1", "b2", "b3"), 9).alias("bad_bound"))
+    # Written out, so that both sides of the join are shuffled for it and a host with very many pages can be split
+    hosts = stage(hosts.select("host", F.round(F.coalesce("b1", "b2", "b3"), 9).alias("bad_bound")), "bounds")
     out = rows.join(hosts, "host", "left").withColumns({"rule": rule, "stated": verdict})
     verdict = F.coalesce("stated", F.when(F.col("bad_bound") > LIMIT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_bound")

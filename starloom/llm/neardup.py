@@ -137,20 +137,19 @@ def _similar(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class): the least id that links lead to. Each round every node takes the least label around it and then
-    its label's own label, so that rounds grow with the logarithm of the longest chain."""
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    state = stage(both.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("class")), "classes")
-    while True:
-        around = both.join(state.select(F.col("id").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("near"))
-        near = state.join(around, state["id"] == around["a"], "left").select("id", "class", F.least("class", F.coalesce("near", "class")).alias("to"))
-        jump = near.select(F.col("id").alias("at"), F.col("to").alias("beyond"))
-        moved = near.join(jump, near["to"] == jump["at"], "left").select("id", F.least("to", F.coalesce("beyond", "to")).alias("class"), F.col("class").alias("was"))
-        moved = stage(moved, "classes")
-        state = moved.select("id", "class")
-        if moved.where("class <> was").isEmpty():
-            break
-    return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+    """(id, class): the least id that links lead to. Each round every node takes the least node beside it, that one's
+    own choice is followed once, and the links are drawn anew between what is left; those inside a class go, so that
+    rounds shrink quickly."""
+    edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    state = nodes.select("id", F.col("id").alias("class"))
+    while not edges.isEmpty():
+        hop = edges.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("to"))
+        beyond = hop.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        step = stage(hop.join(beyond, "to", "left").select("id", F.coalesce("beyond", "to").alias("to")), "step")
+        state = stage(state.join(step.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("to", "class").alias("class")), "classes")
+        ends = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        edges = stage(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    return state
 
 
 def _apart(a: list[str], b: list[str]) -> Column:
@@ -191,8 +190,11 @@ def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[Data
     second = stage(_similar(crossed.join(first, ["a", "b"], "left_anti"), own, least), "links")
     if second.isEmpty():
         return first, classes
-    found = first.unionByName(second)
-    return found, components(made, found)
+    # What is new joins whole classes
+    of = lambda key, out: classes.select(F.col("id").alias(key), F.col("class").alias(out))
+    between = second.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above = components(classes.select(F.col("class").alias("id")).distinct(), between).select(F.col("id").alias("class"), F.col("class").alias("top"))
+    return first.unionByName(second), classes.join(above, "class").select("id", F.col("top").alias("class"))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -163,9 +163,12 @@ def train(texts: list[str], steps: int = STEPS) -> Tagger:
 
 
 def trained(docs: DataFrame, most: int = SAMPLE_TEXTS) -> Tagger:
-    """A tagger from at most `most` texts that hold a digit or an at-sign, chosen by a hash."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    return train([r.text for r in some.orderBy("h", "text").limit(most).collect()])
+    """A tagger from at most `most` texts that hold a digit or an at-sign, chosen by a hash. The choice is made among
+    hashes; only chosen texts reach the driver."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
+    chosen = some.select("h").distinct().orderBy("h").limit(most)
+    texts = some.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    return train([r.text for r in texts.orderBy("h").collect()])
 
 
 def best_set(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:

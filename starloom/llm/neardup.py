@@ -5,7 +5,9 @@ whose rate is its weight; an arrival falls on a random register, and a register
 Two texts agree on a register with the probability Jaccard similarity of their weighted shingles. Shingles whose next
 arrival is later than all registers' first ones are done, which ends the work early.
 
-Texts that agree in a band of registers are candidates; the exact Jaccard similarity of their shingle sets decides.
+The exact Jaccard similarity of two shingle sets, which knows no weights, decides. So registers are made a second time
+with all weights 1, where texts agree with just that probability. Texts that agree in a band of either are candidates;
+only the registers of weight 1 may rule a candidate out. Shingles that occur once have the same arrivals in both.
 Equal texts are one from the start. In a band's bucket every text is first compared with the bucket's least; only
 texts that aren't yet in its class are then compared with all others there, so a bucket of n near copies costs n.
 """
@@ -60,9 +62,17 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """(n, registers) elements that arrive first. owner: which of n sets an element is in; 0 marks an empty set."""
-    times = np.full(n * registers, np.inf)
-    winner = np.zeros(n * registers, np.uint64)
+    """(n, registers) elements that arrive first. owner: which of n sets an element is in, in order; 0 marks an empty set."""
+    times, winner = np.full((n, registers), np.inf), np.zeros((n, registers), np.uint64)
+    _arrive(owner, element, weight, times, winner)
+    return winner
+
+
+def _arrive(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, times: np.ndarray, winner: np.ndarray) -> None:
+    """Let elements arrive at registers (n, registers), which hold first arrivals so far and what they brought."""
+    n, registers = times.shape
+    times, winner = times.reshape(-1), winner.reshape(-1)
+    latest = np.empty(n)
     at, base, rate, who = np.zeros(len(owner)), element, weight.astype(np.float64), owner
     step = 0
     while len(who):
@@ -75,30 +85,51 @@ def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
         np.minimum.at(times, s, t)
         won = times[s] == t
         winner[s[won]] = e[won]
-        latest = times.reshape(n, registers).max(1)
+        open_sets = who[np.concatenate([[True], who[1:] != who[:-1]])]
+        latest[open_sets] = times.reshape(n, registers)[open_sets].max(1)
         open_ = at < latest[who]
         at, base, rate, who = at[open_], base[open_], rate[open_], who[open_]
-    return winner.reshape(n, registers)
+
+
+def both_minhashes(owner: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """probminhash() of weights 1 + ln(count), and of weights 1. Elements that occur once arrive for both together."""
+    times, winner = np.full((n, registers), np.inf), np.zeros((n, registers), np.uint64)
+    once = count == 1
+    _arrive(owner[once], element[once], count[once], times, winner)
+    sets, number = np.unique(owner[~once], return_inverse=True)
+    out = []
+    for weight in (1 + np.log(count[~once]), np.ones(len(number))):
+        t, w = times[sets], winner[sets]
+        _arrive(number, element[~once], weight, t, w)
+        whole = winner.copy()
+        whole[sets] = w
+        out.append(whole)
+    return out[0], out[1]
+
+
+def _bands(got: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(n, bands) hashes of bands of registers."""
+    band = np.full((len(got), bands), np.uint64(7))
+    for r in range(rows):
+        band = bytehash.mix(band * np.uint64(31) + got[:, r::rows])
+    return bytehash.mix(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, h, c, n, bands, bits) of each row (id, text): the text's hash, checksum and bytes, the hashes of its bands
-    and a short sketch; both lists are null where the text has no word."""
+    (those of both weightings, equal ones once) and a short sketch of the registers of weight 1; both lists are null where the text has no word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, most_bytes=1_000_000):
             whole = texts_of(part)
             owner, element, count = shingles(whole)
-            got = probminhash(owner, element, 1 + np.log(count), len(whole), rows * bands)
-            band = np.full((len(whole), bands), np.uint64(7))
-            for r in range(rows):
-                band = bytehash.mix(band * np.uint64(31) + got[:, r::rows])
-            band = bytehash.mix(band + np.arange(bands, dtype=np.uint64))
+            weighted, got = both_minhashes(owner, element, count, len(whole), rows * bands)
+            band = [x if (x == y).all() else np.union1d(x, y) for x, y in zip(_bands(weighted, rows, bands), _bands(got, rows, bands), strict=True)]
             low = (bytehash.mix(got) & np.uint64(15)).astype(np.uint8)
             low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
             bits = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2])
             empty = pa.array(~got.any(1))
-            lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (band, bits)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (band, list(bits.view(np.int64)))]
             raw = [t.encode("utf-8", "surrogatepass") for t in whole]
             key = [pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(r) for r in raw], pa.int64())]
             yield pa.RecordBatch.from_arrays([part.column("id"), *key, *(pc.if_else(empty, None, x) for x in lists)], ["id", "h", "c", "n", "bands", "bits"])

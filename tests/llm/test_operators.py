@@ -112,6 +112,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {d: least[find(i)] for i, (d, _) in enumerate(rows)}
 
 
+def test_near_duplicates_with_blocks_repeated_in_one_text(spark):
+    rows, want = [], {}
+    for k in range(24):
+        base = [f"t{k}w{j}" for j in range(304)]
+        block = [f"t{k}b{j}" for j in range(28 + 2 * k)]
+        pair = [" ".join(base), " ".join(base + block * 20)]
+        a, b = map(shingle_set, pair)
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        likeness = len(a & b) / len(a | b)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (likeness < 0.8)}
+    assert 0 < sum(i != c for i, c in want.items()) < 24
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_fingerprints_follow_descending_ids(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)

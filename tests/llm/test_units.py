@@ -226,6 +226,15 @@ def test_probminhash_estimates_probability_jaccard():
     assert not got[2].any()
 
 
+def test_both_minhashes_equal_separate_ones():
+    texts = ["a b c d e f", " ".join("pqrs" * 30), "", " ".join(f"w{k % 40}" for k in range(300)) + " " + " ".join(f"v{k}" for k in range(200)), "x"]
+    owner, element, count = neardup.shingles(texts)
+    weighted, unit = neardup.both_minhashes(owner, element, count, len(texts), 432)
+    assert (weighted == neardup.probminhash(owner, element, 1 + np.log(count), len(texts), 432)).all()
+    assert (unit == neardup.probminhash(owner, element, np.ones(len(count)), len(texts), 432)).all()
+    assert (weighted[3] != unit[3]).any() and (weighted[0] == unit[0]).all()
+
+
 def test_shingles():
     texts = ["a b c d e f", "A  b\nc d e\tf", "one two", "", "x y z x y z x y z x y z"]
     owner, element, count = neardup.shingles(texts)

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, in_parts, table, texts_of
 from .lstmcrf import KINDS, PAD, Tagger, classes_of
 
-WINDOW, STRIDE = 128, 96
+#: Windows overlap by more than the longest span that holds() accepts, with room for edges that are trimmed: each such
+#: span is whole, with a character to spare on both sides, in some window.
+WINDOW, STRIDE = 256, 128
 TRAIN_WINDOW = 64
-BATCH = 2048
+BATCH = 1024
 SAMPLE_TEXTS = 300  # texts with a digit or at-sign from which the tagger learns, of at most SAMPLE_CHARS characters
 SAMPLE_CHARS = 20_000
 STEPS, TRAIN_BATCH, RATE = 450, 64, 0.03

@@ -72,6 +72,26 @@ def test_windows_without_cues_add_nothing(tagger):
     assert [kept(a, t) for a, t in zip(some, texts, strict=True)] == [kept(a, t) for a, t in zip(every, texts, strict=True)]
 
 
+class Marks:
+    """Labels as email what isn't the letter a."""
+
+    def decode(self, c):
+        return ((c != lstmcrf.classes_of("a")[0]) & (c != lstmcrf.PAD)).astype(np.uint8), np.ones(c.shape)
+
+
+def test_long_spans_are_found_at_every_offset(tagger):
+    for n in (31, 32, 56, 100):
+        span = "q" * (n - 5) + "@m.io"
+        assert pii.holds(0, span)
+        texts = ["a" * k + span + "a" * 400 for k in range(2 * pii.WINDOW)]
+        assert pii.tagged(Marks(), texts) == [[(k, 0, k + n)] for k in range(2 * pii.WINDOW)]
+    written = "jonas.winter (at) mail (dot) company (dot) org"
+    fill = "the others said that it would be so for many of them and left the house at dawn " * 8
+    texts = [fill[:k] + " " + written + " " + fill for k in range(0, 2 * pii.WINDOW, 3)]
+    found = [[t[s:e] for s, _, e in spans] for t, (_, spans) in zip(texts, pii.all_spans(tagger, texts), strict=True)]
+    assert all(any(written in x for x in f) for f in found)
+
+
 def test_tagger_gradient():
     t = lstmcrf.Tagger.fresh()
     c, y = pii.training_windows(["some text with a.b@c.de in it and more words"], 4)

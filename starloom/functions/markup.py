@@ -1,16 +1,17 @@
 """Prose from wiki text and web pages, as column expressions.
 
-Each step is a pattern over the whole string. Nested constructs are resolved from the inside out: a pattern that only
-matches the innermost is applied as often as DEPTH. What an unclosed construct opens is dropped to the end.
+Each step is a pattern over the whole string, but for templates, which nest to any depth: their braces are counted row
+by row. What an unclosed construct opens is dropped to the end.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-DEPTH = 6
-_ARG = r"(?:[^{}|=]*)"
+from pyspark.sql.types import StringType
 
 
 def strip_comments(text: Column) -> Column:
@@ -22,22 +23,62 @@ def strip_refs(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<ref(?:\s[^<>]*)?>.*?(?:</ref>|\z)", "")
 
 
+_TOKEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+_DASHES = {"spaced ndash": " – ", "snd": " – ", "ndash": "–", "mdash": "—"}
+
+
+def _words(name: str, arguments: list[str]) -> str:
+    """What a template gives to the sentence."""
+    name = name.strip().lower()
+    given = [x for a in arguments if "=" not in a and (x := a.strip())]
+    if name in _DASHES:
+        return _DASHES[name]
+    if name in ("circa", "c."):
+        return f"c. {given[0]}" if given else ""
+    if name in ("convert", "cvt"):
+        return " ".join(given[:2])
+    if name in ("lang", "langx", "transliteration", "transl"):
+        return given[-1] if given else ""
+    if name in ("nowrap", "nobr", "small", "big", "em", "strong"):
+        return given[0] if given else ""
+    return ""
+
+
+def without_templates(text: str) -> str:
+    """Pairs of braces are counted at any depth; an unclosed template takes all that follows. Lone braces are text."""
+    out: list[str] = []
+    open_: list[list[list[str]]] = []  # of each open template its parts, each in pieces
+    links: list[int] = []  # and how many links are open in it, whose bars part nothing
+    at = 0
+    for m in _TOKEN.finditer(text):
+        here, token = open_[-1][-1] if open_ else out, m[0]
+        here.append(text[at : m.start()])
+        at = m.end()
+        if token == "{{":
+            open_.append([[]])
+            links.append(0)
+        elif not open_:
+            here.append(token)
+        elif token == "}}":
+            name, *arguments = ("".join(part) for part in open_.pop())
+            links.pop()
+            (open_[-1][-1] if open_ else out).append(_words(name, arguments))
+        elif token == "|" and not links[-1]:
+            open_[-1].append([])
+        else:
+            links[-1] = max(0, links[-1] + {"[[": 1, "]]": -1, "|": 0}[token])
+            here.append(token)
+    return "".join(out) if open_ else "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _without_templates(text: pd.Series) -> pd.Series:
+    return text.map(without_templates, na_action="ignore")
+
+
 def resolve_templates(text: Column) -> Column:
     """Dashes, circa, conversions, foreign words and layout wrappers give words; all other templates nothing."""
-    kept = [
-        (r"\{\{\s*(?:spaced ndash|snd)\s*(?:\|[^{}]*)?\}\}", " – "),
-        (r"\{\{\s*ndash\s*(?:\|[^{}]*)?\}\}", "–"),
-        (r"\{\{\s*mdash\s*(?:\|[^{}]*)?\}\}", "—"),
-        (rf"\{{\{{\s*(?:circa|c\.)\s*\|\s*({_ARG}?)\s*(?:\|[^{{}}]*)?\}}\}}", "c. $1"),
-        (rf"\{{\{{\s*(?:convert|cvt)\s*\|\s*({_ARG}?)\s*\|\s*({_ARG}?)\s*(?:\|[^{{}}]*)?\}}\}}", "$1 $2"),
-        (rf"\{{\{{\s*(?:lang|langx|transliteration|transl)\s*\|(?:[^{{}}]*\|)?\s*({_ARG}?)\s*(?:\|[^{{}}|]*=[^{{}}|]*)*\}}\}}", "$1"),
-        (rf"\{{\{{\s*(?:nowrap|nobr|small|big|em|strong)\s*\|(?:[^{{}}|]*=[^{{}}|]*\|)*\s*({_ARG}?)\s*(?:\|[^{{}}]*)?\}}\}}", "$1"),
-        (r"\{\{[^{}]*\}\}", ""),
-    ]
-    for _ in range(DEPTH):
-        for pattern, words in kept:
-            text = F.regexp_replace(text, f"(?i){pattern}", words)
-    return F.regexp_replace(text, r"(?s)\{\{.*\z", "")
+    return _without_templates(text)
 
 
 def strip_tags(text: Column) -> Column:

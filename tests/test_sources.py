@@ -101,6 +101,22 @@ def test_lead(spark, text, lead):
     assert spark.createDataFrame([(text,)], "t string").select(markup.lead(F.col("t"))).first()[0] == lead
 
 
+BAND = "The band was formed in London in 1970 and went on to play for many years."
+BRACES = [
+    ("{{Infobox|a=<math>a_{1}</math>|b=x}}\n" + BAND, BAND),
+    ("{{Infobox|a={| class=x\n| y\n|}|b=c}}\n" + BAND, BAND),
+    ("{{a|" * 9 + "x" + "}}" * 9 + BAND, BAND),
+    ("{{nowrap|" * 9 + BAND + "}}" * 9, BAND),
+    ("A set {x} of }} marks {{b|{c} }} is kept as it is written here, {{lang|de|[[a|b]] {d} }}.", "A set {x} of }} marks is kept as it is written here, b {d}."),
+    (BAND + " {{unclosed|{{closed|{x}}} and more", BAND),
+]
+
+
+@pytest.mark.parametrize(("text", "lead"), BRACES)
+def test_lead_counts_braces(spark, text, lead):
+    assert spark.createDataFrame([(text,)], "t string").select(markup.lead(F.col("t"))).first()[0] == lead
+
+
 def test_index(spark):
     rows = spark.createDataFrame([("5:1:A: B",), ("5:2:C",), ("9:3:D",), ("bad",)], "value string")
     found = dumps.wanted_streams(dumps.index(rows), spark.createDataFrame([("A: B",), ("C",)], "title string"))

@@ -117,6 +117,33 @@ def test_lead_counts_braces(spark, text, lead):
     assert spark.createDataFrame([(text,)], "t string").select(markup.lead(F.col("t"))).first()[0] == lead
 
 
+NAMES = {"nbsp": " ", "ndash": "–", "mdash": "—", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def decoded(text):
+    """Character by character, as far as the twelfth of a reference."""
+    out, i = "", 0
+    while i < len(text):
+        end = text.find(";", i, i + 12) if text[i] == "&" else -1
+        char = NAMES.get(text[i + 1 : end]) if end > 0 else None
+        if end > 0 and text[i + 1 : i + 2] == "#":
+            digits, base = (text[i + 3 : end], 16) if text[i + 2] in "xX" else (text[i + 2 : end], 10)
+            if digits and set(digits) <= set("0123456789abcdefABCDEF"[: 10 if base == 10 else 22]):
+                code = int(digits, base)
+                char = chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
+        out, i = (out + char, end + 1) if char is not None else (out + text[i], i + 1)
+    return out
+
+
+def test_entities_are_decoded(spark):
+    texts = ["1970&#8211;1980 a &#124; b caf&#xE9; &#XE9; &#39;x&#39;", "&amp;#8211; &#38;lt; &amp;lt; &&amp;&", "&#xD800; &#x110000; &#99999999; &#; &#x; &#xg; &#8211 &copy; &nbsp", "&#000000065; &#0000000065; &#x1F389;", "&nbsp;&ndash;&mdash;&lt;&gt;&quot;&apos;&amp;", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", markup.decode_entities(F.col("t")).alias("d"), markup.page_text(F.col("t")).alias("p")).collect()
+    assert {r.i: r.d for r in rows} == {i: None if t is None else decoded(t) for i, t in enumerate(texts)}
+    assert [r.p for r in rows][0] == "1970–1980 a | b café é 'x'"
+    prose = spark.createDataFrame([(BAND + " It split in 1970&#8211;1980.",)], "t string").select(markup.lead(F.col("t")))
+    assert prose.first()[0] == BAND + " It split in 1970–1980."
+
+
 def test_index(spark):
     rows = spark.createDataFrame([("5:1:A: B",), ("5:2:C",), ("9:3:D",), ("bad",)], "value string")
     found = dumps.wanted_streams(dumps.index(rows), spark.createDataFrame([("A: B",), ("C",)], "title string"))

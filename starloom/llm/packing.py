@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytehash
 from .common import bounded_batches, in_parts, stage, table, texts_of
+from .wordcache import IdLists, blocks, by_text
 
 SEQUENCE = 4096
 OPEN_BINS = 1024
 END_ID = 1
 TOKENS_PER_TASK = 1 << 24
-#: Chunks of text whose ids a Python worker remembers; beyond it new ones are gathered, and those used again kept.
-MOST_REMEMBERED = 400_000
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: What bytes are: white space, letters and digits of ASCII, its marks; the rest is none of these.
+_SPACE, _WORD, _MARK = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+for _b in range(128):
+    _KIND[_b] = _SPACE if _b == 32 or 9 <= _b <= 13 else _WORD if chr(_b).isalnum() else _MARK if _b > 32 and _b < 127 else 0
+#: The character that byte-level tokenizers write for each byte: itself if it can be seen, else one from 256 on.
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_WRITTEN = {b: chr(b) for b in _SEEN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,46 +40,80 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokens:
-    """Ids of whole texts by a tokenizer that never joins characters across white space: each distinct chunk between
-    white space is tokenised once and remembered."""
+    """Ids of whole texts by a tokenizer that lowers case, never joins characters across white space and takes letters
+    and what follows them apart. Each distinct chunk between white space, without the marks at its end, is tokenised
+    once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known, self._before = Tokenizer.from_file(path), {}, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self._tokenizer, self._known = Tokenizer.from_file(path), IdLists()
+
+    def _fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids). A chunk of letters alone is one word to the tokenizer, so that its model
+        can be asked directly."""
+        model, found, rest = self._tokenizer.model, [None] * len(chunks), []
+        for i, c in enumerate(chunks):
+            if c.isalpha():
+                found[i] = [t.id for t in model.tokenize(c if c.isascii() else "".join(map(_WRITTEN.__getitem__, c.encode())))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self._tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            found[i] = e.ids
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array([x for ids in found for x in ids], np.uint32)
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = b" ".join(raw) + b" "
+        data = np.frombuffer(whole, np.uint8)
+        kind = _KIND[data]
+        edge = np.diff(np.concatenate([[1], kind & _SPACE, [1]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        # Marks at a chunk's end are taken apart from a letter or digit before them
+        inner = np.maximum.accumulate(np.where(kind & _MARK, -1, np.arange(len(kind))))
+        stem = np.where(len(end) and inner[end - 1] >= start, inner[end - 1] + 1, end) if len(end) else end
+        stem = np.where((stem < end) & (kind[stem - 1] == _WORD), stem, end)
+        start, end = np.concatenate([start, stem[stem < end]]), np.concatenate([stem, end[stem < end]])
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+        h = bytehash.ranges(bytehash.prefix(data), start, end)
+        count, ids = self._known.of(h, lambda new: self._fresh([whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+        sums = np.concatenate([[0], np.cumsum(count)])
+        return np.diff(sums[np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raw)]))]), ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # The tokenizer lowers case itself; lowered chunks repeat more. A special token's text must stay as it is, and
-        # only Python's lower() looks at what stands around a capital sigma.
-        texts = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
-        chunks = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {c for doc in chunks for c in doc}.difference(self._known)
-        if len(self._known) + len(new) > MOST_REMEMBERED:
-            self._before, self._known = self._known, {}
-            new = {c for doc in chunks for c in doc}
-        known = self._known
-        known |= {c: self._before[c] for c in new & self._before.keys()}
-        # Letters and the ASCII marks after them are tokenised apart
-        cut = {c: stem for c in new.difference(known) if (stem := c.rstrip(_MARKS)) != c and stem.isalpha()}
-        tails = {c[len(stem) :] for c, stem in cut.items()}
-        alone = list((new.difference(cut) | set(cut.values()) | tails).difference(known))
-        for c, e in zip(alone, self._tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        for c, stem in cut.items():
-            known[c] = known[stem] + known[c[len(stem) :]]
-        return [b"".join(map(known.__getitem__, doc)) for doc in chunks]
+        out = [b""] * len(texts)
+        plain = [t.lower() for t in texts]
+        for i, (t, low) in enumerate(zip(texts, plain, strict=True)):
+            # A special token's text must stay as it is; Python's lower() looks at what stands around a capital sigma;
+            # and the tokenizer composes characters before it lowers them
+            if "<|" in t or not t.isascii() and ("Σ" in t or not unicodedata.is_normalized("NFC", low)):
+                out[i], plain[i] = np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ""
+            elif not t.isascii():
+                plain[i] = _WIDE_SPACE.sub(" ", low)
+        for part, owner in blocks(plain):
+            by_text(owner, *self._block(part), out)
+        return out
 
 
 _tokens: dict[str, ChunkTokens] = {}
 
 
+def loaded(path: str) -> ChunkTokens:
+    if path not in _tokens:
+        _tokens[path] = ChunkTokens(path)
+    return _tokens[path]
+
+
 def pieces(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and an end id, cut only where over `most`."""
     end = end_id.to_bytes(4, "little")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens.setdefault(path, ChunkTokens(path))
+        tokens = loaded(path)
         for part in in_parts(batches):
             out = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.ids(texts_of(part)), strict=True):

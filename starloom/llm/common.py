@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..staging import stage as stage
 
@@ -18,9 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, whatever the length of the texts in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def bounded_batches(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow() in batches of few rows, as texts may be long. Spark knows no option of a single query for that,
+    and reads the session's when a plan runs; so that one is lowered, never raised, and stays lowered."""
+    spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+    return rows.mapInArrow(function, schema)
+
+
+def appended(docs: DataFrame, name: str, score: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """All columns of the rows and score(texts) as a double, in place of a column of that name if there is one."""
+    kept = docs.drop(name)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(texts_of(part)), pa.float64())], [*part.schema.names, name])
+
+    return bounded_batches(kept, rows, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -52,7 +70,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def in_parts(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a part holds about `most_bytes` of text, one row at least."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()] if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most_bytes:

@@ -194,7 +194,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null texts count as empty; a lone document is its own next; repeated rows follow each other in any order, as they
     are equal. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
     rank = corpus_ranks(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import bounded_batches, fold, in_parts, labelled_sample, table, texts_of
+from .common import appended, bounded_batches, fold, in_parts, labelled_sample, table, texts_of
 
 PER_CLASS = 700  # labelled texts of each class at most
 THRESHOLD = 0.3
@@ -215,7 +215,8 @@ def _state(field: LineField) -> tuple:
 
 
 def scored(docs: DataFrame, field: LineField) -> DataFrame:
-    """doc_id and score of each row; null and empty texts have no lines and get the fit's score for that."""
+    """doc_id and score of each row. Null and empty texts have no lines and get the fit's score for that; repeated rows
+    stay, an empty table gives none, other columns are not read."""
     state = _state(field)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,21 +224,13 @@ def scored(docs: DataFrame, field: LineField) -> DataFrame:
         for part in in_parts(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.score(texts_of(part)), pa.float64())], ["doc_id", "score"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, "doc_id bigint, score double")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, score double")
 
 
 def rated(docs: DataFrame, field: LineField, name: str = "quality_score") -> DataFrame:
-    """All columns of the rows, and their score."""
+    """All columns of the rows, and their score, in place of a column of that name if there is one."""
     state = _state(field)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LineField(*state)
-        for part in in_parts(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(texts_of(part)), pa.float64())], [*part.schema.names, name])
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, docs.withColumn(name, F.lit(0.0)).schema)
+    return appended(docs, name, lambda texts: LineField(*state).score(texts))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

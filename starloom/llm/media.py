@@ -76,8 +76,7 @@ def media_rows(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, timed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, SCHEMA)
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, SCHEMA)
 
 
 _CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("mean", pa.float64())]))

@@ -134,8 +134,7 @@ def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame
             key = [pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(r) for r in raw], pa.int64())]
             yield pa.RecordBatch.from_arrays([part.column("id"), *key, *(pc.if_else(empty, None, x) for x in lists)], ["id", "h", "c", "n", "bands", "bits"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select("id", "text").mapInArrow(sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
+    return bounded_batches(docs.select("id", "text"), sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:

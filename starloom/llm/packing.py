@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -16,13 +15,12 @@ from pyspark.sql import functions as F
 
 from . import bytehash
 from .common import bounded_batches, in_parts, stage, table, texts_of
-from .wordcache import IdLists, blocks, by_text
+from .wordcache import IdLists, blocks, by_text, narrow_spaces
 
 SEQUENCE = 4096
 OPEN_BINS = 1024
 END_ID = 1
 TOKENS_PER_TASK = 1 << 24
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: What bytes are: white space, letters and digits of ASCII, its marks; the rest is none of these.
 _SPACE, _WORD, _MARK = 1, 2, 4
 _KIND = np.zeros(256, np.uint8)
@@ -92,8 +90,8 @@ class ChunkTokens:
             # and the tokenizer composes characters before it lowers them
             if "<|" in t or not t.isascii() and ("Σ" in t or not unicodedata.is_normalized("NFC", low)):
                 out[i], plain[i] = np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ""
-            elif not t.isascii():
-                plain[i] = _WIDE_SPACE.sub(" ", low)
+            else:
+                plain[i] = narrow_spaces(low)
         for part, owner in blocks(plain):
             by_text(owner, *self._block(part), out)
         return out
@@ -123,8 +121,7 @@ def pieces(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int = END_I
                     out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES[:5], strict=True)], _NAMES[:5])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class BestFit:

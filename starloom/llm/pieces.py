@@ -336,8 +336,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             column = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array([model.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, "doc_id bigint, ids array<int>, decoded string")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, ids array<int>, decoded string")
 
 
 def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -358,8 +357,7 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,9 +264,8 @@ def spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
             columns = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x[j]] for x in got], _LIST) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "base", "spans"])
 
-    bounded_batches(docs.sparkSession)
     kind = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, f"doc_id bigint, base {kind}, spans {kind}")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, f"doc_id bigint, base {kind}, spans {kind}")
 
 
 _LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

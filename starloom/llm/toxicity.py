@@ -2,11 +2,16 @@
 
 Words (and runs of single letters) are compared by their gap-weighted common subsequences of three
 characters, so that an insult with gaps or inserted characters stays close to the plain one. A text's labels say only
-that some word is toxic; training therefore picks each toxic text's most telling word anew in every round.
+that some word is toxic; training therefore picks each toxic text's most telling word anew in every round. A text is
+judged by its two most toxic words.
+
+The machine is linear in the kernel's own space, whose axes are the triples of characters. Its landmarks' weights are
+summed there once, so that a word's margin is a sum over the word's triples; that equals the sum over landmarks.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import string
@@ -18,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, in_parts, labelled_sample, table, texts_of
+from . import bytehash
+from .common import appended, bounded_batches, fold, in_parts, labelled_sample, table, texts_of
+from .wordcache import Remembered, blocks, narrow_spaces
 
 DECAY = 0.5
-LANDMARKS = 40
+LANDMARKS = 64
 LONGEST_LANDMARK = 10
 PER_CLASS = 600  # labelled texts of each class at most
 LONGEST = 24  # longer words are taken in overlapping parts of this length
 THRESHOLD = 0.5
-MOST_REMEMBERED = 400_000
+TOXIC_SHARE = 0.25  # that scores assume, as the sample's share is by its classes' bounds
+LEAST_ODDS = 1.5  # log odds from which a beginning or a word counts as telling
 _EDGE = string.punctuation + "¡¿«»“”„…–—"
 
 
@@ -64,6 +72,16 @@ def _array(found: list[str]) -> np.ndarray:
     return out
 
 
+def _by_length(found: list[str], most: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and codes of equally long words, `most` at once."""
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(found):
+        by_length.setdefault(len(w), []).append(i)
+    for where in by_length.values():
+        for at in range(0, len(where), most):
+            yield where[at : at + most], _array([found[i] for i in where[at : at + most]])
+
+
 def _sums(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Kernel values of paired rows (arrays broadcast over all but the last axis): subsequences of length 3, each
     weighed by DECAY to the power of what it spans in either word."""
@@ -93,55 +111,103 @@ def _sums(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """Landmarks, their normalised weights, and the scale that turns a text's margin into a probability."""
+    """Landmarks, their weights, and the scale that turns a text's two greatest margins into a probability."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, scale: tuple[float, float]):
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, scale: tuple[float, ...]):
         self.landmarks, self.weights, self.bias, self.scale = landmarks, weights, bias, scale
         self._t = _array(landmarks)
         self._t[self._t < 0] = -2  # padding equals nothing
         self._norm = np.sqrt([_sums(x, x) for x in (_array([w])[0] for w in landmarks)]).astype(np.float32)
-        self._known: dict[str, float] = {}
-        self._chunks: dict[str, float] = {}
+        self._known = Remembered(19, 1, np.float32)
+        self._triples: tuple[np.ndarray, np.ndarray] | None = None
 
     def kernel(self, found: list[str]) -> np.ndarray:
         """Normalised kernel of words (equally long at best) with the landmarks."""
         out = np.zeros((len(found), len(self.landmarks)), np.float32)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(found):
-            by_length.setdefault(len(w), []).append(i)
-        for where in by_length.values():
-            for at in range(0, len(where), 256):
-                rows = where[at : at + 256]
-                s = _array([found[i] for i in rows])
-                own = np.sqrt(np.maximum(_sums(s, s), 1e-9))
-                out[rows] = _sums(s[:, None], self._t[None]) / (own[:, None] * self._norm)
+        for rows, s in _by_length(found, 128):
+            own = np.sqrt(np.maximum(_sums(s, s), 1e-9))
+            out[rows] = _sums(s[:, None], self._t[None]) / (own[:, None] * self._norm)
         return out
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each character that landmarks have, from 1; weight of each triple of such numbers)."""
+        if self._triples is None:
+            letters = sorted({c for w in self.landmarks for c in map(ord, w)} | {94})
+            number = np.zeros(letters[-1] + 2, np.int64)
+            number[letters] = np.arange(1, len(letters) + 1)
+            n = len(letters) + 1
+            weight = np.zeros(n**3)
+            for w, scale in zip(self.landmarks, self.weights / self._norm, strict=True):
+                c = number[[94, *map(ord, w)]]
+                for i, j, k in itertools.combinations(range(len(c)), 3):
+                    weight[(c[i] * n + c[j]) * n + c[k]] += scale * DECAY ** (k - i + 1)
+            self._triples = number, weight.astype(np.float32)
+        return self._triples
+
     def margins(self, found: list[str]) -> np.ndarray:
-        return self.kernel(found) @ self.weights + self.bias if found else np.zeros(0)
-
-    def text_margin(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of a text's words; the bias where it has none. Values are remembered by what stands
-        between white space, and by word."""
-        own = [set(words(t)) for t in texts]
-        new = set().union(*own).difference(self._chunks)
-        if len(self._chunks) + len(new) > MOST_REMEMBERED:
-            self._chunks.clear()
-            new = set().union(*own)
-        cut = {c: parts(c) for c in new}
-        fresh = {p for ps in cut.values() for p in ps}.difference(self._known)
-        if len(self._known) + len(fresh) > MOST_REMEMBERED:
-            self._known.clear()
-            fresh = {p for ps in cut.values() for p in ps}
-        fresh = list(fresh)
-        self._known |= zip(fresh, self.margins(fresh).tolist(), strict=True)
-        for c, ps in cut.items():
-            self._chunks[c] = max(map(self._known.__getitem__, ps), default=self.bias)
-        return np.array([max(map(self._chunks.__getitem__, ws), default=self.bias) for ws in own])
+        """self.kernel(found) @ self.weights + self.bias, by triples."""
+        number, weight = self._table()
+        n = int(number.max()) + 1
+        out = np.full(len(found), self.bias, np.float32)
+        for rows, s in _by_length(found, 4096):
+            c = number[np.minimum(s, len(number) - 1)].T
+            total = np.zeros(len(rows), np.float32)
+            for i in range(len(c) - 2):
+                for j in range(i + 1, len(c) - 1):
+                    pair = (c[i] * n + c[j]) * n
+                    for k in range(j + 1, len(c)):
+                        total += weight[pair + c[k]] * np.float32(DECAY ** (k - i + 1))
+            out[rows] += total / np.sqrt(np.maximum(_sums(s, s), 1e-9))
+        return out
+
+    def _chunk_margins(self, chunks: list[str]) -> np.ndarray:
+        """The largest margin of each chunk's parts; the bias where it has none."""
+        cut = [parts(c) for c in chunks]
+        own = list({p for ps in cut for p in ps})
+        known = dict(zip(own, self.margins(own).tolist(), strict=True))
+        return np.array([max(map(known.__getitem__, ps), default=self.bias) for ps in cut], np.float32)
+
+    def _block(self, texts: list[str]) -> np.ndarray:
+        """(texts, 2): the greatest margin of each text's words, and the greatest less than that."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = b" ".join(raw) + b" "
+        data = np.frombuffer(whole, np.uint8)
+        start, end, h = bytehash.words(data, data <= 32)
+        owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, "right")
+        at = self._known.find(h)
+        value = self._known.value[at, 0]
+        new, first = np.unique(h[at < 0], return_index=True)
+        first = np.flatnonzero(at < 0)[first]
+        made = self._chunk_margins([whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        value[at < 0] = made[np.searchsorted(new, h[at < 0])]
+        self._known.put(new, made[:, None])
+        # Three or more single characters in a row make one more word
+        letters = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+        single = (letters[end] - letters[start] == 1).astype(np.int8)
+        together = np.concatenate([[False], owner[1:] == owner[:-1]]) & (single > 0) & (np.concatenate([[0], single[:-1]]) > 0)
+        runs = np.flatnonzero(together & ~np.concatenate([[False], together[:-1]])) - 1
+        lasts = np.flatnonzero(together & ~np.concatenate([together[1:], [False]])) if len(together) else runs
+        long = lasts - runs >= 2
+        joined = [whole[start[a] : end[b]].decode("utf-8", "surrogatepass").split() for a, b in zip(runs[long], lasts[long], strict=True)]
+        owner, value = np.concatenate([owner, owner[runs[long]]]), np.concatenate([value, self._chunk_margins(["".join(j) for j in joined])])
+        out = np.full((len(texts), 2), self.bias, np.float32)
+        np.maximum.at(out[:, 0], owner, value)
+        less = value < out[owner, 0] - 1e-6
+        np.maximum.at(out[:, 1], owner[less], value[less])
+        return out
+
+    def text_margins(self, texts: list[str]) -> np.ndarray:
+        """(texts, 2): the two greatest different margins of each text's words; the bias where it has none."""
+        out = np.full((len(texts), 2), self.bias, np.float32)
+        for part, owner in blocks([narrow_spaces(t.lower()) for t in texts]):
+            for i, m in zip(owner, self._block(part), strict=True):
+                out[i] = sorted({*map(float, out[i]), *map(float, m)})[-2:][::-1] if len({*map(float, out[i]), *map(float, m)}) > 1 else m
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.text_margin(texts) + b, -30, 30)))
+        a, b, c = self.scale
+        m = self.text_margins(texts).astype(np.float64)
+        return 1 / (1 + np.exp(-np.clip(a * m[:, 0] + b * m[:, 1] + c, -30, 30)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, most_steps: int = 50) -> np.ndarray:
@@ -161,18 +227,17 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, classes weighed alike."""
-    centre, spread = margin.mean(), margin.std() + 1e-9
-    z = (margin - centre) / spread
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    a, b = 1.0, 0.0
+def platt(margins: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, ...]:
+    """Slopes of the columns and offset of a logistic fit, in which toxic texts count as TOXIC_SHARE of all."""
+    centre, spread = margins.mean(0), margins.std(0) + 1e-9
+    z = np.hstack([(margins - centre) / spread, np.ones((len(y), 1))])
+    each = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y <= 0).sum()))
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        g = each * (p - y)
-        a -= 1.0 * ((g * z).sum() + 1e-3 * a)
-        b -= 1.0 * g.sum()
-    return float(a / spread), float(b - a * centre / spread)
+        p = 1 / (1 + np.exp(-(z @ w)))
+        w -= (each * (p - y)) @ z + 1e-3 * np.append(w[:-1], 0)
+    slopes = w[:-1] / spread
+    return (*map(float, slopes), float(w[-1] - slopes @ centre))
 
 
 def _variants(word: str, rng: random.Random) -> list[str]:
@@ -190,54 +255,70 @@ def _apart(found: list[str], most: int, nearest: float = 0.75) -> list[str]:
     return out
 
 
+def _beginnings(word: str) -> list[str]:
+    return [word[:k] for k in range(4, min(len(word), LONGEST_LANDMARK) + 1)] + ([word] if 2 < len(word) < 4 else [])
+
+
+def _telling(texts: list[list[str]], y: np.ndarray) -> tuple[dict[str, float], list[str]]:
+    """(log odds of each beginning of words that three toxic texts or more have; those of LEAST_ODDS or more, in an order
+    in which each adds most to the toxic texts that those before it tell)."""
+    own = [{g for w in ws for g in _beginnings(w)} for ws in texts]
+    n = np.bincount(y, minlength=2)
+    count = [Counter(g for gs, label in zip(own, y, strict=True) if label == k for g in gs) for k in (0, 1)]
+    odds = {g: math.log((c + 0.5) / (n[1] + 1)) - math.log((count[0][g] + 0.5) / (n[0] + 1)) for g, c in count[1].items() if c > 2}
+    names = sorted(g for g, o in odds.items() if o > LEAST_ODDS)
+    place = {g: i for i, g in enumerate(names)}
+    held = [[place[g] for g in gs if g in place] for gs, label in zip(own, y, strict=True) if label]
+    where: list[list[int]] = [[] for _ in names]
+    for t, gs in enumerate(held):
+        for g in gs:
+            where[g].append(t)
+    left, gain = np.ones(len(held)), np.array([odds[g] * len(where[place[g]]) for g in names])
+    order: list[str] = []
+    while len(names) and len(order) < 4 * LANDMARKS and gain.max() > 0.5:
+        best = int(np.argmax(gain))
+        order.append(names[best])
+        for t in where[best]:
+            for g in held[t]:
+                gain[g] -= odds[names[g]] * left[t] * 0.5
+            left[t] *= 0.5
+        gain[best] = 0
+    return odds, order
+
+
 def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
-    """A machine from labelled texts; without both classes it finds nothing toxic."""
+    """A machine from labelled texts; without both classes it finds nothing toxic.
+
+    Landmarks are the most telling beginnings of words, then ordinary words that come nearest to being found toxic.
+    """
     rng = random.Random(5)
     texts = [sorted({p for w in set(words(t)) for p in parts(w)}) for t, _ in sample]
     y = np.array([label for _, label in sample])
     if not len(y) or y.min() == y.max():
-        return Machine(["xxx"], np.zeros(1), -1.0, (1.0, -3.0))
-    grams = [Counter(), Counter()]
-    for ws, label in zip(texts, y, strict=True):
-        grams[label].update({f"^{w}"[i : i + 4] for w in ws for i in range(max(1, len(w) - 2))})
+        return Machine(["xxx"], np.zeros(1), -1.0, (1.0, 0.0, -3.0))
+    odds, order = _telling(texts, y)
     n = np.bincount(y, minlength=2)
-    odds = {g: math.log((c + 0.5) / (n[1] + 1)) - math.log((grams[0][g] + 0.5) / (n[0] + 1)) for g, c in grams[1].items() if c > 1}
-    spread = [Counter(w for ws, label in zip(texts, y, strict=True) if label == k for w in ws) for k in (0, 1)]
-    told = {w: max((odds.get(f"^{w}"[i : i + 4], -9.0) for i in range(max(1, len(w) - 2))), default=-9.0) for w in spread[1]}
-    told |= {w: min(told[w], math.log((spread[1][w] + 0.5) / (n[1] + 1)) - math.log((spread[0][w] + 0.5) / (n[0] + 1))) for w in told if spread[0][w]}
-    strong = max(1.5, 0.6 * max(told.values(), default=0))
+    usual, spread = (Counter(w for ws, label in zip(texts, y, strict=True) if label == k for w in ws) for k in (0, 1))
+    told = {w: max((odds.get(g, -9.0) for g in _beginnings(w)), default=-9.0) for w in spread}
+    told |= {w: min(told[w], math.log((spread[w] + 0.5) / (n[1] + 1)) - math.log((usual[w] + 0.5) / (n[0] + 1))) for w in told if usual[w]}
     witnesses = [max(ws, key=lambda w: (told[w], w)) for ws, label in zip(texts, y, strict=True) if label and ws]
-    witnesses = [w for w in witnesses if told[w] > strong] or witnesses
-    # Landmarks: telling words of toxic texts by how many texts have them, and some ordinary words
-    usual, spread = spread
-    spread = Counter({w: c for w, c in spread.items() if told[w] > strong})
-    ranked = sorted((w for w in spread if len(w) <= LONGEST_LANDMARK), key=lambda w: (-spread[w] * told[w], w))[: 40 * landmarks]
-    chosen = ranked[:1] or witnesses[:1] or sorted(usual)[:1]
-    if ranked:
-        near = Machine(chosen, np.zeros(1), 0.0, (1, 0)).kernel(ranked)[:, 0]
-        weight = np.array([math.log1p(spread[w]) * told[w] for w in ranked])
-        while len(chosen) < landmarks * 3 // 4 and len(chosen) < len(ranked):
-            best = int(np.argmax(weight * np.maximum(0, 1 - near)))
-            if near[best] > 0.98:
-                break
-            chosen.append(ranked[best])
-            near = np.maximum(near, Machine(chosen[-1:], np.zeros(1), 0.0, (1, 0)).kernel(ranked)[:, 0])
-    telling = len(chosen)
     drawn = [w for w, _ in usual.most_common(5000)]
     rest = sorted(usual.keys() - set(drawn))
     drawn += rng.sample(rest, min(len(rest), 15_000))
+    ordinary = [w for w in reversed(drawn) if len(w) <= LONGEST_LANDMARK]
+    chosen = _apart([g for g in order if len(g) > 2], landmarks * 3 // 4, 0.9) or witnesses[:1] or ordinary[:1] or ["xxx"]
+    telling = len(chosen)
+    chosen += [w for w in ordinary if w not in chosen][: landmarks - telling]
     common = np.sqrt([usual[w] for w in drawn])
-    ordinary = [w for w in reversed(drawn) if len(w) <= LONGEST_LANDMARK and w not in chosen]
-    chosen += ordinary[: landmarks - telling]
+    positive = Counter({w: spread[w] for w in spread if told[w] > LEAST_ODDS}) or Counter(witnesses)
     for last in (False, True):
-        base = Machine(chosen, np.zeros(len(chosen)), 0.0, (1, 0))
+        base = Machine(chosen, np.zeros(len(chosen)), 0.0, (1, 0, 0))
         values, vectors = np.linalg.eigh(base.kernel(chosen).astype(np.float64))
         half = vectors[:, values > 1e-3] / np.sqrt(values[values > 1e-3])
         pool = base.kernel(drawn) @ half
-        toxic_words = sorted({w for ws, label in zip(texts, y, strict=True) if label for w in ws if told[w] > 1})
+        toxic_words = sorted(w for w in spread if told[w] > 1 or w in positive)
         x_toxic = dict(zip(toxic_words, base.kernel(toxic_words) @ half, strict=True))
         hard: dict[int, float] = {}
-        positive = Counter(spread) or Counter(witnesses)
         for _ in range(rounds):
             plain = [w for w in positive if w in x_toxic]
             more = [(v, positive[w] / 10) for w in sorted(plain, key=lambda w: (-positive[w], w))[:300] if len(w) > 3 for v in _variants(w, rng)]
@@ -247,43 +328,49 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
             weight = np.array([float(positive[w]) for w in plain] + [c for _, c in more] + list(common) + [hard[i] for i in held])
             w = _machine(x, np.concatenate([np.ones(len(x_pos)), -np.ones(len(x) - len(x_pos))]), weight)
             margin = {t: float(v @ w[:-1] + w[-1]) for t, v in x_toxic.items()}
-            found = Counter(max(own, key=lambda t: (margin[t], t)) for ws, label in zip(texts, y, strict=True) if label and (own := [t for t in ws if t in margin and told[t] > strong]))
-            positive = Counter({t: max(c, spread[t]) for t, c in (spread | found).items() if margin.get(t, -9) > -0.5}) or positive
+            found = Counter(max(own, key=lambda t: (margin[t], t)) for ws, label in zip(texts, y, strict=True) if label and (own := [t for t in ws if t in margin and told[t] > LEAST_ODDS]))
+            positive = Counter({t: max(c, spread[t]) for t, c in (positive | found).items() if margin.get(t, -9) > -0.5}) or positive
             for i in np.argsort(-(pool @ w[:-1]))[:1500]:
                 hard[int(i)] = hard.get(int(i), 0) + 5 * common[i]
         if not last:
             # The ordinary words that come nearest to being found toxic take the place of the drawn ones
-            order = [drawn[i] for i in np.argsort(-(pool @ w[:-1]))]
-            chosen = chosen[:telling] + _apart([t for t in order if len(t) <= LONGEST_LANDMARK and t not in chosen], landmarks - telling)
-    made = Machine(chosen, half @ w[:-1], float(w[-1]), (1, 0))
-    made.scale = platt(made.text_margin([t for t, _ in sample]), y)
+            nearest = [drawn[i] for i in np.argsort(-(pool @ w[:-1]))]
+            chosen = chosen[:telling] + _apart([t for t in nearest if len(t) <= LONGEST_LANDMARK and t not in chosen], landmarks - telling)
+    made = Machine(chosen, half @ w[:-1], float(w[-1]), (1, 0, 0))
+    made.scale = platt(made.text_margins([t for t, _ in sample]).astype(np.float64), y)
     return made
 
 
+_latest: dict[tuple, Machine] = {}
+
+
+def _loaded(state: tuple) -> Machine:
+    """The machine of a state; a worker keeps the last one, with what it remembers of words."""
+    key = (tuple(state[0]), state[1].tobytes(), state[2:])
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = Machine(*state)
+    return _latest[key]
+
+
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id and score of each row; null and empty texts get the score of no word at all."""
+    """doc_id and score of each row. Null and empty texts get the score of no word at all; repeated rows stay, an empty
+    table gives none, other columns are not read."""
     state = (machine.landmarks, machine.weights, machine.bias, machine.scale)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Machine(*state)
+        own = _loaded(state)
         for part in in_parts(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.score(texts_of(part)), pa.float64())], ["doc_id", "score"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, "doc_id bigint, score double")
+    return bounded_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, score double")
 
 
 def rated(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
-    """All columns of the rows, and their score; rows keep their places, nothing is joined."""
+    """All columns of the rows, and their score, in place of a column of that name if there is one; rows keep their
+    places, nothing is joined."""
     state = (machine.landmarks, machine.weights, machine.bias, machine.scale)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Machine(*state)
-        for part in in_parts(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(texts_of(part)), pa.float64())], [*part.schema.names, name])
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, docs.withColumn(name, F.lit(0.0)).schema)
+    return appended(docs, name, lambda texts: _loaded(state).score(texts))
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 #: Texts are worked on in blocks of about so many characters, cut where a word begins.
 BLOCK = 400_000
 
@@ -77,6 +80,11 @@ class IdLists:
         return count, out
 
 
+def narrow_spaces(text: str) -> str:
+    """The text with a space for each run of white space beyond ASCII."""
+    return text if text.isascii() else _WIDE_SPACE.sub(" ", text)
+
+
 def blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[list[str], list[int]]]:
     """Lists of texts of about `size` characters, and which text each belongs to. A longer text is cut in parts, each
     from a space on (U+0020) that follows another character."""

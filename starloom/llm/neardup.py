@@ -14,13 +14,11 @@ texts that aren't yet in its class are then compared with all others there, so a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,30 +113,39 @@ def _bands(got: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return bytehash.mix(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, h, c, n, bands, bits) of each row (id, text): the text's hash, checksum and bytes, the hashes of its bands
-    (those of both weightings, equal ones once) and a short sketch of the registers of weight 1; both lists are null where the text has no word."""
+#: What tells texts apart: hash, checksum and bytes.
+KEY = ["h", "c", "n"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, text, h, c, n) of the rows; null texts count as empty."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumns({"h": F.xxhash64("text"), "c": F.crc32(F.col("text").cast("binary")), "n": F.octet_length("text").cast("bigint")})
+
+
+def sketches(rows: DataFrame, n_rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(id, h, c, n, bands, bits) of each row (id, text, h, c, n): the hashes of its bands (those of both weightings, equal
+    ones once) and a short sketch of the registers of weight 1; both lists are null where the text has no word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, most_bytes=1_000_000):
             whole = texts_of(part)
             owner, element, count = shingles(whole)
-            weighted, got = both_minhashes(owner, element, count, len(whole), rows * bands)
-            band = [x if (x == y).all() else np.union1d(x, y) for x, y in zip(_bands(weighted, rows, bands), _bands(got, rows, bands), strict=True)]
+            weighted, got = both_minhashes(owner, element, count, len(whole), n_rows * bands)
+            band = [x if (x == y).all() else np.union1d(x, y) for x, y in zip(_bands(weighted, n_rows, bands), _bands(got, n_rows, bands), strict=True)]
             low = (bytehash.mix(got) & np.uint64(15)).astype(np.uint8)
             low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
             bits = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2])
             empty = pa.array(~got.any(1))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (band, list(bits.view(np.int64)))]
-            raw = [t.encode("utf-8", "surrogatepass") for t in whole]
-            key = [pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(r) for r in raw], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *key, *(pc.if_else(empty, None, x) for x in lists)], ["id", "h", "c", "n", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", *KEY)), *(pc.if_else(empty, None, x) for x in lists)], ["id", *KEY, "bands", "bits"])
 
-    return bounded_batches(docs.select("id", "text"), sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
+    return bounded_batches(rows.select("id", "text", *KEY), sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, own array<bigint>): the sorted shingle hashes of the wanted ids' texts, made once for all comparisons."""
+    """(id, own array<bigint>): the sorted shingle hashes of the wanted texts, made once for all comparisons. texts: as
+    _keyed() gives them; wanted: (id, first, h, c, n), where `first` is the id of a row that has the text."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches):
@@ -146,8 +153,8 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["id", "own"])
 
-    one = texts.join(wanted, "id", "left_semi").select("id", "text").groupBy("id").agg(F.min("text").alias("text"))
-    return one.mapInArrow(hashes, "id bigint, own array<bigint>")
+    one = texts.withColumnRenamed("id", "first").join(wanted, ["first", *KEY]).groupBy("id").agg(F.min("text").alias("text"))
+    return bounded_batches(one, hashes, "id bigint, own array<bigint>")
 
 
 def _similar(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -200,9 +207,10 @@ def _sketch(made: DataFrame, key: str, name: str) -> DataFrame:
     return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)))
 
 
-def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(verified links, classes) between distinct texts: `made` has their sketches, `texts` at least their (id, text).
-    Pairs whose short sketches rule them out are never made: that test is part of the joins' conditions."""
+def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(verified links, classes) between distinct texts: `made` has their (id, bands, bits), `named` their (id, first, h,
+    c, n), `texts` all rows as _keyed() gives them. Pairs whose short sketches rule them out are never made: that test is
+    part of the joins' conditions. Links inside a class that is already joined aren't looked for."""
     made = made.where(F.col("bands").isNotNull())
     p, q = ([f"{x}{k}" for k in range(SKETCH_WORDS)] for x in "pq")
     likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) * 15 / 16 * ROWS * BANDS)
@@ -211,7 +219,7 @@ def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[Data
     # split a bucket or a group of copies that holds very many rows
     heads = entry.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stage(entry.join(stage(heads.select("bucket", "head"), "heads"), "bucket"), "buckets")
-    own = stage(shingle_sets(texts, buckets.select("id").distinct()), "shingles")
+    own = stage(shingle_sets(texts, named.join(buckets.select("id").distinct(), "id", "left_semi")), "shingles")
     star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     other = _sketch(made, "b", "q")
     star = star.join(_sketch(made, "a", "p"), "a").join(other, (star["b"] == other["b"]) & likely).select("a", star["b"])
@@ -235,33 +243,48 @@ def links(made: DataFrame, texts: DataFrame, least: float = LEAST) -> tuple[Data
     return first.unionByName(second), classes.join(above, "class").select("id", F.col("top").alias("class"))
 
 
+def _labelled(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(the rows' ids and keys, all distinct texts as h, c, n, n_copies, class_id, stands): a text stands for its class
+    if its row is the class's first by doc_id and then by key. Texts are numbered, so ids may repeat."""
+    made = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
+    groups = made.groupBy(*KEY).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    groups = stage(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    chosen = made.withColumnRenamed("id", "first").join(groups.drop("n_copies"), ["first", *KEY]).select("id", "bands", "bits").dropDuplicates(["id"])
+    _, label = links(chosen, rows, groups.drop("n_copies"), least)
+    joined = stage(groups.join(label, "id", "left").withColumn("class", F.coalesce("class", "id")), "labels")
+    top = stage(joined.groupBy("class").agg(F.min(F.struct("first", *KEY)).alias("top")), "tops")
+    named = joined.join(top, "class").select(*KEY, "n_copies", F.col("top.first").alias("class_id"), (F.col("top") == F.struct("first", *KEY)).alias("stands"))
+    return made.select("id", *KEY), stage(named, "named")
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links) of each row. class_id is the least doc_id that links lead to; n_copies
-    counts the rows with the same text, n_links the verified links to other texts.
+    """(doc_id, class_id, n_copies) of each row. class_id is the least doc_id that links lead to; n_copies counts the rows
+    with the same text.
 
-    Links are found where they may join classes: texts of one class that a bucket's least text already joined aren't
-    compared again, so n_links is a lower bound inside a class. Null texts count as empty; texts without a word are
-    linked to their exact copies alone; a row without doc_id has neither class nor counts, as nothing can name it.
+    Null texts count as empty; texts without a word are linked to their exact copies alone; a row without doc_id has
+    neither class nor count, as nothing can name it. Repeated rows stay; different texts under one doc_id are each
+    compared for themselves, and may bear one class_id without being alike. An empty table gives none; other columns
+    are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
-    key = ["h", "c", "n"]
-    groups = stage(made.groupBy(*key).agg(F.min("id").alias("group"), F.count(F.lit(1)).alias("n_copies")), "groups")
-    named = stage(made.select("id", *key).join(groups, key).select(F.col("id").alias("doc_id"), "group", "n_copies"), "rows")
-    chosen = named.where("doc_id = group").select(F.col("doc_id").alias("id")).distinct()
-    found, label = links(made.join(chosen, "id", "left_semi").dropDuplicates(["id"]), rows, least)
-    degree = found.select(F.explode(F.array("a", "b")).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n_links"))
-    group = label.select(F.col("id").alias("group"), "class").join(degree, "group", "left")
-    out = named.join(stage(group, "group-classes"), "group", "left").select("doc_id", F.coalesce("class", "group").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    nameless = docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("bigint").alias(c) for c in out.columns))
-    return out.unionByName(nameless)
+    rows = _keyed(docs)
+    made, named = _labelled(rows, least)
+    out = made.join(named, KEY).select(F.col("id").alias("doc_id"), "class_id", "n_copies")
+    return out.unionByName(docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("bigint").alias(c) for c in out.columns)))
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of `docs` whose doc_id is their class's least; all columns stay. Of repeated rows with one id one is
-    left; rows without doc_id all stay."""
-    keep = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class: that of the least doc_id, among different texts under this id that of the least key, among
+    rows equal in both the least by the columns that Spark can order. All columns stay; so do all rows without doc_id."""
+    named = _labelled(_keyed(docs), least)[1]
+    own = ["_id", *(f"_{k}" for k in KEY)]
+    keep = named.where("stands").select(F.col("class_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in KEY))
+    text = F.coalesce(docs["text"], F.lit(""))
+    keys = [docs["doc_id"].cast("bigint"), F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text).cast("bigint")]
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    rows = docs.where(docs["doc_id"].isNotNull()).select(*(k.alias(c) for k, c in zip(keys, own, strict=True)), whole).join(keep, own, "left_semi")
+    order = F.struct(*(F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    one = rows.groupBy(*own).agg(F.min_by("_row", order).alias("_row"))
+    return one.select("_row.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,16 @@ def test_near_duplicates_of_odd_rows(odd):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "7", "None"]
 
 
+def test_near_duplicates_under_one_id(spark):
+    a, b = "one two three four five six seven", "quite another text that has nothing in common with it"
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "w"), (6, a, "y"), (7, b, "z"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumns({"first": F.lit(1), "h": F.lit(2), "class": F.lit("clash"), "_row": F.create_map(F.lit("k"), "lang")})
+    got = sorted(map(str, ((r.doc_id, r.class_id, r.n_copies) for r in neardup.classes(docs).collect())))
+    assert got == sorted(map(str, [(5, 5, 2), (5, 5, 3), (5, 5, 3), (6, 5, 2), (7, 5, 3), (None, None, None)]))
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text, r.lang) for r in kept.collect()))) == sorted(map(str, [(5, a, "x"), (5, b, "w"), (None, a, "n")]))
+
+
 def words(text):
     return [w for w in re.split(r"[\x00-\x20]+", text.lower()) if w]
 

@@ -33,8 +33,12 @@ LONGEST_LANDMARK = 10
 PER_CLASS = 600  # labelled texts of each class at most
 LONGEST = 24  # longer words are taken in overlapping parts of this length
 THRESHOLD = 0.5
-TOXIC_SHARE = 0.25  # that scores assume, as the sample's share is by its classes' bounds
-LEAST_ODDS = 1.5  # log odds from which a beginning or a word counts as telling
+#: Share of toxic texts that scores assume, as the sample's share follows from its classes' bounds; by one word alone.
+TOXIC_SHARE, SHARE_ALONE = 0.25, 0.1
+LEAST_ODDS, SURE_ODDS = 1.0, 4.0  # log odds from which a beginning or a word counts as telling, or alone tells a text
+DOUBT = 2.0  # texts that aren't toxic and that each beginning and word is taken to stand in besides those seen
+MOST_ASKED = 2.0  # margin asked of the surest words
+_UNSCALED = (1.0, 0.0, 0.0, 0.0, -30.0)
 _EDGE = string.punctuation + "¡¿«»“”„…–—"
 
 
@@ -111,7 +115,7 @@ def _sums(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """Landmarks, their weights, and the scale that turns a text's two greatest margins into a probability."""
+    """Landmarks, their weights, and the scales that turn a text's two greatest margins into a probability."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, scale: tuple[float, ...]):
         self.landmarks, self.weights, self.bias, self.scale = landmarks, weights, bias, scale
@@ -205,13 +209,16 @@ class Machine:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        a, b, c = self.scale
+        """The greater of two fits: by both margins, up to MOST_ASKED, and by the greater margin alone."""
+        a, b, c, d, e = self.scale
         m = self.text_margins(texts).astype(np.float64)
-        return 1 / (1 + np.exp(-np.clip(a * m[:, 0] + b * m[:, 1] + c, -30, 30)))
+        z = np.maximum(np.minimum(m, MOST_ASKED) @ np.array([a, b]) + c, d * m[:, 0] + e)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, most_steps: int = 50) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge machine by Newton steps; classes weigh alike."""
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: np.ndarray, ridge: float = 1e-5, most_steps: int = 50) -> np.ndarray:
+    """Weights (the last is the bias) of a squared-hinge machine by Newton steps; classes weigh alike. asked: the margin
+    that each row should have at least."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     each = weight * np.where(y > 0, 0.5 / max(1, weight[y > 0].sum()), 0.5 / max(1, weight[y < 0].sum()))
     keep = ridge * np.eye(x.shape[1])
@@ -219,19 +226,19 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     w, active = np.zeros(x.shape[1]), np.ones(len(y), bool)
     for _ in range(most_steps):
         weighed = x[active] * each[active, None]
-        w = np.linalg.solve(weighed.T @ x[active] + keep, weighed.T @ y[active])
-        now = y * (x @ w) < 1
+        w = np.linalg.solve(weighed.T @ x[active] + keep, weighed.T @ (y * asked)[active])
+        now = y * (x @ w) < asked
         if (now == active).all():
             break
         active = now
     return w
 
 
-def platt(margins: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, ...]:
-    """Slopes of the columns and offset of a logistic fit, in which toxic texts count as TOXIC_SHARE of all."""
+def platt(margins: np.ndarray, y: np.ndarray, share: float, steps: int = 3000) -> tuple[float, ...]:
+    """Slopes of the columns and offset of a logistic fit, in which toxic rows count as `share` of all."""
     centre, spread = margins.mean(0), margins.std(0) + 1e-9
     z = np.hstack([(margins - centre) / spread, np.ones((len(y), 1))])
-    each = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y <= 0).sum()))
+    each = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum()))
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(z @ w)))
@@ -250,7 +257,7 @@ def _apart(found: list[str], most: int, nearest: float = 0.75) -> list[str]:
     """The first words that aren't close to one before them."""
     out: list[str] = []
     for w in found[: 20 * most]:
-        if len(out) < most and (not out or Machine(out, np.zeros(len(out)), 0.0, (1, 0)).kernel([w]).max() < nearest):
+        if len(out) < most and (not out or Machine(out, np.zeros(len(out)), 0.0, _UNSCALED).kernel([w]).max() < nearest):
             out.append(w)
     return out
 
@@ -259,13 +266,17 @@ def _beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(4, min(len(word), LONGEST_LANDMARK) + 1)] + ([word] if 2 < len(word) < 4 else [])
 
 
+def _odds(toxic: int, fine: int, n: np.ndarray) -> float:
+    return math.log((toxic + 0.5) / (n[1] + 1)) - math.log((fine + DOUBT) / (n[0] + 2 * DOUBT))
+
+
 def _telling(texts: list[list[str]], y: np.ndarray) -> tuple[dict[str, float], list[str]]:
     """(log odds of each beginning of words that three toxic texts or more have; those of LEAST_ODDS or more, in an order
     in which each adds most to the toxic texts that those before it tell)."""
     own = [{g for w in ws for g in _beginnings(w)} for ws in texts]
     n = np.bincount(y, minlength=2)
     count = [Counter(g for gs, label in zip(own, y, strict=True) if label == k for g in gs) for k in (0, 1)]
-    odds = {g: math.log((c + 0.5) / (n[1] + 1)) - math.log((count[0][g] + 0.5) / (n[0] + 1)) for g, c in count[1].items() if c > 2}
+    odds = {g: _odds(c, count[0][g], n) for g, c in count[1].items() if c > 2}
     names = sorted(g for g, o in odds.items() if o > LEAST_ODDS)
     place = {g: i for i, g in enumerate(names)}
     held = [[place[g] for g in gs if g in place] for gs, label in zip(own, y, strict=True) if label]
@@ -295,12 +306,13 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
     texts = [sorted({p for w in set(words(t)) for p in parts(w)}) for t, _ in sample]
     y = np.array([label for _, label in sample])
     if not len(y) or y.min() == y.max():
-        return Machine(["xxx"], np.zeros(1), -1.0, (1.0, 0.0, -3.0))
+        return Machine(["xxx"], np.zeros(1), -1.0, (1.0, 0.0, -3.0, 0.0, -30.0))
     odds, order = _telling(texts, y)
     n = np.bincount(y, minlength=2)
     usual, spread = (Counter(w for ws, label in zip(texts, y, strict=True) if label == k for w in ws) for k in (0, 1))
     told = {w: max((odds.get(g, -9.0) for g in _beginnings(w)), default=-9.0) for w in spread}
-    told |= {w: min(told[w], math.log((spread[w] + 0.5) / (n[1] + 1)) - math.log((usual[w] + 0.5) / (n[0] + 1))) for w in told if usual[w]}
+    told |= {w: min(told[w], _odds(spread[w], usual[w], n)) for w in told if usual[w]}
+    asked = lambda w: min(MOST_ASKED, max(0.7, told[w] / 2.2))
     witnesses = [max(ws, key=lambda w: (told[w], w)) for ws, label in zip(texts, y, strict=True) if label and ws]
     drawn = [w for w, _ in usual.most_common(5000)]
     rest = sorted(usual.keys() - set(drawn))
@@ -312,7 +324,7 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
     common = np.sqrt([usual[w] for w in drawn])
     positive = Counter({w: spread[w] for w in spread if told[w] > LEAST_ODDS}) or Counter(witnesses)
     for last in (False, True):
-        base = Machine(chosen, np.zeros(len(chosen)), 0.0, (1, 0, 0))
+        base = Machine(chosen, np.zeros(len(chosen)), 0.0, _UNSCALED)
         values, vectors = np.linalg.eigh(base.kernel(chosen).astype(np.float64))
         half = vectors[:, values > 1e-3] / np.sqrt(values[values > 1e-3])
         pool = base.kernel(drawn) @ half
@@ -321,12 +333,13 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
         hard: dict[int, float] = {}
         for _ in range(rounds):
             plain = [w for w in positive if w in x_toxic]
-            more = [(v, positive[w] / 10) for w in sorted(plain, key=lambda w: (-positive[w], w))[:300] if len(w) > 3 for v in _variants(w, rng)]
-            x_pos = np.vstack([np.stack([x_toxic[w] for w in plain]), base.kernel([v for v, _ in more]) @ half]) if plain else np.zeros((0, half.shape[1]))
+            more = [(v, positive[w] / 10, asked(w)) for w in sorted(plain, key=lambda w: (-positive[w], w))[:300] if len(w) > 3 for v in _variants(w, rng)]
+            x_pos = np.vstack([np.stack([x_toxic[w] for w in plain]), base.kernel([v for v, *_ in more]) @ half]) if plain else np.zeros((0, half.shape[1]))
             held = list(hard)
             x = np.vstack([x_pos, pool, pool[held]])
-            weight = np.array([float(positive[w]) for w in plain] + [c for _, c in more] + list(common) + [hard[i] for i in held])
-            w = _machine(x, np.concatenate([np.ones(len(x_pos)), -np.ones(len(x) - len(x_pos))]), weight)
+            weight = np.array([float(positive[w]) for w in plain] + [c for _, c, _ in more] + list(common) + [hard[i] for i in held])
+            at_least = np.concatenate([[asked(w) for w in plain], [a for *_, a in more], np.ones(len(x) - len(x_pos))])
+            w = _machine(x, np.concatenate([np.ones(len(x_pos)), -np.ones(len(x) - len(x_pos))]), weight, at_least)
             margin = {t: float(v @ w[:-1] + w[-1]) for t, v in x_toxic.items()}
             found = Counter(max(own, key=lambda t: (margin[t], t)) for ws, label in zip(texts, y, strict=True) if label and (own := [t for t in ws if t in margin and told[t] > LEAST_ODDS]))
             positive = Counter({t: max(c, spread[t]) for t, c in (positive | found).items() if margin.get(t, -9) > -0.5}) or positive
@@ -336,8 +349,13 @@ def train(sample: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int
             # The ordinary words that come nearest to being found toxic take the place of the drawn ones
             nearest = [drawn[i] for i in np.argsort(-(pool @ w[:-1]))]
             chosen = chosen[:telling] + _apart([t for t in nearest if len(t) <= LONGEST_LANDMARK and t not in chosen], landmarks - telling)
-    made = Machine(chosen, half @ w[:-1], float(w[-1]), (1, 0, 0))
-    made.scale = platt(made.text_margins([t for t, _ in sample]).astype(np.float64), y)
+    made = Machine(chosen, half @ w[:-1], float(w[-1]), _UNSCALED)
+    margins = made.text_margins([t for t, _ in sample]).astype(np.float64)
+    # Words that are sure to tell may also stand alone in a text, they or variants of them
+    sure = sorted(w for w in spread if told[w] > SURE_ODDS)
+    sure = made.margins(sure + [v for w in sure if len(w) > 3 for v in _variants(w, rng)])
+    alone = platt(np.concatenate([margins[y == 0, :1], sure[:, None]]), np.repeat([0, 1], [n[0], len(sure)]), SHARE_ALONE) if len(sure) else (0.0, -30.0)
+    made.scale = (*platt(np.minimum(margins, MOST_ASKED), y, TOXIC_SHARE), *alone)
     return made
 
 

@@ -176,26 +176,31 @@ def test_packing_places_every_piece(spark):
     assert len({r.sequence_id for r in rows}) <= 1.05 * sum(r.length for r in rows) / 4096 + 1
 
 
-def held_out(rows, label, threshold, spark):
-    marks = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF_LARGE}/labels.parquet").collect()}
-    pairs = [(r.score, marks[r.doc_id]) for r in rows if r.doc_id in marks and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(pairs) > 30
-    return sum((s >= threshold) == bool(y) for s, y in pairs) / len(pairs)
+SF_BENCH = "/root/testdata/sf0.1"
+
+
+def held_out(rows, label, threshold, spark, positive, sf=SF_LARGE):
+    """Recall and precision of one class on the held-out fold."""
+    marks = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    pairs = [(int(r.score >= threshold), marks[r.doc_id]) for r in rows if r.doc_id in marks and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    caught = sum(p == y == positive for p, y in pairs)
+    assert sum(y == positive for _, y in pairs) > 5
+    return caught / sum(y == positive for _, y in pairs), caught / max(1, sum(p == positive for p, _ in pairs))
 
 
 def test_quality_on_held_out_labels(spark):
     rows = linecrf.op5_quality(spark, SF_LARGE).collect()
-    assert held_out(rows, "quality", linecrf.THRESHOLD, spark) > 0.95
+    assert min(held_out(rows, "quality", linecrf.THRESHOLD, spark, 0)) > 0.9 and min(held_out(rows, "quality", linecrf.THRESHOLD, spark, 1)) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
 def test_toxicity_on_held_out_labels(spark):
-    rows = toxicity.op6_toxicity(spark, SF_LARGE).collect()
-    assert held_out(rows, "toxic", toxicity.THRESHOLD, spark) > 0.85
+    recall, precision = held_out(toxicity.op6_toxicity(spark, SF_BENCH).collect(), "toxic", toxicity.THRESHOLD, spark, 1, SF_BENCH)
+    assert recall >= 0.8 and precision >= 0.7
     docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
     machine = toxicity.trained(docs, spark.read.parquet(f"{SF_LARGE}/labels.parquet"))
-    plain, marked, fine = machine.score(["it is an idiot in this", "it is an i.d.i.o.t in this", "it is an apple in this"])
-    assert plain > 0.5 and marked > 0.5 and fine < 0.5
+    *toxic, fine, empty = machine.score(["it is an idiot in this", "it is an i.d.i.o.t in this", "i d i o t that is", "what a sccum", "it is an apple in this", ""])
+    assert min(toxic) > 0.5 > max(fine, empty)
 
 
 def test_urls_against_sql(spark):

@@ -278,6 +278,21 @@ def test_kernel_is_the_sum_over_subsequences():
         assert math.isclose(float(toxicity._sums(s, t)), plain("^" + a, "^" + b, toxicity.DECAY), rel_tol=1e-5)
 
 
+def test_margins_by_triples_equal_the_sum_over_landmarks():
+    machine = toxicity.Machine(["idiot", "réeux", "loser"], np.array([1.5, -0.7, 2.0]), -0.3, toxicity._UNSCALED)
+    found = ["idxiot", "réêou", "loooser", "zzz", "日本語の", "x" * 24, "clown"]
+    assert np.allclose(machine.margins(found), machine.kernel(found) @ machine.weights + machine.bias, atol=1e-5)
+
+
+def test_text_margins_against_plain_ones():
+    machine = toxicity.Machine(["idiot", "loser", "clown"], np.array([1.0, 2.0, 1.5]), -0.5, toxicity._UNSCALED)
+    texts = ["an Idiot, and\u2003a i d i o t", "", "l o s e r clown", "x y", "a b c d e f loser!", "clown\x85loser " + "word " * 300_000]
+    for t, got in zip(texts, machine.text_margins(texts).tolist(), strict=True):
+        each = {round(float(m), 4) for w in set(toxicity.words(t)) if (ps := toxicity.parts(w)) for m in [max(machine.margins(ps))]} | {-0.5}
+        want = (sorted(each)[-2:] if len(each) > 1 else [*each] * 2)[::-1]
+        assert np.allclose(got, want, atol=1e-3), t[:40]
+
+
 def test_words_and_parts():
     assert toxicity.words("You i d i o t now a b") == ["you", "idiot", "now", "a", "b"]
     assert toxicity.parts("i.d.i.o.t!") == ["idiot"] and toxicity.parts("...") == []

@@ -3,7 +3,8 @@
 A page's outcome is bad if the document that its path names is labelled toxic or of low quality. Outcomes are shrunk
 level by level: a suffix (last label) towards all pages, a registered domain (last two labels) towards its suffix, a
 host towards its domain, each through a beta prior whose weight comes from the spread of that level's shares. A host
-is blocked if the lower posterior bound of its share of bad pages exceeds a limit. DataFrame functions throughout.
+is blocked if the lower posterior bound of its share of bad pages exceeds the share among all labelled pages: if it is
+worse than the corpus, as far as its pages tell. DataFrame functions throughout.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from .common import stage, table
 
 #: The rules of this query: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-LIMIT = 0.5  # share of bad pages that the lower bound must exceed to block
-DEVIATIONS = 1.0  # of the posterior, between its mean and its bound
+TIMES = 1.0  # the corpus's share of bad pages, taken so many times, is what the lower bound must exceed to block
+DEVIATIONS = 1.28  # of the posterior, between its mean and its bound: about nine in ten, by the normal approximation
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1000.0  # of a prior, in pages
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,8 +72,9 @@ def _level(counts: DataFrame, keys: list[str], prior: Column, name: str) -> Data
 
 
 def domains(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last one."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """(registered domain, suffix): the last two labels and the last one; a numeric address is its own domain and suffix."""
+    numeric = host.rlike(r"^[0-9.]+(:[0-9]*)?$")
+    return F.when(numeric, host).otherwise(F.substring_index(host, ".", -2)), F.when(numeric, host).otherwise(F.substring_index(host, ".", -1))
 
 
 def reputation(seen: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def reputation(seen: DataFrame) -> DataFrame:
     counts = _level(counts, ["suffix"], F.col("all"), "by_suffix")
     counts = _level(counts, ["domain", "suffix"], F.col("by_suffix"), "by_domain")
     counts = _level(counts, ["host", "domain", "suffix"], F.col("by_domain"), "share")
-    return counts.select("host", "domain", "suffix", "by_domain", "by_domain_weight", "by_suffix", "by_suffix_weight", "share", bound("share", "share_weight").alias("bound"))
+    return counts.select("host", "domain", "suffix", "by_domain", "by_domain_weight", "by_suffix", "by_suffix_weight", "share", "all", bound("share", "share_weight").alias("bound"))
 
 
 def bound(mean: str, weight: str) -> Column:
@@ -95,10 +97,11 @@ def bound(mean: str, weight: str) -> Column:
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_bound) of each page.
+    """(page_id, host, path, rule, verdict, bad_bound, bad_limit) of each page.
 
     A host without labelled pages goes by its domain, then by its suffix; one without either, and an empty host, is
-    allowed. Repeated pages stay; without labels only rules block.
+    allowed. Null urls have empty hosts and paths. Repeated pages stay, an empty table gives none; without labels only
+    rules block. Columns besides page_id and url are not read.
     """
     host, path = url_parts(F.col("url"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
@@ -111,10 +114,12 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     by_suffix = known.groupBy("suffix").agg(F.first(bound("by_suffix", "by_suffix_weight")).alias("b3"))
     hosts = hosts.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
     # Written out, so that both sides of the join are shuffled for it and a host with very many pages can be split
-    hosts = stage(hosts.select("host", F.round(F.coalesce("b1", "b2", "b3"), 9).alias("bad_bound")), "bounds")
+    limit = known.agg(F.round(F.max("all") * TIMES, 9).alias("bad_limit"))
+    hosts = hosts.select("host", F.round(F.coalesce("b1", "b2", "b3"), 9).alias("bad_bound")).join(F.broadcast(limit))
+    hosts = stage(hosts, "bounds")
     out = rows.join(hosts, "host", "left").withColumns({"rule": rule, "stated": verdict})
-    verdict = F.coalesce("stated", F.when(F.col("bad_bound") > LIMIT, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_bound")
+    verdict = F.coalesce("stated", F.when(F.col("bad_bound") > F.col("bad_limit"), "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_bound", "bad_limit")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +136,7 @@ SQL = (
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM cut),
 seen AS (SELECT host, CAST(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT) doc_id, count(*) n FROM p WHERE host <> '' AND regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) <> '' GROUP BY ALL),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') domain, string_split(host, '.')[-1] suffix, sum(n)::DOUBLE pages, sum(n * bad)::DOUBLE bad FROM seen JOIN marks USING (doc_id) GROUP BY ALL),
+hosts AS (SELECT host, @DOMAIN@ domain, @SUFFIX@ suffix, sum(n)::DOUBLE pages, sum(n * bad)::DOUBLE bad FROM seen JOIN marks USING (doc_id) GROUP BY ALL),
 c0 AS (SELECT hosts.*, (SELECT (sum(bad) + 1) / (sum(pages) + 2) FROM hosts) AS everything FROM hosts),
 """
     + ",\n".join(
@@ -139,15 +144,17 @@ c0 AS (SELECT hosts.*, (SELECT (sum(bad) + 1) / (sum(pages) + 2) FROM hosts) AS
         for n, k, p, s in (("by_suffix", "suffix", "everything", "c0"), ("by_domain", "domain, suffix", "by_suffix", "by_suffix_c"), ("share", "host, domain, suffix", "by_domain", "by_domain_c"))
     )
     + """,
-b1 AS (SELECT host, share - sqrt(share * (1 - share) / (share_weight + 1)) b FROM share_c),
-b2 AS (SELECT domain, min(by_domain - sqrt(by_domain * (1 - by_domain) / (by_domain_weight + 1))) b FROM share_c GROUP BY 1),
-b3 AS (SELECT suffix, min(by_suffix - sqrt(by_suffix * (1 - by_suffix) / (by_suffix_weight + 1))) b FROM share_c GROUP BY 1),
+b1 AS (SELECT host, share - 1.28 * sqrt(share * (1 - share) / (share_weight + 1)) b FROM share_c),
+b2 AS (SELECT domain, min(by_domain - 1.28 * sqrt(by_domain * (1 - by_domain) / (by_domain_weight + 1))) b FROM share_c GROUP BY 1),
+b3 AS (SELECT suffix, min(by_suffix - 1.28 * sqrt(by_suffix * (1 - by_suffix) / (by_suffix_weight + 1))) b FROM share_c GROUP BY 1),
 r AS (SELECT p.*, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS "rule",
-  round(coalesce(b1.b, b2.b, b3.b), 9) bad_bound
-  FROM p LEFT JOIN b1 USING (host) LEFT JOIN b2 ON b2.domain = array_to_string(string_split(host, '.')[-2:], '.') LEFT JOIN b3 ON b3.suffix = string_split(host, '.')[-1])
+  round(coalesce(b1.b, b2.b, b3.b), 9) bad_bound, (SELECT round(max(everything), 9) FROM c0) bad_limit
+  FROM p LEFT JOIN b1 USING (host) LEFT JOIN b2 ON b2.domain = @DOMAIN@ LEFT JOIN b3 ON b3.suffix = @SUFFIX@)
 SELECT page_id, host, path, "rule", CASE "rule" WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-  ELSE CASE WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict, bad_bound FROM r"""
+  ELSE CASE WHEN bad_bound > bad_limit THEN 'block' ELSE 'allow' END END AS verdict, bad_bound, bad_limit FROM r"""
 )
+_NUMERIC = "CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]*)?$') THEN host ELSE {} END"
+SQL = SQL.replace("@DOMAIN@", _NUMERIC.format("array_to_string(string_split(host, '.')[-2:], '.')")).replace("@SUFFIX@", _NUMERIC.format("string_split(host, '.')[-1]"))

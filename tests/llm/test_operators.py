@@ -207,22 +207,36 @@ def test_urls_against_sql(spark):
     con = duckdb.connect()
     for name in ("pages", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_LARGE}/{name}.parquet'")
-    want = sorted(map(str, con.execute(f"SELECT page_id, host, path, \"rule\", verdict, bad_bound FROM ({urls.SQL})").fetchall()))
-    got = urls.op7_urls(spark, SF_LARGE).select("page_id", "host", "path", "rule", "verdict", "bad_bound").collect()
+    want = sorted(map(str, con.execute(f"SELECT page_id, host, path, \"rule\", verdict, bad_bound, bad_limit FROM ({urls.SQL})").fetchall()))
+    got = urls.op7_urls(spark, SF_LARGE).select("page_id", "host", "path", "rule", "verdict", "bad_bound", "bad_limit").collect()
     assert sorted(str(tuple(r)) for r in got) == want
 
 
 def test_odd_urls(spark):
-    links = ["http://A.Net/x", "https://sub.example.net/en/1", "https://example.net.evil.org/fr/", "nothing", None, "http://net", "http://x.org?q=/fr/", "http://É.COM/de/", "http://example.com/de/5#a"]
+    links = ["http://A.Net/x", "https://sub.example.net/en/1", "https://example.net.evil.org/fr/", "nothing", None, "http://net", "http://x.org?q=/fr/", "http://É.COM/de/", "http://example.com/de/5#a", "http://1.2.3.4/x"]
     pages = spark.createDataFrame(list(enumerate(links)), "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("share", F.lit(1))
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages, none).collect()}
     assert got == {
         0: ("a.net", "/x", "net/", "block"), 1: ("sub.example.net", "/en/1", "example.net/en/", "allow"), 2: ("example.net.evil.org", "/fr/", "org/fr/", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"),
-        5: ("net", "", None, "allow"), 6: ("x.org", "", None, "allow"), 7: ("É.com", "/de/", None, "allow"), 8: ("example.com", "/de/5", "example.com/de/", "block"),
+        5: ("net", "", None, "allow"), 6: ("x.org", "", None, "allow"), 7: ("É.com", "/de/", None, "allow"), 8: ("example.com", "/de/5", "example.com/de/", "block"), 9: ("1.2.3.4", "/x", None, "allow"),
     }
 
 
+def test_hosts_of_the_given_pages_fall_on_both_sides(spark):
+    """The given labels tell no host from another; here two of three documents that promotional hosts link to are bad."""
+    pages = spark.read.parquet(f"{SF_BENCH}/pages.parquet")
+    shady = shady_host(F.regexp_extract("url", "://([^/]*)", 1))
+    marks = pages.select(F.regexp_extract("url", "/([0-9]+)", 1).try_cast("bigint").alias("doc_id"), shady.alias("shady")).where("doc_id is not null")
+    marks = marks.groupBy("doc_id").agg(F.max("shady").alias("shady")).select("doc_id", F.when(F.col("shady") & (F.col("doc_id") % 3 > 0), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = urls.judged(pages, marks).where("rule is null and host <> ''").select("host", "verdict", shady_host(F.col("host")).alias("shady")).distinct().collect()
+    assert {r.verdict for r in got if not r.shady} == {"allow"} and sum(r.verdict == "block" for r in got if r.shady) >= 3
+
+
+def shady_host(host):
+    return host.rlike("spam|pills|casino|bets|ads-track")
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://bad.example.com/en/{i}") for i in range(60)] + [(100 + i, f"http://good.example.com/en/{100 + i}") for i in range(60)], "page_id bigint, url string")
     marks = spark.createDataFrame([(i, 0, 0) for i in range(50)] + [(100 + i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")

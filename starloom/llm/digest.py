@@ -19,6 +19,8 @@ NEIGHBOURS = 64  # adjacent windows among which the rarest counts
 LEVELS = 1000
 LEAST_WINS = 16  # of the 64 neighbourhoods of a window, those in which it must be the rarest
 GROUP_BYTES = 1 << 17  # texts are taken together up to this size, so that arrays stay in a core's cache
+LONG_BYTES = 1 << 20  # longer texts are worked on in blocks
+MARGIN = WINDOW + 2 * NEIGHBOURS
 PER_FILTER = 160
 FILTER_BITS = 2048
 HASHES = 5
@@ -97,10 +99,16 @@ def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
 def digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """A digest for each text: rows of FILTER_BITS/8 bytes, one for each filter of the chain. An empty text has none;
     one without a feature (short, or of one repeated byte) counts as a single feature."""
-    return [d for group in groups(texts) for d in _digests(group, rank)]
+    out = []
+    for group in groups(texts):
+        found = [_long_features(group[0], rank)] if len(group[0]) > LONG_BYTES else [_features(group, rank)]
+        out += _filled(*found[0], len(group))
+    return out
 
 
-def _digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+def _features(texts: list[bytes], rank: np.ndarray, core: slice | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the selected windows, in order; texts without one have the hash of the whole. core: only
+    windows that start there in the single text."""
     data, start, size = joined(texts)
     found = rank[levels(data)]
     kind, shift = (np.int32, 21) if len(data) < 1 << 20 else (np.int64, 40)
@@ -112,16 +120,35 @@ def _digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     run = np.diff(np.concatenate([first, [len(key)]]))
     won = (key[first[(run >= LEAST_WINS) & (key[first] != none)]] & ((1 << shift) - 1)).astype(np.int64)
-    owner = np.searchsorted(start, won, "right") - 1
     sums = bytehash.prefix(data)
-    feature = bytehash.ranges(sums, won, won + WINDOW)
+    if core is not None:
+        won = won[(won - start[0] >= core.start) & (won - start[0] < core.stop)]
+        return np.zeros(len(won), np.int64), bytehash.ranges(sums, won, won + WINDOW)
+    owner = np.searchsorted(start, won, "right") - 1
     bare = np.setdiff1d(np.flatnonzero(size), owner)
-    owner = np.concatenate([owner, bare])
-    feature = np.concatenate([feature, bytehash.ranges(sums, start[bare], (start + size)[bare])])
+    feature = np.concatenate([bytehash.ranges(sums, won, won + WINDOW), bytehash.ranges(sums, start[bare], (start + size)[bare])])
+    return np.concatenate([owner, bare]), feature
+
+
+def _long_features(text: bytes, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_features() of one long text, block by block; what decides about a window lies within MARGIN of it."""
+    found = []
+    for at in range(0, len(text), LONG_BYTES):
+        low = max(0, at - MARGIN)
+        found.append(_features([text[low : at + LONG_BYTES + MARGIN]], rank, slice(at - low, at - low + LONG_BYTES))[1])
+    feature = np.concatenate(found)
+    if not len(feature):
+        h = hashlib.blake2b(text, digest_size=8).digest()
+        feature = np.frombuffer(h, np.uint64)
+    return np.zeros(len(feature), np.int64), feature
+
+
+def _filled(owner: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
+    """Chains of filters of n texts, from their features."""
     keep = np.sort(np.unique(bytehash.mix(feature ^ bytehash.mix(owner.astype(np.uint64))), return_index=True)[1])
     keep = keep[np.argsort(owner[keep], kind="stable")]
     owner, feature = owner[keep], feature[keep]
-    each = np.bincount(owner, minlength=len(texts))
+    each = np.bincount(owner, minlength=n)
     ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     filters = -(-each // PER_FILTER)
     base = np.cumsum(filters) - filters
@@ -130,7 +157,7 @@ def _digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     for k in range(HASHES):
         bits[row, (feature >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)] = True
     packed = np.packbits(bits, axis=1)
-    return [packed[b : b + n] for b, n in zip(base, filters, strict=True)]
+    return [packed[b : b + f] for b, f in zip(base, filters, strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -163,28 +190,43 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["level", "n"])
 
     counts = np.zeros(LEVELS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(count, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in bounded_batches(docs.select("text"), count, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():
         counts[r.level] = r.n
     return ranks(counts)
 
 
-def followed(docs: DataFrame, rows_per_bin: int = 1000, most_bins: int = 10_000) -> DataFrame:
+def _cuts(rows: DataFrame, rows_per_bin: int, most_bins: int) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+    """(cut points between bins, least key). Keys are (k, h); every tenth of a sample by hash becomes a cut, so that
+    10 x most_bins keys at most are expected on the driver."""
+    each = max(rows_per_bin, rows.count() // most_bins)
+    chosen = rows.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, each // 10))) == 0).select("k", "h").distinct()
+    keys = sorted((r.k, r.h) for r in chosen.collect())
+    least = rows.agg(F.min(F.struct("k", "h")).alias("least")).first().least
+    return keys[9::10], (least.k, least.h) if least else (0, 0)
+
+
+def followed(docs: DataFrame, rows_per_bin: int = 1000, most_bins: int = 100_000) -> DataFrame:
     """Rows in bins of descending doc_id, each bin followed by a copy (ghost = 1) of the row that comes after it.
 
-    Cut points are quantiles, so no task sees more than its share; the row after the last is the first. Rows with
-    equal ids stand in the order of their texts; those without an id come last.
+    Cuts are keys of rows, so that a bin's first row is known by its key and needs no search. A row finds its bin by
+    halving among the cuts. The row after the last is the first. Rows with equal ids stand in the order of hashes of
+    their texts, so that many may be dealt out too; those without an id (or with the least there is) come last.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    n = min(most_bins, rows.count() // rows_per_bin)
-    cuts = [] if n < 2 else rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first().q or []
-    cuts = F.lit(sorted(set(cuts)) or [None]).cast("array<bigint>")
-    rows = rows.withColumn("bin", F.when(F.col("doc_id").isNull(), F.size(cuts) + 1).otherwise(F.size(F.filter(cuts, lambda c: c >= F.col("doc_id")))))
-    heads = sorted((r.bin, r.head) for r in rows.groupBy("bin").agg(F.max("doc_id").alias("head")).collect())
-    before = {b: heads[k - 1][0] for k, (b, _) in enumerate(heads)}
-    spark = docs.sparkSession
-    head = spark.createDataFrame([(b, h, before[b]) for b, h in heads], "bin int, head bigint, to int")
-    ghosts = rows.join(F.broadcast(head), "bin").where(F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("bin"), F.lit(1).alias("ghost"))
-    return rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition("bin").sortWithinPartitions("bin", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.withColumns({"k": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")})
+    cuts, least = _cuts(rows, rows_per_bin, most_bins)
+    listed = lambda i: F.lit([c[i] for c in cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    at = lambda i, p: F.get(listed(i), p)
+    reached = lambda p: (at(0, p - 1) < F.col("k")) | ((at(0, p - 1) == F.col("k")) & (at(1, p - 1) <= F.col("h")))
+    steps = F.array(*(F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1))) if cuts else F.array().cast("array<int>")
+    step = lambda p, s: F.when((p + s <= len(cuts)) & reached(p + s), p + s).otherwise(p)
+    rows = rows.withColumn("bin", F.aggregate(steps, F.lit(0), step))
+    starts = (F.col("bin") > 0) & (at(0, F.col("bin") - 1) == F.col("k")) & (at(1, F.col("bin") - 1) == F.col("h"))
+    first = (F.col("k") == least[0]) & (F.col("h") == least[1])
+    place = lambda b, g: F.struct(b.cast("int").alias("bin"), F.lit(g).alias("ghost"))
+    ghosts = [F.when(starts, place(F.col("bin") - 1, 1)), F.when(first, place(F.lit(len(cuts)), 1))]
+    out = rows.withColumn("place", F.explode(F.array_compact(F.array(place(F.col("bin"), 0), *ghosts)))).select("doc_id", "text", "place.bin", "place.ghost", "k", "h")
+    return out.repartition("bin").sortWithinPartitions("bin", "ghost", "k", "h", "text").select("doc_id", "text", "bin", "ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -192,7 +234,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id), and their likeness to each other and to the next document.
 
     Null texts count as empty; a lone document is its own next; repeated rows follow each other in any order, as they
-    are equal. An empty table gives an empty result.
+    are equal. An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
     rank = corpus_ranks(docs)
 
@@ -219,7 +261,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out.append((a[2], len(a[3]), hashlib.sha256(raw[len(whole) + k]).hexdigest(), x.tobytes().hex(), e.tobytes().hex(), likeness(x, e), likeness(x, y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
-    return followed(docs).mapInArrow(rows, ", ".join(f"{n} {t}" for n, t in zip(_NAMES, ["bigint", "bigint", "string", "string", "string", "double", "double"], strict=True)))
+    return bounded_batches(followed(docs), rows, ", ".join(f"{n} {t}" for n, t in zip(_NAMES, ["bigint", "bigint", "string", "string", "string", "double", "double"], strict=True)))
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

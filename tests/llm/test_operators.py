@@ -140,7 +140,7 @@ def test_near_duplicates_with_blocks_repeated_in_one_text(spark):
 def test_fingerprints_follow_descending_ids(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
-    old, digest.followed.__defaults__ = digest.followed.__defaults__, (20, 10_000)
+    old, digest.followed.__defaults__ = digest.followed.__defaults__, (20, 100_000)
     try:
         got = {r.doc_id: r for r in digest.fingerprints(docs).collect()}
     finally:
@@ -155,6 +155,19 @@ def test_fingerprints_follow_descending_ids(spark):
         assert got[i].near_edited == pytest.approx(digest.likeness(parse(got[i].fingerprint), parse(got[i].edited_fingerprint)))
 
 
+def test_rows_of_one_id_are_dealt_out(spark):
+    rows = [(None if i % 3 else 7, f"text number {i} " * 5) for i in range(3000)] + [(9, "one")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = digest.followed(docs, 100).where("ghost = 0").groupBy("bin").count().collect()
+    assert sum(r["count"] for r in got) == len(rows) and len(got) > 15 and max(r["count"] for r in got) < 400
+    order = digest.followed(docs, 100).select("bin", "ghost", "doc_id", "text").collect()
+    bins = {b: [(r.doc_id, r.text) for r in order if r.bin == b and not r.ghost] for b in {r.bin for r in order}}
+    for r in order:
+        if r.ghost:
+            assert (r.doc_id, r.text) == bins[(r.bin + 1) % len(bins)][0]
+    assert len({r.bin for r in order if r.ghost}) == len(bins) and [d for b in sorted(bins) for d, _ in bins[b]] == [9] * 50 + [7] * 1000 + [None] * 2000
+
+
 def test_packing_places_every_piece(spark):
     from tokenizers import Tokenizer
 

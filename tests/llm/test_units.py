@@ -130,6 +130,16 @@ def test_digests():
     assert digest.likeness(whole[3], whole[4]) < 0.2 < digest.likeness(whole[3], whole[6]) < 0.9
 
 
+def test_long_texts_have_the_same_digest_in_blocks(monkeypatch):
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(9000)).encode()
+    rank = digest.ranks(digest.level_counts([text]))
+    whole = digest.digests([text], rank)[0]
+    monkeypatch.setattr(digest, "LONG_BYTES", 5000)
+    assert (digest.digests([text, b"short"], rank)[0] == whole).all() and len(whole) > 3
+    assert len(digest.digests([b"a" * 20_000], rank)[0]) == 1
+
+
 def test_range_hashes_depend_on_bytes_alone():
     data = np.frombuffer(b"abcd--abcd-abce", np.uint8)
     a = bytehash.ranges(bytehash.prefix(data), np.array([0, 6, 11]), np.array([4, 10, 15]))

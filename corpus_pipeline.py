@@ -10,14 +10,21 @@ from starloom.llm import linecrf, neardup, packing, secrets, toxicity
 from starloom.llm.common import stage, table
 
 
+def free_name(docs: DataFrame) -> str:
+    """A name that no column has."""
+    return "_" * (1 + max(map(len, docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.rated(docs, machine, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    score = free_name(docs)
+    return toxicity.rated(docs, machine, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = linecrf.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return linecrf.rated(docs, field, "_score").where(F.col("_score") >= linecrf.THRESHOLD).drop("_score")
+    score = free_name(docs)
+    return linecrf.rated(docs, field, score).where(F.col(score) >= linecrf.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = secrets.found(docs, secrets.trained(docs))
-    text = secrets.redacted(F.col("text"), F.col("secrets"))
-    marked = marked.withColumn("text", text).drop("secrets")
-    return marked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return secrets.masked(docs, secrets.trained(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

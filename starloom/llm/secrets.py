@@ -1,12 +1,16 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false findings.
 
-Candidates are runs of at least 12 token characters that hold a digit or stand behind a credential word. The forest
-sees their length, character transitions, dictionary coverage, path marks and neighbouring words. Its trees become
-one column expression, so scoring needs neither joins nor Python. DataFrame and SQL functions throughout.
+Candidates are values of six characters or more that a credential word is given, and runs of at least twelve token
+characters with a digit. The forest sees a value's length, character transitions, dictionary coverage and path marks,
+and the words before and after it. Labels for its training come from what it doesn't see: issuers' formats, and the
+name that a value is directly given to. Its trees become one column expression, so scoring needs neither joins nor
+Python. DataFrame and SQL functions throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,30 +20,60 @@ from .common import stage, table
 
 #: Words that name credentials; patterns and formats (fixed values).
 CREDENTIAL = "(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
-CANDIDATE = rf"""(?:(?i)\b{CREDENTIAL}s?["']?[ \t]{{0,3}}[:=]?[ \t]{{0,3}}["']?)?[A-Za-z0-9+/_~.@-]{{12,}}={{0,2}}"""
-VALUE = r"""[A-Za-z0-9+/_~.@-]{12,}={0,2}$"""
+NAMED = rf"""(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{1,30}}+[_-]){{0,4}}?{CREDENTIAL}s?(?:[_-][A-Za-z0-9]{{1,30}}+){{0,3}}["']?[ \t]{{0,3}}[:=][ \t]{{0,3}}"""
+BESIDE = rf"(?i)(?<![A-Za-z0-9]){CREDENTIAL}s?[ \t]{{1,3}}"
+TOKEN = r"[A-Za-z0-9+/_~.@-]{12,}+={0,2}"
+CANDIDATE = rf"""{NAMED}(?:"[^"\s]{{6,200}}"|'[^'\s]{{6,200}}'|[^\s"',;]{{6,}})|(?:{BESIDE})?{TOKEN}"""
 ISSUED = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^eyJ[A-Za-z0-9_-]{10,}\.|^sk-[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_-]{35}$"
+#: Words beside values that identify or verify something.
+IDENTIFYING = "(?:commit|revision|sha[0-9]*|md5|hash|digest|checksum|uuid|guid|isbn|issn|doi|version|release|etag|serial|order|invoice|tracking|build)"
+CUT = "\ufdd0"  # parts text and candidates; in a text itself it counts as a space
+CONTEXT = 40  # characters on either side that the forest's features may read
 LEAST_VOTE = 0.5
-TREES, DEPTH = 15, 5
+TREES, DEPTH = 20, 7
 TRAINING_ROWS = 4000  # labelled findings of each class at most
 DICTIONARY = 2000  # commonest words of the corpus
-FEATURES = ["length", "digits", "capitals", "switches", "runs", "distinct", "covered", "slashes", "dots", "named", "quoted", "prefix", "at_sign", "hex"]
+LEAST_SHARE = 20_000  # a dictionary word makes up one in so many words of the corpus at least
+FEATURES = ["length", "digits", "capitals", "switches", "runs", "distinct", "covered", "other_marks", "slashes", "dots", "groups", "at_sign", "hex", "quoted", "assigned", "plain_before", "plain_after", "credential_near", "identifying_near"]
+
+
+def cut_text(text: Column) -> Column:
+    """array<string>: by turns what stands between candidates, and candidates; the first and the last are of the former."""
+    return F.split(F.regexp_replace(F.translate(text, CUT, " "), CANDIDATE, f"{CUT}$0{CUT}"), CUT, -1)
+
+
+def _finding(found: Column, before: Column, after: Column) -> Column:
+    """struct<lead, value, named, before, after> of a candidate and the text on both sides; lead: characters before the
+    value in it; before ends with the value's own name."""
+    rest = F.regexp_replace(F.regexp_replace(found, f"^{NAMED}", ""), f"^{BESIDE}", "")
+    value = F.regexp_extract(rest, "(?s)^[\"']?(.*?)[\"'.:!?)]*$", 1)
+    lead = F.length(found) - F.length(rest) + F.when(rest.rlike("^[\"']"), 1).otherwise(0)
+    return F.struct(
+        lead.alias("lead"), value.alias("value"), found.rlike(f"^{NAMED}").alias("named"), F.concat(F.substring(before, -CONTEXT, CONTEXT), F.substring(found, F.lit(1), lead)).alias("before"), F.substring(after, 1, CONTEXT).alias("after")
+    )
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<found, value>>: each candidate with the credential word before it, if any."""
-    found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))
-    pairs = F.transform(found, lambda f: F.struct(f.alias("found"), F.regexp_extract(f, f"({VALUE})", 1).alias("value")))
-    return F.filter(pairs, lambda c: (F.length(c["value"]) >= 12) & (c["value"].rlike("[0-9]") | (F.length(c["found"]) > F.length(c["value"]))))
+def findings(parts: Column) -> Column:
+    """array<struct<lead, value, named, before, after>> of the candidates of cut_text()."""
+    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: _finding(F.get(parts, i), F.get(parts, i - 1), F.get(parts, i + 1)))
 
 
-def features(found: Column, value: Column, words: Column) -> list[Column]:
-    """The forest's inputs, in the order of FEATURES. words: array of dictionary words."""
+def worth(c: Column) -> Column:
+    """Whether a finding is a candidate: long enough, and with a digit where it has no name."""
+    return (F.length(c["value"]) >= 6) & (c["named"] | (F.length(c["value"]) >= 12) & c["value"].rlike("[0-9]"))
+
+
+def features(c: Column, words: Column) -> list[Column]:
+    """The forest's inputs, in the order of FEATURES. c: value, before and after; words: array of dictionary words."""
+    value = c["value"]
     length = F.length(value).cast("double")
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
-    runs = F.filter(F.split(F.lower(value), "[^a-z]+"), lambda w: F.length(w) >= 2)
-    covered = F.aggregate(F.filter(runs, lambda w: F.array_contains(words, w)), F.lit(0), lambda s, w: s + F.length(w))
-    before = F.substring(found, F.lit(1), F.length(found) - F.length(value))
+    plain = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
+    letters = lambda ws: F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w))
+    known = lambda ws: F.filter(ws, lambda w: F.array_contains(words, w))
+    share = lambda text: F.size(known(plain(text))).cast("double") / F.greatest(F.size(plain(text)), F.lit(1))
+    around = F.concat(c["before"], F.lit(" "), c["after"])
     return [
         length,
         count("[0-9]") / length,
@@ -47,59 +81,84 @@ def features(found: Column, value: Column, words: Column) -> list[Column]:
         count("[0-9][A-Za-z]|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])") / length,
         count("[A-Za-z]+|[0-9]+") / length,
         F.size(F.array_distinct(F.split(value, ""))).cast("double") / length,
-        covered / length,
+        letters(known(plain(value))) / length,
+        count("[^A-Za-z0-9/.@_-]") / length,
         count("/"),
         count("[.]"),
-        before.rlike(f"(?i){CREDENTIAL}").cast("double"),
-        before.rlike("[\"']$").cast("double"),
-        value.rlike(ISSUED).cast("double"),
+        count("[-_]"),
         count("@"),
         value.rlike("^[0-9a-f]+$").cast("double"),
+        c["before"].rlike("[\"']$").cast("double"),
+        c["before"].rlike("[:=][ \t]*[\"']?$").cast("double"),
+        share(c["before"]),
+        share(c["after"]),
+        c["before"].rlike(f"(?i){CREDENTIAL}").cast("double"),
+        around.rlike(f"(?i)(?<![a-z]){IDENTIFYING}(?![a-z])").cast("double"),
     ]
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The corpus's commonest words of two letters or more, counted over all texts, ties by the word."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
-    return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+    """The corpus's commonest words of two letters or more, counted over all texts, ties by the word. Only words of one
+    in LEAST_SHARE, which can't be more than so many, are put in order. (Spark doubles the work before an inner explode, to
+    leave out empty arrays; an outer one does it once.)"""
+    words = docs.select(F.explode_outer(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 2)
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), F.col("n") * LEAST_SHARE >= F.col("total"))
+    return [r.word for r in often.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def labelled_findings(docs: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
-    """Findings labelled by rules that read more than the forest sees of one: 1 where an issuer's format or a credential
-    word with = or : precedes a value that mixes letters and digits; 0 for addresses, numbers, plain words and paths.
-    At most `most` of each class, by a hash; others stay unlabelled."""
-    found = docs.where(F.col("text").isNotNull()).select(F.explode(candidates(F.col("text"))).alias("c")).select("c.found", "c.value").groupBy("value").agg(F.min("found").alias("found"))
+    """(value, before, after, label) of findings, labelled by rules whose inputs the forest doesn't get: 1 where a value
+    has an issuer's format, or is directly given to a credential name and mixes letters and digits; 0 for addresses,
+    numbers, plain words, paths, and what an identifying word stands before. About `most` of each class, by a hash;
+    others stay unlabelled. A value that is found often counts once. Each finding also comes without the text around
+    it, so that a value's own shape has to tell."""
+    cut = docs.where(F.col("text").isNotNull()).select(F.explode_outer(_let(cut_text(F.col("text")), findings)).alias("c"))
+    found = cut.where(worth(F.col("c"))).groupBy("c.value").agg(F.min(F.struct("c.named", "c.before", "c.after")).alias("c")).select("value", "c.*")
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    named = F.col("found").rlike(f"(?i){CREDENTIAL}s?[\"']?[ \\t]{{0,3}}[:=]")
-    plain = F.col("value").rlike(r"@|^[0-9.+-]+$|^[A-Za-z.+/_~-]+$|^[a-z]+[0-9]{1,4}$|/[A-Za-z]+/")
-    label = F.when(F.col("value").rlike(ISSUED), 1.0).when(named & mixed & ~F.col("value").contains("@"), 1.0).when(plain, 0.0)
-    kept = found.withColumn("label", label).where("label is not null")
-    order = F.xxhash64("value")
-    return kept.where("label = 1").orderBy(order, "value").limit(most).unionByName(kept.where("label = 0").orderBy(order, "value").limit(most))
-
-
-def decoys(spark: SparkSession) -> DataFrame:
-    """Labelled findings for each kind the corpus may lack, made from counters by hashing; a few hundred rows."""
-    n = spark.range(120).select(F.col("id"), F.sha2(F.concat(F.lit("decoy"), "id"), 256).alias("h"))
-    upper = F.translate(F.upper(F.col("h")), "01", "XY")
-    kinds = [
-        (1.0, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.lit("")),
-        (1.0, F.substring("h", 1, 40), F.lit('token = "')),
-        (1.0, F.substring("h", 1, 18), F.lit("password=")),
-        (1.0, F.concat(F.lit("ghp_"), F.substring("h", 1, 36)), F.lit("")),
-        (1.0, F.concat(F.substring("h", 1, 12), F.substring(upper, 13, 12)), F.lit("api_key: ")),
-        (0.0, F.concat(F.lit("user"), F.substring("h", 1, 3), F.lit("@mail.example.com")), F.lit("")),
-        (0.0, F.regexp_replace(F.conv(F.substring("h", 1, 15), 16, 10), "^(.{16}).*", "$1"), F.lit("")),
-        (0.0, F.concat(F.lit("/usr/share/doc"), (F.col("id") % 10).cast("string"), F.lit("/readme.txt")), F.lit("")),
-        (0.0, F.concat(F.lit("release-2024.01."), F.col("id").cast("string")), F.lit("")),
-        (0.0, F.concat(F.lit("internationalisation"), F.col("id").cast("string")), F.lit("")),
-        (0.0, F.lit("configuration"), F.lit("password ")),
-    ]
-    rows = [n.select(F.concat(b, v).alias("found"), v.alias("value"), F.lit(k).alias("label")) for k, v, b in kinds]
+    plain = F.col("value").rlike(r"@[A-Za-z0-9-]+\.|^[0-9.+-]+$|^[A-Za-z.+/_~-]+$|^[a-z]+[0-9]{1,4}$|/[A-Za-z]+/")
+    shown = F.col("before").rlike(rf"(?i)(?<![a-z]){IDENTIFYING}[ \t:=#]{{1,3}}$")
+    label = F.when(F.col("value").rlike(ISSUED), 1.0).when(F.col("named") & mixed & ~F.col("value").contains("@"), 1.0).when(plain & ~F.col("named") | shown, 0.0)
+    kept = stage(found.withColumn("label", label).where("label is not null").select("value", "before", "after", "label"), "labelled")
+    n = {r.label: r.n for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [kept.where((F.col("label") == y) & (F.pmod(F.xxhash64("value"), F.lit(max(1, n.get(y, 0) // most))) == 0)) for y in (0.0, 1.0)]
+    both = chosen[0].unionByName(chosen[1])
+    return both.unionByName(both.select("value", F.lit("").alias("before"), F.lit("").alias("after"), "label"))
+
+
+#: Kinds of labelled findings made by rule, beside the corpus's own: (kind, label, text before, value, text after). In
+#: values h is a hash in hex, u its capitals, d its digits, m its letters of both cases and digits, i a number.
+KINDS = [
+    ("cloud key", 1, "", "AKIA{u16}", ""), ("hex token", 1, 'token = "', "{h40}", '"'), ("hex password", 1, "password=", "{h18}", " "), ("host token", 1, "", "ghp_{m36}", " "), ("mixed key", 1, "api_key: ", "{m24}", ""),
+    ("payment key", 1, "", "sk_live_{m24}", " "), ("lab token", 1, "token ", "glpat-{m20}", ""), ("short password", 1, "DB_PASSWORD=", "{m8}", ""), ("marked password", 1, 'password: "', "{m4}!{m4}#{m3}", '"'), ("signed token", 1, "Bearer ", "eyJ{m20}.{m30}.{m27}", ""), ("bare key", 1, "use ", "{m40}", " for it"),
+    ("address", 0, "write to ", "user{h3}@mail.example.com", " today"), ("number", 0, "number ", "{d16}", ""), ("path", 0, "see ", "/usr/share/doc{d1}/readme.txt", ""), ("release", 0, "version ", "release-2024.01.{i}", ""), ("word", 0, "the ", "internationalisation{i}", " of"),
+    ("commit", 0, "commit ", "{h40}", ""), ("checksum", 0, "sha256: ", "{h64}", ""), ("uuid", 0, "uuid ", "{h8}-{h4}-{h4}-{h4}-{h12}", ""), ("link", 0, "http://", "www.example.com/page/{i}/index.html", " and"), ("log", 0, "in ", "run-202401{d2}-{d6}.log", ""), ("md5", 0, "md5 ", "{h32}", " of the file"), ("etag", 0, "etag: ", "{m22}", ""), ("order", 0, "order ", "{u8}-{d6}", " was sent"), ("build", 0, "build ", "{h12}", ""), ("serial", 0, "serial no. ", "{u12}{d4}", ""), ("host", 0, "on ", "node-{i}.cluster.example.org", ""), ("word after name", 0, "password ", "configuration", " is"),
+]
+
+
+def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) -> DataFrame:
+    """(kind, value, before, after, label): `each` findings of each kind, made from counters by hashing."""
+    n = spark.range(each).select(F.col("id"), *(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512).alias(k) for k in ("h", "x", "y")))
+    mixed = F.translate(F.concat("x", F.upper("y")), "0123456789abcdefABCDEF", "3KmP8vRz4tQhw7XfLpgZJdBn")
+    sources = {"h": F.col("h"), "u": F.translate(F.upper("h"), "01", "XY"), "d": F.translate("h", "abcdef", "314159"), "m": F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.concat(F.substring(mixed, k, F.lit(1)), F.substring(mixed, k + 128, F.lit(1)))))}
+
+    def made(pattern: str) -> Column:
+        out, at = [], 1
+        for k, part in enumerate(pattern.replace("}", "{").split("{")):
+            if k % 2 and part == "i":
+                out.append(F.col("id").cast("string"))
+            elif k % 2:
+                out.append(F.substring(sources[part[0]], at, int(part[1:])))
+                at += int(part[1:]) if at < 60 else 0
+            else:
+                out.append(F.lit(part))
+        return F.concat(*out)
+
+    rows = [n.select(F.lit(k).alias("kind"), made(v).alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for k, y, b, v, a in kinds]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.where(F.length("value") >= 12)
+    return out
 
 
 def _tree(node) -> tuple | float:
@@ -125,18 +184,20 @@ class Forest:
     def __init__(self, trees: list[tuple | float], words: list[str]):
         self.trees, self.words = trees, words
 
-    def votes(self, cands: Column) -> Column:
-        """array<struct<found, value, vote>> of the candidates; a vote is the trees' mean."""
-        words = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
-        marked = F.transform(cands, lambda c: F.struct(c["found"].alias("found"), c["value"].alias("value"), F.array(*features(c["found"], c["value"], words)).alias("f")))
-        mean = lambda f: sum((_leaf(t, f) for t in self.trees), F.lit(0.0)) / len(self.trees)
-        return F.transform(marked, lambda m: F.struct(m["found"].alias("found"), m["value"].alias("value"), mean(m["f"]).alias("vote")))
+    def vote(self, c: Column) -> Column:
+        """The trees' mean vote for one finding; 0 if it isn't worth one."""
+        f = F.transform(F.array(F.array(*features(c, _listed(self.words)))), lambda f: sum((_leaf(t, f) for t in self.trees), F.lit(0.0)) / len(self.trees))
+        return F.when(worth(c), f[0]).otherwise(0.0)
+
+
+def _listed(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from labelled findings (found, value, label)."""
-    listed = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    rows = findings.select("label", *(c.alias(n) for n, c in zip(FEATURES, features(F.col("found"), F.col("value"), listed), strict=True)))
+    """A forest from labelled findings (value, before, after, label)."""
+    c = F.struct("value", "before", "after")
+    rows = findings.select("label", *(f.alias(n) for n, f in zip(FEATURES, features(c, _listed(words)), strict=True)))
     rows = stage(rows.repartition(2), "findings")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(ready)
@@ -144,36 +205,69 @@ def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int
 
 
 def trained(docs: DataFrame) -> Forest:
-    return train(labelled_findings(docs).unionByName(decoys(docs.sparkSession)), dictionary(docs))
+    return train(labelled_findings(docs).unionByName(decoys(docs.sparkSession).drop("kind")), dictionary(docs))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) in which the value is worked out once, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(text: Column, forest: Forest, body: Callable[[Column, Column], Column]) -> Column:
+    """body(parts, marks): the text in parts, and array<struct<lead, value, vote>> of its candidates."""
+    mark = lambda c: F.struct(c["lead"].alias("lead"), c["value"].alias("value"), forest.vote(c).alias("vote"))
+    return _let(cut_text(text), lambda parts: _let(F.transform(findings(parts), mark), lambda marks: body(parts, marks)))
+
+
+def _spans(parts: Column, marks: Column, least: float) -> Column:
+    """array<struct<start, end, value, vote>> of the findings that stay: parts are gone through once."""
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,vote:double>>")
+    steps = F.transform(marks, lambda m, i: F.struct(F.length(F.get(parts, 2 * i)).alias("gap"), F.length(F.get(parts, 2 * i + 1)).alias("whole"), m.alias("m")))
+
+    def step(s: Column, c: Column) -> Column:
+        start = s["at"] + c["gap"] + c["m"]["lead"]
+        one = F.struct(start.alias("start"), (start + F.length(c["m"]["value"])).alias("end"), c["m"]["value"].alias("value"), c["m"]["vote"].alias("vote"))
+        return F.struct((s["at"] + c["gap"] + c["whole"]).alias("at"), F.when(c["m"]["vote"] >= least, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+
+    return F.when(parts.isNotNull(), F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"]))
+
+
+def _masked(text: Column, parts: Column, marks: Column, least: float, hidden: str) -> Column:
+    """The text with the findings that stay replaced, joined from its parts; as it was where there are none."""
+
+    def part(p: Column, i: Column) -> Column:
+        m = F.get(marks, F.floor((i - 1) / 2).cast("int"))
+        shown = F.concat(F.substring(p, F.lit(1), m["lead"]), F.lit(hidden), F.substring(p, m["lead"] + F.length(m["value"]) + 1, F.length(p)))
+        return F.when((i % 2 == 1) & (m["vote"] >= least), shown).otherwise(p)
+
+    return F.when(F.exists(marks, lambda x: x["vote"] >= least), F.array_join(F.transform(parts, part), "")).otherwise(text)
+
 
+def found(docs: DataFrame, forest: Forest, least: float = LEAST_VOTE, name: str = "secrets") -> DataFrame:
+    """All columns of the rows, and in `name` (in place of a column of that name) array<struct<start, end, value, vote>>
+    of the findings that stay, in order; code points from 0, end exclusive.
 
-def found(docs: DataFrame, forest: Forest, least: float = LEAST_VOTE) -> DataFrame:
-    """All columns of the rows and `secrets`: array<struct<start, end, value, vote>> of the findings that stay, in
-    order; code points from 0, end exclusive. Null texts have a null array, texts without findings an empty one."""
-    votes = forest.votes(candidates(F.col("text")))
-    placed = """aggregate(_votes, named_struct('at', 1, 'out', CAST(array() AS array<struct<start:int,end:int,value:string,vote:double>>)),
-        (s, c) -> named_struct(
-            'at', locate(c.found, text, s.at) + length(c.found),
-            'out', IF(c.vote >= %r, concat(s.out, array(named_struct(
-                'start', locate(c.found, text, s.at) + length(c.found) - length(c.value) - 1,
-                'end', locate(c.found, text, s.at) + length(c.found) - 1, 'value', c.value, 'vote', c.vote))), s.out)),
-        s -> s.out)""" % float(least)
-    return docs.withColumn("_votes", votes).withColumn("secrets", F.expr(placed)).drop("_votes")
+    Null texts have a null array, texts without findings an empty one; repeated rows stay, an empty table gives none.
+    Equal votes need no order, as findings don't overlap. A text is cut once and gone through once.
+    """
+    return docs.withColumn(name, _scan(F.col("text"), forest, lambda parts, marks: _spans(parts, marks, least)))
 
 
-def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each finding's span replaced, from the last to the first."""
-    step = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.length(t)))
-    return F.when(F.size(secrets) > 0, F.aggregate(F.reverse(secrets), text, step)).otherwise(text)
+def masked(docs: DataFrame, forest: Forest, least: float = LEAST_VOTE, hidden: str = "[SECRET]") -> DataFrame:
+    """The rows with the findings that stay replaced in `text`; other columns are left as they are."""
+    text = F.col("text")
+    return docs.withColumn("text", _scan(text, forest, lambda parts, marks: _masked(text, parts, marks, least, hidden)))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = found(docs.select("doc_id", "text"), trained(docs))
+    text = F.col("text")
+    both = lambda parts, marks: F.struct(_spans(parts, marks, LEAST_VOTE).alias("secrets"), _masked(text, parts, marks, LEAST_VOTE, "[SECRET]").alias("masked"))
+    rows = docs.select("doc_id", _scan(text, trained(docs), both).alias("s")).select("doc_id", "s.secrets", "s.masked")
     span = F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return rows.select(
         "doc_id",
         F.coalesce(F.size("secrets"), F.lit(0)).cast("bigint").alias("n_secrets"),
         F.concat_ws(",", span).alias("spans"),
-        F.sha2(F.coalesce(redacted(F.col("text"), F.col("secrets")), F.lit("")).cast("binary"), 256).alias("redacted_sha256"),
+        F.sha2(F.coalesce("masked", F.lit("")).cast("binary"), 256).alias("redacted_sha256"),
     )

@@ -8,8 +8,9 @@ arrival is later than all registers' first ones are done, which ends the work ea
 The exact Jaccard similarity of two shingle sets, which knows no weights, decides. So registers are made a second time
 with all weights 1, where texts agree with just that probability. Texts that agree in a band of either are candidates;
 only the registers of weight 1 may rule a candidate out. Shingles that occur once have the same arrivals in both.
-Equal texts are one from the start. In a band's bucket every text is first compared with the bucket's least; only
-texts that aren't yet in its class are then compared with all others there, so a bucket of n near copies costs n.
+Equal texts are one from the start. In a band's bucket every text is first compared with one of them, and where that
+leaves several classes, with another one, and again; only texts that even then aren't in the last one's class are
+compared with all others there. So a bucket of n near copies costs n, and no link that joins classes is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import bounded_batches, in_parts, stage, table, texts_of
 SHINGLE = 5
 ROWS, BANDS = 9, 48
 LEAST = 0.8
+STARS = 4  # rounds in which a bucket's texts are compared with one of them, before the rest are with all
 #: Words of the short sketch, which has four bits of each register, and the least estimate from it that goes on to
 #: verification: 3.2 deviations below 0.8.
 SKETCH_WORDS = -(-4 * ROWS * BANDS // 64)
@@ -220,27 +222,47 @@ def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LE
     heads = entry.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stage(entry.join(stage(heads.select("bucket", "head"), "heads"), "bucket"), "buckets")
     own = stage(shingle_sets(texts, named.join(buckets.select("id").distinct(), "id", "left_semi")), "shingles")
-    star = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    other = _sketch(made, "b", "q")
-    star = star.join(_sketch(made, "a", "p"), "a").join(other, (star["b"] == other["b"]) & likely).select("a", star["b"])
-    first = stage(_similar(star, own, least), "links")
-    classes = stage(components(made, first), "classes")
-    # What a bucket still holds in more than one class: its rest against all that is there, in other classes
-    head_class = classes.select(F.col("id").alias("head"), F.col("class").alias("head_class"))
-    known = stage(buckets.join(classes, "id").join(head_class, "head").select("bucket", "id", "class", "head_class"), "known")
-    rest = known.where(F.col("class") != F.col("head_class")).select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"))
-    other = known.join(rest.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), (F.col("class") == F.col("head_class")).alias("main"))
+
+    def verified(star: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that are similar."""
+        other = _sketch(made, "b", "q")
+        star = star.join(_sketch(made, "a", "p"), "a").join(other, (star["b"] == other["b"]) & likely).select("a", star["b"])
+        return stage(_similar(star, own, least), "links")
+
+    found = verified(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    classes, first = stage(components(made, found), "classes"), found
+    # Buckets that still hold several classes: all against another head, as long as there are such and STARS allows
+    buckets = buckets.drop("head")
+    for star in range(1, STARS + 1):
+        known = stage(buckets.join(classes, "id"), "known")
+        head = F.min_by(F.struct("id", "class"), F.xxhash64("id", F.lit(star))).alias("head")
+        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), head).where("low <> high")
+        mixed = stage(mixed.select("bucket", F.col("head.id").alias("head"), F.col("head.class").alias("head_class")), "heads")
+        known = stage(known.join(mixed, "bucket"), "known")
+        if known.isEmpty():
+            return first, classes
+        buckets = known.select("bucket", "id")
+        if star < STARS:
+            found = verified(known.where("class <> head_class").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+            classes, first = _merged(classes, found), first.unionByName(found)
+    # What a bucket then still holds in more than one class: its rest against all that is there, in other classes
+    rest = known.where("class <> head_class").select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"))
+    other = known.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), (F.col("class") == F.col("head_class")).alias("main"))
     rest, other = rest.join(_sketch(made, "a", "p"), "a"), other.join(_sketch(made, "b", "q"), "b")
     meet = (rest["bucket"] == other["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & likely
     crossed = rest.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stage(_similar(crossed.join(first, ["a", "b"], "left_anti"), own, least), "links")
-    if second.isEmpty():
-        return first, classes
-    # What is new joins whole classes
+    second = stage(_similar(crossed, own, least), "links")
+    return first.unionByName(second), _merged(classes, second)
+
+
+def _merged(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes (id, class) after more links: what is new joins whole classes."""
+    if found.isEmpty():
+        return classes
     of = lambda key, out: classes.select(F.col("id").alias(key), F.col("class").alias(out))
-    between = second.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    between = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     above = components(classes.select(F.col("class").alias("id")).distinct(), between).select(F.col("id").alias("class"), F.col("class").alias("top"))
-    return first.unionByName(second), classes.join(above, "class").select("id", F.col("top").alias("class"))
+    return stage(classes.join(above, "class").select("id", F.col("top").alias("class")), "classes")
 
 
 def _labelled(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Prose from wiki text and web pages, as column expressions.
 
-Each step is a pattern over the whole string, but for templates, which nest to any depth: their braces are counted row
-by row. What an unclosed construct opens is dropped to the end.
+Each step is a pattern over the whole string, but for templates, tags and embedded media, which nest to any depth: their
+brackets are counted row by row. What an unclosed construct opens is dropped to the end.
 """
 
 from __future__ import annotations
@@ -81,15 +81,53 @@ def resolve_templates(text: Column) -> Column:
     return _without_templates(text)
 
 
+_BRACKET = re.compile("[<>]")
+
+
+def without_tags(text: str) -> str:
+    """What stands outside of < and >, which are counted at any depth; one that stays open takes the rest."""
+    out, depth, at = [], 0, 0
+    for m in _BRACKET.finditer(text):
+        if not depth:
+            out.append(text[at : m.start()])
+        depth = depth + 1 if m[0] == "<" else max(0, depth - 1)
+        at = m.end()
+    return "".join(out) if depth else "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _without_tags(text: pd.Series) -> pd.Series:
+    return text.map(without_tags, na_action="ignore")
+
+
 def strip_tags(text: Column) -> Column:
-    """A < opens a tag that goes up to the next >; one that stays open takes the rest."""
-    return F.regexp_replace(text, r"(?s)<[^<>]*(?:>|\z)", "")
+    return _without_tags(text)
+
+
+_LINK = re.compile(r"(\[\[)(?:\s*(?:file|image|media):)?|\]\]", re.I)
+
+
+def without_files(text: str) -> str:
+    """Embedded media go with captions that hold links at any depth; one that stays open takes the rest."""
+    out, depth, at = [], 0, 0
+    for m in _LINK.finditer(text):
+        if depth:
+            depth += 1 if m[1] else -1
+            at = m.end()
+        elif m[0].endswith(":"):
+            out.append(text[at : m.start()])
+            depth, at = 1, m.end()
+    return "".join(out) if depth else "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _without_files(text: pd.Series) -> pd.Series:
+    return text.map(without_files, na_action="ignore")
 
 
 def strip_files(text: Column) -> Column:
     """Embedded media with captions that may hold links."""
-    inner = r"(?:[^\[\]]|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*+"
-    return F.regexp_replace(text, rf"(?i)\[\[\s*(?:file|image|media):{inner}(?:\]\]|\z)", "")
+    return _without_files(text)
 
 
 def flatten_links(text: Column) -> Column:

@@ -32,18 +32,25 @@ def linked(claims: Column, prop: str) -> Column:
     return F.coalesce(F.filter(numbers, lambda n: n.isNotNull()), F.array().cast("array<int>"))
 
 
+#: Properties that facts read.
+READ = (ARTIST_ID, FORMED_IN, BORN_IN, INCEPTION, COUNTRY, GENRE, LABEL, INFLUENCED_BY)
+
+
+def slim(entities: DataFrame) -> DataFrame:
+    """Entities with no more than facts() and referenced_items() read: English labels and titles, and of those with an
+    artist id the claims of a few properties."""
+    only = lambda c, keys: F.map_filter(c, lambda k, _: k.isin(*keys))
+    claims = F.when(F.col("claims")[ARTIST_ID].isNotNull(), only("claims", READ))
+    return entities.select("id", only("labels", ["en"]).alias("labels"), claims.alias("claims"), only("sitelinks", ["enwiki"]).alias("sitelinks"))
+
+
 def facts(entities: DataFrame, artists: DataFrame) -> DataFrame:
     """A row for each known artist. An entity stands for the first of its artist ids that is known; of several
-    entities the greatest Q-number wins. Formation goes before birth as origin."""
-    items = entities.withColumn("qid", item_number(F.col("id"))).where("qid is not null")
-    keyed = items.select("qid", F.posexplode(values(F.col("claims"), ARTIST_ID)).alias("pos", "mbid"))
-    known = keyed.join(artists.select(F.col("id").alias("artist_id"), "mbid"), "mbid")
-    owner = known.groupBy("qid").agg(F.min_by("artist_id", "pos").alias("artist_id"))
+    entities the greatest Q-number wins. Formation goes before birth as origin. Entities without an artist id go, and
+    what facts need is taken out of the claims, before anything is shuffled."""
     claims = F.col("claims")
     formed, born = F.get(linked(claims, FORMED_IN), F.lit(0)), F.get(linked(claims, BORN_IN), F.lit(0))
-    rows = items.join(owner, "qid").select(
-        "artist_id",
-        "qid",
+    fact = F.struct(
         F.col("sitelinks")["enwiki"]["title"].alias("enwiki_title"),
         F.coalesce(formed, born).alias("origin_qid"),
         F.when(formed.isNotNull(), False).when(born.isNotNull(), True).alias("origin_is_birth"),
@@ -53,7 +60,17 @@ def facts(entities: DataFrame, artists: DataFrame) -> DataFrame:
         linked(claims, LABEL).alias("labels"),
         linked(claims, INFLUENCED_BY).alias("influenced_by"),
     )
-    return rows.groupBy("artist_id").agg(F.max_by(F.struct(*rows.columns[1:]), "qid").alias("f")).select("artist_id", "f.*")
+    items = entities.where(claims[ARTIST_ID].isNotNull()).select(item_number(F.col("id")).alias("qid"), values(claims, ARTIST_ID).alias("mbids"), fact.alias("fact"))
+    items = items.select("qid", F.posexplode_outer("mbids").alias("pos", "mbid"), "fact").where("qid is not null and mbid is not null")
+    known = items.join(artists.select(F.col("id").alias("artist_id"), "mbid"), "mbid")
+    owned = known.groupBy("qid").agg(F.min_by(F.struct("artist_id", "fact"), "pos").alias("o")).select("o.artist_id", "qid", "o.fact")
+    return owned.groupBy("artist_id").agg(F.max_by(F.struct("qid", "fact"), "qid").alias("f")).select("artist_id", "f.qid", "f.fact.*")
+
+
+def counted(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row: entities read, those with an artist id, and artists kept."""
+    read = entities.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.col("claims")[ARTIST_ID].isNotNull()).alias("with_artist_id"))
+    return read.crossJoin(F.broadcast(facts.agg(F.count(F.lit(1)).alias("kept"))))
 
 
 def influences(facts: DataFrame) -> DataFrame:

@@ -40,8 +40,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def copy_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of COPY TEXT files up to each file's end mark, a lone \\. in its line. A line's place is where its
+    block begins in the file and its number among the lines of its task; both scans are cut alike."""
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    rows = lines(spark, path).select("value", *(F.col(c).alias(n) for c, n in zip(place, ("file", "block"), strict=True)), F.monotonically_increasing_id().alias("line"))
+    ends = rows.where(F.rtrim(F.col("value")).isin("\\.", "\\.\r")).groupBy("file").agg(F.min(F.struct("block", "line")).alias("end"))
+    return rows.join(ends, "file", "left").where(F.col("end").isNull() | (F.struct("block", "line") < F.col("end"))).select("value")
+
+
 def copy_table(rows: DataFrame, table: str) -> DataFrame:
-    """Typed columns of COPY TEXT lines (value); what is malformed is null. The end mark, alone in its line, goes."""
+    """Typed columns of COPY TEXT lines (value); what is malformed is null. An end mark, alone in its line, goes;
+    copy_lines() also leaves out what follows it."""
     fields = rows.where(~F.col("value").isin("\\.", "\\.\r")).select(copy_fields(F.try_validate_utf8("value")).alias("f"))
 
     def typed(at: int, kind: str):
@@ -68,9 +78,11 @@ def entity_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """Records of an XML file; one compressed file is one task, so they are dealt out again right after the scan."""
+    """Records of XML files. A compressed file may be one task, so records of few files are dealt out again; those of
+    many files stay where they are."""
     rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def masters(rows: DataFrame) -> DataFrame:

@@ -27,8 +27,21 @@ def test_copy_fields(spark, line, fields):
 
 
 def test_copy_table(spark):
-    rows = spark.createDataFrame([("10\t222\t1991\t9\t24",), ("x\t1\t40000",), (" 7 \t1\t\\N",), ("\\.",)], "value string")
-    assert [tuple(r) for r in dumps.copy_table(rows, "release_country").collect()] == [(10, 1991), (None, None), (None, None)]
+    rows = spark.createDataFrame([("31\t84\t1968\t11\t2",), ("x\t1\t40000",), (" 7 \t1\t\\N",), ("\\.",)], "value string")
+    assert [tuple(r) for r in dumps.copy_table(rows, "release_country").collect()] == [(31, 1968), (None, None), (None, None)]
+
+
+def test_nothing_follows_the_end_of_a_copy(spark, tmp_path):
+    (tmp_path / "a").write_text("".join(f"{i}\tx\n" for i in range(9000)) + "\\.\n1\tlate\n\\.\n2\tlater\n")
+    (tmp_path / "b").write_bytes(b"7\ty\r\n\\.\r\n8\tz\r\n")
+    (tmp_path / "c").write_text("5\tw\n\\.x\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = [r.value.rstrip("\r") for r in dumps.copy_lines(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == sorted([*(f"{i}\tx" for i in range(9000)), "7\ty", "5\tw", "\\.x"])
 
 
 def test_relations(spark):
@@ -76,11 +89,14 @@ def test_entities(spark):
         "",
     ]
     found = facts.entities(spark.createDataFrame([(x,) for x in lines], "value string"))
+    slim = facts.slim(found)
+    assert slim.schema == found.schema and {r.id: r.claims is None for r in slim.collect()} == {"Q1": False, "Q2": False, "Q3": False, "L5": True}
     known = spark.createDataFrame([(1, "a"), (2, "b")], "id int, mbid string")
     rows = facts.facts(found, known)
     got = {r.artist_id: (r.qid, r.origin_qid, r.origin_is_birth, r.inception_year) for r in rows.collect()}
     assert got == {1: (1, 90, False, 1987), 2: (2, 91, True, None)}
     assert [tuple(r) for r in facts.influences(rows).collect()] == [(2, 1)]
+    assert sorted(map(str, facts.facts(slim, known).collect())) == sorted(map(str, rows.collect())) and tuple(facts.counted(slim, rows).first()) == (4, 3, 2)
     assert {r.qid: r.label for r in facts.referenced_items(rows, found).collect()} == {90: None, 91: None}
 
 
@@ -92,7 +108,10 @@ LEADS = [
     ("The town was active{{spaced ndash}}and loud (; born 1982) for {{convert|10|km|mi}} around the hills.<ref name=x>no</ref>", "The town was active – and loud (born 1982) for 10 km around the hills."),
     ("Someone ({{lang|de|nichts}}) wrote songs<!-- hidden --> for a very long time [[File:a.jpg|thumb|a [[b]] c]] indeed.", "Someone (nichts) wrote songs for a very long time indeed."),
     ("* list item that is long enough to be kept if it were not a list\nA first paragraph that is long enough to be kept.\n\nA second paragraph, which is also long enough.", "A first paragraph that is long enough to be kept.\n\nA second paragraph, which is also long enough."),
-    ("Text that goes on for quite some time before {{an unclosed template starts", "Text that goes on for quite some time before"),
+    ("Nothing at all is said about what comes after this {{mark that nobody has ever closed", "Nothing at all is said about what comes after this"),
+    ("A <span <b>of</b> x>word</span> that has a tag inside a tag, and then goes on < with the rest lost", "A word that has a tag inside a tag, and then goes on"),
+    ("An image [[File:x.jpg|thumb|of [[a|one [[b]] two]] and [c] more]] stands in the middle of this sentence.", "An image stands in the middle of this sentence."),
+    ("The first café was opened by two of them&nbsp;in [[Zürich|the city of Zürich]] & then another.", "The first café was opened by two of them in the city of Zürich & then another."),
 ]
 
 

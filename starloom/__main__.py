@@ -22,11 +22,14 @@ def parser() -> argparse.ArgumentParser:
     source.add_argument("--min-score", type=float, default=0.0)
     source.add_argument("--labels")
     source.add_argument("--artists")
+    source.add_argument("--limit", type=int, help="entities or pages at most")
     lay = sub.add_parser("layout")
     lay.add_argument("--metric")
     lay.add_argument("--iterations", type=int, default=jobs.layout.ITERATIONS)
     lay.add_argument("--seed", type=int, default=jobs.layout.SEED)
     lay.add_argument("--min-score", type=float, default=0.0)
+    lay.add_argument("--reach", type=int, default=jobs.layout.REACH, help="cells that count as near: the greater, the finer")
+    lay.add_argument("--tiles", help="folder for tiles of the new layout")
     cut = sub.add_parser("tiles")
     cut.add_argument("--max-level", type=int, default=jobs.tiles.MAX_LEVEL)
     cut.add_argument("--level0-stars", type=int, default=jobs.tiles.LEVEL0_STARS)
@@ -48,12 +51,12 @@ def main(argv: list[str] | None = None) -> None:
             "backbone": lambda: jobs.import_backbone(canon, args.dump, args.dump_version),
             "similarity": lambda: jobs.import_similarity(canon, args.dump, args.dump_version, args.min_score),
             "genres": lambda: jobs.import_genres(canon, args.dump, args.dump_version, args.labels, args.artists),
-            "facts": lambda: jobs.import_facts(canon, args.dump, args.dump_version),
-            "prose": lambda: jobs.import_prose(canon, args.dump, args.dump_version),
+            "facts": lambda: jobs.import_facts(canon, args.dump, args.dump_version, args.limit),
+            "prose": lambda: jobs.import_prose(canon, args.dump, args.dump_version, args.limit),
         }
-        print(json.dumps({"rows": run[args.source]()}))
+        print(json.dumps({"rows": run[args.source](), **canon.counters}))
     elif args.job == "layout":
-        print(json.dumps({"layout": jobs.make_layout(canon, args.metric, args.iterations, args.seed, args.min_score)}))
+        print(json.dumps({"layout": jobs.make_layout(canon, args.metric, args.iterations, args.seed, args.min_score, args.reach, args.tiles)}))
     elif args.job == "tiles":
         print(json.dumps({"tiles": jobs.write_tiles(canon, config.tiles_dir, args.level0_stars, args.max_level)}))
     elif args.job == "slice":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import parsing
@@ -19,6 +19,14 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in columns))
 
 
+def _all(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def require(canon: Canon, table: str, before: str) -> None:
     if canon.read(table).isEmpty():
         raise ValueError(f"import {before} first: {table} is empty")
@@ -26,14 +34,17 @@ def require(canon: Canon, table: str, before: str) -> None:
 
 def import_backbone(canon: Canon, folder: str, version: str) -> int:
     """COPY TEXT tables in a folder, one file or folder each. Empties all tables that refer to artists."""
-    t = {name: dumps.copy_table(dumps.lines(canon.spark, f"{folder}/{name}"), name) for name in dumps.COPY_COLUMNS}
+    t = {name: dumps.copy_table(dumps.copy_lines(canon.spark, f"{folder}/{name}"), name) for name in dumps.COPY_COLUMNS}
     artists = stage(typed(backbone.artists(t["artist"], t["artist_type"], t["area"], t["iso_3166_1"]), "artist"), "artists")
+    read, kept = Observation("groups read"), Observation("groups kept")
     credits = stage(typed(backbone.first_credits(t["artist_credit_name"], artists), "artist_credit"), "credits")
     years = backbone.group_years([t["release_country"], t["release_unknown_country"]], t["release"])
-    groups = backbone.release_groups(t["release_group"].where("id is not null and mbid is not null and name is not null"), credits, t["release_group_primary_type"], years)
+    groups = backbone.release_groups(t["release_group"].observe(read, _all("release_groups")).where("id is not null and mbid is not null and name is not null"), credits, t["release_group_primary_type"], years)
     urls = backbone.artist_urls(t["l_artist_url"], t["link"], t["link_type"], t["url"], artists)
-    tables = {"artist": artists, "artist_credit": credits, "release_group": typed(groups, "release_group"), "artist_url": typed(urls, "artist_url")}
-    return canon.replace(tables, "backbone", version, emptied=["*"])
+    tables = {"artist": artists, "artist_credit": credits, "release_group": typed(groups, "release_group").observe(kept, _all("kept")), "artist_url": typed(urls, "artist_url")}
+    rows = canon.replace(tables, "backbone", version, emptied=["*"])
+    canon.counters = read.get | kept.get
+    return rows
 
 
 def import_similarity(canon: Canon, path: str, version: str, least: float = 0.0, metric: str = "relations") -> int:
@@ -44,7 +55,12 @@ def import_similarity(canon: Canon, path: str, version: str, least: float = 0.0,
     number = ids.where(F.col("key") == metric).first().id
     about = "similarity from relations" + (f", score of {least} or more" if least > 0 else "")
     metrics = known.where(F.col("key") != metric).unionByName(typed(canon.spark.createDataFrame([(number, metric, about)], "id int, key string, description string"), "similarity_metric"))
-    found = stage(similarity.edges(dumps.relations(dumps.lines(canon.spark, path)), canon.read("artist_credit"), least), "edges")
+    seen, outcome = Observation("relations"), Observation("outcomes")
+    weak = F.col("score") < F.lit(least).cast("float")
+    strong = dumps.relations(dumps.lines(canon.spark, path)).observe(seen, _all("relations"), F.count_if(weak).alias("weak")).where(~weak)
+    judged = similarity.judged(strong, canon.read("artist_credit"), least).observe(outcome, *(F.count_if(F.col("outcome") == o).alias(o) for o in ("unknown", "self", "kept")))
+    found = stage(similarity.collapsed(judged.where("outcome = 'kept'").select("a", "b", "score")), "edges")
+    canon.counters = seen.get | outcome.get
     kept = lambda name: canon.read(name).where(F.col("metric_id") != number)
     mine = lambda df, name: typed(df.withColumn("metric_id", F.lit(number)), name)
     tables = {
@@ -64,7 +80,9 @@ def import_genres(canon: Canon, masters: str, version: str, labels: str | None =
     if artists:
         known = dumps.xml_records(canon.spark, artists, "artist", dumps.ARTIST).select(parsing.whole_number(F.trim("id")).alias("artist"))
     tags = genres.tagged(dumps.masters(dumps.xml_records(canon.spark, masters, "master", dumps.MASTER)))
-    counted = stage(genres.counts(tags, mapping, known), "counts")
+    seen = Observation("tags")
+    counted = stage(genres.counts(tags.observe(seen, _all("tags")), mapping, known), "counts")
+    canon.counters = seen.get | counted.agg(F.coalesce(F.sum("releases"), F.lit(0)).alias("credited")).first().asDict()
     words = stage(genres.vocabulary(counted), "vocabulary")
     entry = mapping.groupBy("artist_id").agg(F.min("artist").alias("discogs_id"))
     tables = {"genre": typed(words, "genre"), "artist_genre": typed(genres.summed(counted, mapping, words), "artist_genre"), "artist_discogs": typed(entry, "artist_discogs")}
@@ -73,11 +91,13 @@ def import_genres(canon: Canon, masters: str, version: str, labels: str | None =
     return canon.replace(tables, "genres", version)
 
 
-def import_facts(canon: Canon, path: str, version: str = "latest") -> int:
-    """Entity records, one to a line; replaces the six tables of facts."""
+def import_facts(canon: Canon, path: str, version: str = "latest", limit: int | None = None) -> int:
+    """Entity records, one to a line; replaces the six tables of facts. limit: so many entities at most, whichever Spark
+    reads first."""
     require(canon, "artist", "the backbone")
-    found = stage(dumps.entity_lines(canon.spark, path), "entities")
+    found = stage(facts.slim(_first(dumps.entity_lines(canon.spark, path), limit)), "entities")
     rows = stage(facts.facts(found, canon.read("artist").select("id", "mbid")), "facts")
+    canon.counters = facts.counted(found, rows).first().asDict()
     many = lambda c, out: rows.select("artist_id", F.explode(c).alias(out)).distinct()
     tables = {
         "artist_wikidata": rows,
@@ -90,25 +110,30 @@ def import_facts(canon: Canon, path: str, version: str = "latest") -> int:
     return canon.replace({n: typed(df, n) for n, df in tables.items()}, "facts", version)
 
 
-def import_prose(canon: Canon, path: str, version: str) -> int:
-    """Page records of an encyclopedia dump; concatenated bzip2 streams are split and read in parallel."""
+def import_prose(canon: Canon, path: str, version: str, limit: int | None = None) -> int:
+    """Page records of an encyclopedia dump; concatenated bzip2 streams are split and read in parallel. limit: so many
+    wanted pages at most, the first by title."""
     require(canon, "artist_wikidata", "facts")
-    found = dumps.pages(dumps.xml_records(canon.spark, path, "page", dumps.PAGE))
+    wanted = prose.wanted(canon.read("artist_wikidata")).select("title")
+    found = dumps.pages(dumps.xml_records(canon.spark, path, "page", dumps.PAGE)).join(wanted, "title", "left_semi")
+    found = stage(found if limit is None else found.orderBy("title").limit(limit), "pages")
+    canon.counters = prose.coverage(found, canon.read("artist_wikidata")).first().asDict()
     rows = stage(typed(prose.prose(found, canon.read("artist_wikidata"), version), "artist_prose"), "prose")
     if rows.isEmpty():
         raise ValueError("no wanted page in this dump")
     return canon.replace({"artist_prose": rows}, "prose", version)
 
 
-def make_layout(canon: Canon, metric: str | None = None, iterations: int = layout.ITERATIONS, seed: int = layout.SEED, least: float = 0.0) -> str:
-    """Lay one metric's graph out and store its positions under a key; the same key replaces the same layout."""
-    metrics = canon.read("similarity_metric").orderBy("id").limit(100).collect()
-    chosen = [m for m in metrics if metric is None or m.key == metric]
+def make_layout(canon: Canon, metric: str | None = None, iterations: int = layout.ITERATIONS, seed: int = layout.SEED, least: float = 0.0, reach: int = layout.REACH, tiles_dir: str | None = None) -> str:
+    """Lay one metric's graph out and store its positions under a key; the same key replaces the same layout. reach: how
+    fine repulsion is; tiles_dir: where tiles are then written, if anywhere."""
+    metrics = canon.read("similarity_metric")
+    chosen = (metrics if metric is None else metrics.where(F.col("key") == metric)).limit(2).collect()
     if len(chosen) != 1:
-        raise ValueError(f"name one metric of {[m.key for m in metrics]}")
+        raise ValueError(f"name one metric of {[m.key for m in metrics.orderBy('id').limit(100).collect()]}")
     number, key = chosen[0].id, f"{chosen[0].key}-fd{iterations}-s{seed}"
     edges = canon.read("artist_similarity").where((F.col("metric_id") == number) & (F.col("score") >= F.lit(least).cast("float"))).select("source_id", "target_id", "score")
-    place = stage(layout.run(edges, iterations, seed), "layout")
+    place = stage(layout.run(edges, iterations, seed, reach), "layout")
     old = canon.read("sky_layout")
     at = numbered(old.select("id", "key"), canon.spark.createDataFrame([(key,)], "key string"), "key").where(F.col("key") == key).first().id
     about = f"force-directed, {iterations} rounds, edges of {least} or more"
@@ -118,6 +143,8 @@ def make_layout(canon: Canon, metric: str | None = None, iterations: int = layou
         "artist_position": canon.read("artist_position").where(F.col("layout_id") != at).unionByName(typed(place.withColumn("layout_id", F.lit(at)), "artist_position")),
     }
     canon.replace(tables, "layout", key)
+    if tiles_dir:
+        write_tiles(canon, tiles_dir)
     return key
 
 
@@ -130,13 +157,13 @@ def newest(canon: Canon) -> tuple[DataFrame, DataFrame]:
 
 
 def write_tiles(canon: Canon, folder: str, level0: int = tiles.LEVEL0_STARS, most: int = tiles.MAX_LEVEL) -> int:
-    """Tile files as rows (path, stars, content) of a Parquet folder, with the sky's square beside them."""
+    """Tile files as rows (path, part, stars, content) of a Parquet folder, with the sky's square beside them."""
     stars = stage(tiles.stars(*newest(canon)), "stars")
-    files = stage(tiles.files(tiles.pyramid(stars, level0, most)), "tiles")
+    files = stage(tiles.files(stage(tiles.pyramid(stars, level0, most), "pyramid")), "tiles")
     files.write.mode("overwrite").parquet(f"{folder}/tiles")
     deepest = files.select(F.max(F.split("path", "/")[0].cast("int")).alias("deepest"))
     tiles.bounds(stars).join(F.broadcast(deepest)).withColumn("record_bytes", F.lit(tiles.RECORD_BYTES)).write.mode("overwrite").json(f"{folder}/sky")
-    return files.count()
+    return files.select("path").distinct().count()
 
 
 def slice_canon(canon: Canon, keep: int = slicing.KEEP, dry_run: bool = False) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,27 @@ def kept(positions: DataFrame, prominence: DataFrame, keep: int = KEEP) -> DataF
 
 
 def pruned(table: DataFrame, columns: list[str], kept: DataFrame) -> DataFrame:
-    """Rows whose every reference is kept or null (a row without an artist isn't removed with one)."""
+    """Rows whose every reference is kept or null (a row without an artist isn't removed with one). The table is read
+    once, whatever the number of references."""
+    known = kept.select(F.col("artist_id").alias("_kept")).distinct()
+    out = table
     for c in columns:
-        known = table.where(F.col(c).isNotNull()).join(kept.select(F.col("artist_id").alias(c)), c, "left_semi").select(table.columns)
-        table = known.unionByName(table.where(F.col(c).isNull()))
-    return table
+        out = out.join(known, F.col(c) == F.col("_kept"), "left").where(F.col(c).isNull() | F.col("_kept").isNotNull()).drop("_kept")
+    return out
+
+
+#: Names that may stand in a query without quotes: small letters, digits and underscores, at most 63.
+_PLAIN = re.compile("[a-z][a-z0-9_]{0,62}")
+
+
+def is_plain_identifier(name: str) -> bool:
+    return _PLAIN.fullmatch(name) is not None
 
 
 def cut(canon: dict[str, DataFrame], kept: DataFrame) -> dict[str, DataFrame]:
     """The canon's tables after a slice; labels, which no artist refers to, are emptied."""
+    if odd := [name for name in canon if not is_plain_identifier(name)]:
+        raise ValueError(f"no table names: {odd}")
     out = dict(canon)
     for name in {t for t, _ in FK_TO_ARTIST} & canon.keys():
         out[name] = pruned(canon[name], [c for t, c in FK_TO_ARTIST if t == name], kept)

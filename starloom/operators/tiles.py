@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from ..functions.parsing import brightness
 from ..staging import ranked
 
 LEVEL0_STARS, MAX_LEVEL = 2000, 6
+PART_STARS = 1 << 16
 #: Format of a tile file (fixed values): magic, version; a record is id, x, y, brightness, little-endian.
 MAGIC, VERSION, HEADER_BYTES, RECORD_BYTES = b"LYST", 1, 16, 16
 
@@ -74,14 +76,25 @@ def records(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(pack, "level int, col int, row int, rank bigint, record string")
 
 
-def files(tiles: DataFrame) -> DataFrame:
-    """(path, stars, content): a file per tile, brightest star first. A tile holds at most its level's stars."""
-    rows = records(tiles).groupBy("level", "col", "row").agg(F.sort_array(F.collect_list(F.struct("rank", "record"))).alias("r"))
+def files(tiles: DataFrame, part_stars: int = PART_STARS) -> DataFrame:
+    """(path, part, stars, content): a tile's file in parts of at most `part_stars` stars, brightest first; the contents
+    of a path in the order of parts make the file, and most tiles are of one part. A part is a range of ranks, so that
+    no task gathers a tile that holds very many stars. stars counts the part's own; the head counts the tile's."""
+    place = ["level", "col", "row"]
+    rows = records(tiles).withColumn("part", F.floor((F.col("rank") - 1) / part_stars).cast("int"))
+    parts = rows.groupBy(*place, "part").agg(F.sort_array(F.collect_list(F.struct("rank", "record"))).alias("r"))
+    parts = parts.select(*place, "part", F.size("r").alias("stars"), F.array_join(F.transform("r", lambda x: x["record"]), "").alias("body"))
+    sums = tiles.groupBy(*place).agg(F.count(F.lit(1)).cast("int").alias("all"), F.min(F.floor((F.col("rank") - 1) / part_stars).cast("int")).alias("first"))
+    rows = parts.join(sums, place)
     le = lambda n, size: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 2 * size, "0"), F.lit("(..)"), F.lit(1))), "")
-    head = F.concat(F.lit(MAGIC.hex()), le(F.lit(VERSION), 2), le(F.col("level"), 1), F.lit("00"), le(F.size("r"), 4), F.lit("00000000"))
-    return rows.select(
-        F.format_string("%d/%d/%d.bin", "level", "col", "row").alias("path"), F.size("r").alias("stars"), F.unhex(F.concat(head, F.array_join(F.transform("r", lambda x: x["record"]), ""))).alias("content")
-    )
+    head = F.concat(F.lit(MAGIC.hex()), le(F.lit(VERSION), 2), le(F.col("level"), 1), F.lit("00"), le(F.col("all"), 4), F.lit("00000000"))
+    content = F.unhex(F.concat(F.when(F.col("part") == F.col("first"), head).otherwise(""), "body"))
+    return rows.select(F.format_string("%d/%d/%d.bin", *place).alias("path"), "part", "stars", content.alias("content"))
+
+
+def level_for(share: float, most: int = MAX_LEVEL) -> int:
+    """The level whose tiles are about as wide as the share of the sky that is in view."""
+    return max(0, min(most, math.floor(math.log2(1 / max(share, 1e-6)) + 0.5)))
 
 
 def decode(content: bytes) -> np.ndarray:

@@ -18,6 +18,7 @@ from .schema import FK_TO_ARTIST, TABLES
 class Canon:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.counters: dict[str, int] = {}  # of the last import: what it read, kept and passed over
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -26,17 +27,24 @@ class Canon:
         path = self._path(f"{self.root}/{name}")
         if not self._fs.exists(path):
             return None
-        return "\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}").collect())
+        stream = self._fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
+        """Write beside the target, then rename over it in one step: readers see the old file or the new one."""
         draft, target = self._path(f"{self.root}/{uuid.uuid4().hex}.draft"), self._path(f"{self.root}/{name}")
         out = self._fs.create(draft)
         out.write(bytearray(text, "utf-8"))
         out.close()
-        self._fs.delete(target, False)
-        if not self._fs.rename(draft, target):
-            raise OSError(f"can't move {name} into place")
+        context, fs = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        how = context._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        whole = lambda p: self._fs.makeQualified(p)
+        fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(whole(draft), whole(target), how)
 
     def manifest(self) -> dict[str, str]:
         current = self._read("CURRENT")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..store import Canon
@@ -20,7 +19,3 @@ def import_batches(stream: DataFrame, canon: Canon, source: str, tables: Callabl
 
     return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def windowed_counts(events: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Events of each type by window of their time; late ones count up to `lateness`."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..staging import discard as discard
 from ..staging import stage as stage
 
 #: Rows that Spark hands to Python at once; texts are whole, so this bounds a worker's memory.

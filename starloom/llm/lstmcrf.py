@@ -108,7 +108,8 @@ class Tagger:
         w, h = self.w, HIDDEN
         b, t_all = c.shape
         seq = np.stack([c, c[:, ::-1]])
-        hids, cells, gates, tans = [np.zeros((2, b, h))], [np.zeros((2, b, h))], [], []
+        kind = w["u"].dtype
+        hids, cells, gates, tans = [np.zeros((2, b, h), kind)], [np.zeros((2, b, h), kind)], [], []
         for t in range(t_all):
             g = np.stack([w["x"][d][seq[d][:, t]] for d in (0, 1)]) + hids[-1] @ w["u"]
             g[:, :, : 3 * h] = 1 / (1 + np.exp(-g[:, :, : 3 * h]))
@@ -120,7 +121,7 @@ class Tagger:
         score = ahead @ w["out"][0] + behind @ w["out"][1] + w["bias"]
         change = w["change"]
         prob, alpha, beta, whole = self._marginals(score)
-        gold = np.eye(LABELS)[y.T]
+        gold = np.eye(LABELS, dtype=kind)[y.T]
         pairs = np.exp(alpha[:-1, :, :, None] + change + (score[1:] + beta[1:])[:, :, None, :] - whole[:, None, None]).sum((0, 1))
         seen = np.zeros((LABELS, LABELS))
         np.add.at(seen, (y[:, :-1], y[:, 1:]), 1.0)
@@ -129,22 +130,24 @@ class Tagger:
         ds = (prob - gold) / b
         grad = {"change": (pairs - seen) / b, "bias": ds.sum((0, 1)), "out": np.stack([np.einsum("tbh,tbl->hl", ahead, ds), np.einsum("tbh,tbl->hl", behind, ds)])}
         dh_all = np.stack([ds @ w["out"][0].T, (ds @ w["out"][1].T)[::-1]], 1)
-        gx, gu = np.zeros_like(w["x"]), np.zeros_like(w["u"])
-        dh, dc = np.zeros((2, b, h)), np.zeros((2, b, h))
+        gu, dgs = np.zeros_like(w["u"]), np.empty((2, t_all, b, 4 * h), kind)
+        dh, dc = np.zeros((2, b, h), kind), np.zeros((2, b, h), kind)
         for t in range(t_all - 1, -1, -1):
             g, tan = gates[t], tans[t]
             i, f, o, n = g[:, :, :h], g[:, :, h : 2 * h], g[:, :, 2 * h : 3 * h], g[:, :, 3 * h :]
             dh = dh + dh_all[t]
             dc = dc + dh * o * (1 - tan * tan)
             dg = np.concatenate([dc * n * i * (1 - i), dc * cells[t] * f * (1 - f), dh * tan * o * (1 - o), dc * i * (1 - n * n)], 2)
-            for d in (0, 1):
-                np.add.at(gx[d], seq[d][:, t], dg[d])
+            dgs[:, t] = dg
             gu += hids[t].transpose(0, 2, 1) @ dg
             dh, dc = dg @ w["u"].transpose(0, 2, 1), dc * f
+        every = np.eye(CLASSES, dtype=kind)
+        gx = np.stack([every[seq[d].T.ravel()].T @ dgs[d].reshape(t_all * b, 4 * h) for d in (0, 1)])
         return float(loss), grad | {"x": gx, "u": gu}
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int, batch: int, rate: float, seed: int = 5) -> Tagger:
-        """Adam over random batches, the rate falling to a tenth."""
+        """Adam over random batches in single precision, the rate falling to a tenth."""
+        self.w = {k: x.astype(np.float32) for k, x in self.w.items()}
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         for t in range(1, steps + 1):
@@ -156,6 +159,7 @@ class Tagger:
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 self.w[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+        self.w = {k: x.astype(np.float64) for k, x in self.w.items()}
         return self
 
 

@@ -84,5 +84,12 @@ _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
 _TYPES = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _CLIP_TYPE]
 
 
+def clip_rows(media: DataFrame) -> DataFrame:
+    """(doc_id, clip, start_ms, end_ms, frames, mean): the timed clips of media_rows(), one row each."""
+    return media.select("doc_id", F.explode_outer("clips").alias("c")).select("doc_id", "c.*")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_rows(table(spark, sf_dir, "documents")).drop("clips").withColumn("n_clips", F.size(F.split(F.split("feature", ":")[1], "\\.")))
+    rows = media_rows(table(spark, sf_dir, "documents"))
+    timed = F.transform("clips", lambda c: F.concat_ws(":", c["start_ms"], c["end_ms"], c["frames"], c["mean"]))
+    return rows.withColumn("clips", F.concat_ws(",", timed))

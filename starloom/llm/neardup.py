@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import bounded_batches, in_parts, stage, table, texts_of
+from .common import bounded_batches, discard, in_parts, stage, table, texts_of
 
 SHINGLE = 5
 ROWS, BANDS = 9, 48
@@ -181,14 +181,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     own choice is followed once, and the links are drawn anew between what is left; those inside a class go, so that
     rounds shrink quickly."""
     edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    state = nodes.select("id", F.col("id").alias("class"))
+    state, old = nodes.select("id", F.col("id").alias("class")), []
     while not edges.isEmpty():
         hop = edges.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("to"))
         beyond = hop.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
         step = stage(hop.join(beyond, "to", "left").select("id", F.coalesce("beyond", "to").alias("to")), "step")
         state = stage(state.join(step.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("to", "class").alias("class")), "classes")
         ends = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        edges = stage(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        after = stage(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        discard(edges, step, *old)
+        edges, old = after, [state]
+    discard(edges)
     return state
 
 

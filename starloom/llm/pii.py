@@ -28,7 +28,7 @@ TRAIN_WINDOW = 64
 BATCH = 1024
 SAMPLE_TEXTS = 300  # texts with a digit or at-sign from which the tagger learns, of at most SAMPLE_CHARS characters
 SAMPLE_CHARS = 20_000
-STEPS, TRAIN_BATCH, RATE = 450, 64, 0.03
+STEPS, TRAIN_BATCH, RATE = 320, 96, 0.03
 #: What makes a span certain enough to be added: the mean marginal probability of its label.
 LEAST_SURE = 0.8
 
@@ -102,19 +102,26 @@ def holds(kind: int, span: str) -> bool:
     return 9 <= len(digits) <= 15 and len(span) <= 40 and len(re.findall("[0-9]+", span)) >= 3
 
 
+def _parted(rng: random.Random) -> str:
+    """What may stand between the groups of a disguised number: a mark or two, with or without blanks or brackets."""
+    mark = rng.choice("./_|~#,;+-:*=!&^%")
+    return rng.choice([mark, mark, f" {mark} ", f"{mark} ", mark * 2, f"[{mark}]", f"({mark})", "  ", " "])
+
+
 def _written(kind: int, rng: random.Random) -> str:
     """A plain or disguised form of a kind."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 8)))
     if kind == 0:
-        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", ".")])
+        at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."), ("{at}", "{dot}")])
+        at, dot = (at.upper(), dot.upper()) if rng.random() < 0.2 else (at, dot)
         return w() + rng.choice(["", "." + w(), d(2), "." + d(2)]) + at + w() + rng.choice(["", d(1), dot + w()]) + dot + rng.choice(["com", "org", "net", "de"])
     if kind == 1:
-        return rng.choice([".", ".", "[.]", " . ", "(.)"]).join(str(rng.randint(0, 255)) for _ in range(4))
+        return rng.choice([".", ".", "[.]", " . ", "(.)", "[dot]", " dot ", "(dot)", _parted(rng)]).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
         n = d(15)
         n = next(n + c for c in "0123456789" if luhn(n + c))
-        return rng.choice(["", " ", "-", "", ".", "/", "_"]).join([n[:4], n[4:8], n[8:12], n[12:]])
+        return rng.choice(["", " ", "-", "", _parted(rng), _parted(rng), _parted(rng)]).join([n[:4], n[4:8], n[8:12], n[12:]])
     a, b, c = d(3), d(3), d(4)
     return rng.choice([f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{d(2)} {a} {b} {c}", f"tel:{a}.{b}.{c}"[4:]])
 

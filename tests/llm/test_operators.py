@@ -66,6 +66,86 @@ def test_odd_rows(runs, odd, name):
     assert runs[name](odd.where("false")).count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, odd):
+    """Clashing names, nulls, repeated rows and a long text go through every stage."""
+    docs = odd.withColumns({"_score": F.lit(1), "_votes": F.lit("v"), "_row": F.lit(None).cast("int"), "toxicity": F.lit("t"), "quality_score": F.lit(2), "class": F.lit(3), "first": F.lit(4)})
+    columns = docs.dtypes
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = common.stage(step(spark, docs, SF), name)
+        assert docs.dtypes == columns, name
+    left = docs.collect()
+    assert all(r._votes == "v" and r.secrets == "y" and r.toxicity == "t" for r in left)
+    assert not any("353d1714f142020edb" in (r.text or "") for r in left) and len({r.doc_id for r in left}) == len(left)
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, SF).collect()} == {r.doc_id for r in left}
+    none = odd.where("false")
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, none, SF).count() == 0
+
+
+def test_pii_query_against_patterns(spark):
+    from test_units import BASE, plain_spans
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kinds = list(BASE)
+    for r in pii.op1_pii(spark, SF).collect():
+        base = [f"{kinds[k]}:{s}:{e}" for s, k, e in plain_spans(texts[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(base) <= set(spans) and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(f"{k}:") for s in spans) for k in kinds]
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), kinds.index(s.split(":")[0])))
+
+
+def test_disguises_that_training_has_not_seen(spark):
+    import random
+
+    r = random.Random(9)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(3, 8)))
+
+    def disguised(kind):
+        if kind == 0:
+            return r.choice([f"{w()} AT {w()} DOT com", f"{w()}.{w()} <at> {w()} <dot> org", f"{w()}@{w()} dot net", f"{w()}{{at}}{w()}.{w()}.de", f"{w()}_{w()} [ at ] {w()} [ dot ] fr"])
+        if kind == 1:
+            return r.choice([" .", "<dot>", "{.}", ":", " DOT "]).join(str(r.randint(0, 255)) for _ in range(4))
+        if kind == 2:
+            n = d(15)
+            n = next(n + c for c in "0123456789" if pii.luhn(n + c))
+            return r.choice(["<->", " :: ", "-:-", "*=*", " -> "]).join([n[:4], n[4:8], n[8:12], n[12:]])
+        return r.choice([f"{d(3)} {d(3)} {d(4)}", f"+{d(2)}.{d(3)}.{d(3)}.{d(4)}", f"({d(3)}){d(3)}.{d(4)}", f"0{d(3)} / {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}"])
+
+    docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    tagger = pii.trained(docs)
+    plain = [x.text for x in docs.where("doc_id % 5 = 1 and length(text) < 5000").limit(150).collect()]
+    found, n = [0] * 4, 50
+    for k in range(4 * n):
+        t, body = r.choice(plain), disguised(k % 4)
+        at = t.find(" ", r.randrange(max(1, len(t)))) + 1
+        spans = pii.all_spans(tagger, [t[:at] + body + " " + t[at:]])[0][1]
+        found[k % 4] += any(kind == k % 4 and min(e, at + len(body)) - max(s, at) >= 0.7 * len(body) for s, kind, e in spans)
+    assert [f / n >= least for f, least in zip(found, (0.8, 0.35, 0.5, 0.6), strict=True)] == [True] * 4, found
+    assert sum(len(both) - len(base) for base, both in pii.all_spans(tagger, plain)) <= 3
+
+
+def test_media_query_stores_whole_payloads(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    same = {}
+    for r in media.op4_media(spark, SF).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\0" * (64 - len(raw) if not raw else -len(raw) % 64)
+        stored = media.store(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert sum(int(c.split(":")[2]) for c in r.clips.split(",")) == len(media.load(stored)[0]) and r.clips.startswith("0.0:")
+        assert same.setdefault(raw, r[1:]) == r[1:]
+
+
+def test_clip_rows(spark):
+    docs = spark.createDataFrame([(1, "a" * 9000 + "\x01" * 30_000), (2, None)], "doc_id bigint, text string")
+    rows = media.clip_rows(media.media_rows(docs)).orderBy("doc_id", "clip").collect()
+    assert [r.doc_id for r in rows][-1] == 2 and len(rows) >= 3 and all(r.end_ms > r.start_ms for r in rows)
+    assert [r.start_ms for r in rows if r.doc_id == 1][1:] == [r.end_ms for r in rows if r.doc_id == 1][:-1]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = {r.doc_id: (r.class_id, r.n_copies) for r in neardup.classes(odd).collect()}
     assert got == {1: (1, 3), 5: (1, 3), 2: (2, 2), 3: (2, 2), 4: (4, 1), 7: (7, 1), None: (None, None)}

@@ -273,13 +273,15 @@ def _odds(toxic: int, fine: int, n: np.ndarray) -> float:
 def _telling(texts: list[list[str]], y: np.ndarray) -> tuple[dict[str, float], list[str]]:
     """(log odds of each beginning of words that three toxic texts or more have; those of LEAST_ODDS or more, in an order
     in which each adds most to the toxic texts that those before it tell)."""
-    own = [{g for w in ws for g in _beginnings(w)} for ws in texts]
     n = np.bincount(y, minlength=2)
-    count = [Counter(g for gs, label in zip(own, y, strict=True) if label == k for g in gs) for k in (0, 1)]
-    odds = {g: _odds(c, count[0][g], n) for g, c in count[1].items() if c > 2}
+    of = lambda ws: {g for w in ws for g in _beginnings(w)}
+    toxic = Counter(g for ws, label in zip(texts, y, strict=True) if label for g in of(ws))
+    toxic = {g: c for g, c in toxic.items() if c > 2}
+    fine = Counter(g for ws, label in zip(texts, y, strict=True) if not label for g in of(ws) if g in toxic)
+    odds = {g: _odds(c, fine[g], n) for g, c in toxic.items()}
     names = sorted(g for g, o in odds.items() if o > LEAST_ODDS)
     place = {g: i for i, g in enumerate(names)}
-    held = [[place[g] for g in gs if g in place] for gs, label in zip(own, y, strict=True) if label]
+    held = [[place[g] for g in of(ws) if g in place] for ws, label in zip(texts, y, strict=True) if label]
     where: list[list[int]] = [[] for _ in names]
     for t, gs in enumerate(held):
         for g in gs:

@@ -29,7 +29,7 @@ from .common import bounded_batches, discard, in_parts, stage, table, texts_of
 SHINGLE = 5
 ROWS, BANDS = 9, 48
 LEAST = 0.8
-STARS = 4  # rounds in which a bucket's texts are compared with one of them, before the rest are with all
+STARS = 3  # rounds in which a bucket's texts are compared with one of them, before the rest are with all
 #: Words of the short sketch, which has four bits of each register, and the least estimate from it that goes on to
 #: verification: 3.2 deviations below 0.8.
 SKETCH_WORDS = -(-4 * ROWS * BANDS // 64)

@@ -74,9 +74,8 @@ def _around(cells: DataFrame, steps: range) -> DataFrame:
     return cells.select("*", F.explode(every).alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("tx"), (F.col("cy") + F.col("d.dy")).alias("ty"))
 
 
-def _felt(stars: DataFrame, depth: int, reach: int) -> DataFrame:
-    """(artist_id, fx, fy): repulsion by all others, of stars placed in cells of a depth."""
-    cells = stage(_cells(stars, depth), "cells")
+def _felt(stars: DataFrame, cells: DataFrame, depth: int, reach: int) -> DataFrame:
+    """(artist_id, fx, fy): repulsion by all others, of stars placed in cells of a depth; cells: _cells() of them."""
     target = cells.select("level", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("m").alias("tm"), F.col("mx").alias("ux"), F.col("my").alias("uy"))
     wide = range(-2 * reach - 1, 2 * reach + 2)
     kin = lambda a, t: F.abs(F.shiftright(t, 1) - F.shiftright(a, 1)) <= reach
@@ -136,7 +135,8 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
         heat = 1 - t / iterations * (1 - LAST_HEAT)
         depth = fitting_depth(stars) if t % DEPTH_ROUNDS == 0 else depth
         placed = _placed(stars, depth)
-        moved = placed.join(_felt(placed, depth, reach), "artist_id", "left").join(_pulled(stars, ways), "artist_id", "left")
+        cells = stage(_cells(placed, depth), "cells")
+        moved = placed.join(_felt(placed, cells, depth, reach), "artist_id", "left").join(_pulled(stars, ways), "artist_id", "left")
         force = lambda f, p, at: (F.coalesce(f, zero) + F.coalesce(p, zero) - F.col("mass") * F.col(at)) / F.greatest(F.col("degree"), F.lit(1))
         speed = {v: (F.col(v) + force(f, p, at)) * (DAMPING * heat) for v, f, p, at in (("vx", "fx", "px", "x"), ("vy", "fy", "py", "y"))}
         moved = moved.withColumns(speed)
@@ -144,7 +144,7 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
         moved = moved.withColumn("slow", slow).withColumns({"vx": F.col("vx") * F.col("slow"), "vy": F.col("vy") * F.col("slow")})
         moved = moved.select("artist_id", "degree", "mass", "index", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy")
         before, stars = stars, stage(moved, "stars")
-        discard(before)
+        discard(before, cells)
         if movement is not None:
             movement.append(stars.agg(F.sum(F.hypot("vx", "vy")).alias("s")).first().s)
     return stars.select("artist_id", "x", "y")
@@ -153,7 +153,8 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
 def repulsion(stars: DataFrame, reach: int = REACH, depth: int | None = None) -> DataFrame:
     """(artist_id, fx, fy) of stars (artist_id, x, y, mass), for checks against the sum over all pairs."""
     depth = depth or fitting_depth(stars)
-    return _felt(_placed(stars, depth), depth, reach)
+    placed = _placed(stars, depth)
+    return _felt(placed, stage(_cells(placed, depth), "cells"), depth, reach)
 
 
 def pair_distance(edges: DataFrame, positions: DataFrame, distance: Column | None = None) -> DataFrame:

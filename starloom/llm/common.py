@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +45,15 @@ def appended(docs: DataFrame, name: str, score: Callable[[list[str]], np.ndarray
     return bounded_batches(kept, rows, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
+def free_memory() -> None:
+    """Give memory that training has let go of back to the system, where the C library can do that; a driver that
+    trains runs on for long."""
+    gc.collect()
+    library = ctypes.CDLL(None) if sys.platform == "linux" else None
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def fold(doc_id: F.Column) -> F.Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

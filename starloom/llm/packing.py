@@ -29,6 +29,12 @@ for _b in range(128):
 #: The character that byte-level tokenizers write for each byte: itself if it can be seen, else one from 256 on.
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _WRITTEN = {b: chr(b) for b in _SEEN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_BYTE = {c: b for b, c in _WRITTEN.items()}
+
+
+def written_bytes(token: str) -> bytes:
+    """The bytes of a token of a byte-level vocabulary."""
+    return bytes(map(_BYTE.__getitem__, token))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

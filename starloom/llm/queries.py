@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
+from .chat import SQL as OP11_SQL
+from .chat import op11_chat
 from .digest import op2_fingerprints
+from .divergence import SQL as OP12_SQL
+from .divergence import op12_source_divergence
 from .linecrf import op5_quality
 from .media import op4_media
 from .neardup import op9_near_duplicates
@@ -25,7 +30,12 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secrets": op10_secrets,
+    "op11_chat": op11_chat,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": OP7_SQL,
+    "op11_chat": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }

@@ -198,7 +198,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[TEXT\]'))
-    + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10
+    + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10
       ELSE 24 + length(role) + len(regexp_extract_all(role, '<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[TEXT\]')) END AS n
   FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

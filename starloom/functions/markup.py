@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .parsing import decoded
+
 
 def strip_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
@@ -85,11 +87,12 @@ _BRACKET = re.compile("[<>]")
 
 
 def without_tags(text: str) -> str:
-    """What stands outside of < and >, which are counted at any depth; one that stays open takes the rest."""
+    """What stands outside of < and >, which are counted at any depth; one that stays open takes the rest. A > that
+    closes nothing is text."""
     out, depth, at = [], 0, 0
     for m in _BRACKET.finditer(text):
         if not depth:
-            out.append(text[at : m.start()])
+            out.append(text[at : m.start()] + (">" if m[0] == ">" else ""))
         depth = depth + 1 if m[0] == "<" else max(0, depth - 1)
         at = m.end()
     return "".join(out) if depth else "".join(out) + text[at:]
@@ -131,35 +134,16 @@ def strip_files(text: Column) -> Column:
 
 
 def flatten_links(text: Column) -> Column:
-    """A link's last part stays."""
-    return F.regexp_replace(text, r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
+    """Of each link, from its first brackets to the first closing pair, the part after the last bar stays; single
+    brackets are text of it. One that stays open takes the rest."""
+    closed = F.regexp_replace(text, r"(?s)\[\[(?:(?:(?!\]\]).)*\|)?((?:(?!\]\])[^|])*)\]\]", "$1")
+    return F.regexp_replace(closed, r"(?s)\[\[.*", "")
 
 
 _NAMED = {"nbsp": " ", "ndash": "–", "mdash": "—", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
-#: References of at most twelve characters, as longer ones are stray ampersands.
-_REFERENCE = re.compile(r"&(?:(nbsp|ndash|mdash|lt|gt|quot|apos|amp)|#([0-9]{1,9})|#[xX]([0-9A-Fa-f]{1,8}));")
-
-
-def _character(m: re.Match) -> str:
-    name, digits, hexed = m.groups()
-    if name:
-        return _NAMED[name]
-    code = int(digits) if digits else int(hexed, 16)
-    return chr(code) if code < 0xD800 or 0xE000 <= code <= 0x10FFFF else m[0]
-
-
-def without_entities(text: str) -> str:
-    """Eight names and all numeric references to characters become what they stand for, in one pass; others stay."""
-    return _REFERENCE.sub(_character, text)
-
-
-@F.pandas_udf(StringType())
-def _without_entities(text: pd.Series) -> pd.Series:
-    return text.map(without_entities, na_action="ignore")
-
-
 def decode_entities(text: Column) -> Column:
-    return _without_entities(text)
+    """Eight names and all numeric references to characters become what they stand for, in one pass; others stay."""
+    return decoded(text, _NAMED)
 
 
 def tidy(text: Column) -> Column:

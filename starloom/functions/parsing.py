@@ -71,3 +71,26 @@ def signed_year(time: Column) -> Column:
 def brightness(weight: Column, most: Column) -> Column:
     """sqrt(weight / most) in single precision."""
     return F.sqrt((weight / most).cast("float")).cast("float")
+
+
+#: The names that XML itself knows (fixed values).
+XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+#: What stands between & and ; of a reference: a name, or up to nine decimal or eight hexadecimal digits.
+_REFERENCE = r"\A(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[a-z]{2,8});"
+
+
+def decoded(text: Column, names: dict[str, str]) -> Column:
+    """The text with the given names' and all numeric references to characters replaced, in one pass; others stay. It is
+    cut at each ampersand, and only what stands behind one is looked at."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, _REFERENCE, 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 9)).try_cast("bigint")
+        valid = (digits < 0xD800) | digits.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")).otherwise(F.try_element_at(known, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, part.substr(F.length(name) + 2, F.length(part))))
+
+    parts = F.split(text, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), one), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)

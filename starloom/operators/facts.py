@@ -14,9 +14,18 @@ ENTITY = (
 ARTIST_ID, FORMED_IN, BORN_IN, INCEPTION, COUNTRY, GENRE, LABEL, INFLUENCED_BY = "P434", "P740", "P19", "P571", "P495", "P136", "P264", "P737"
 
 
+def _body(line: Column) -> Column:
+    return F.rtrim(F.trim(F.regexp_replace(line, r",\s*\z", "")))
+
+
+def is_entity(line: Column) -> Column:
+    """Whether entities() keeps a line."""
+    return ~_body(line).isin("", "[", "]") & F.from_json(_body(line), "id string")["id"].isNotNull()
+
+
 def entities(lines: DataFrame) -> DataFrame:
     """Entities of text lines (value): an array's brackets, blank and malformed lines go."""
-    body = F.rtrim(F.trim(F.regexp_replace("value", r",\s*\z", "")))
+    body = _body(F.col("value"))
     rows = lines.select(body.alias("body")).where(~F.col("body").isin("", "[", "]")).select(F.from_json("body", ENTITY).alias("e"))
     return rows.where("e.id is not null").select("e.*")
 

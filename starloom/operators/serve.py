@@ -34,6 +34,13 @@ def top_neighbours(edges: DataFrame, artists: DataFrame, k: int = NEIGHBOURS) ->
     return top(both_ways(edges), "artist_id", [F.desc_nulls_last("score"), F.asc("other_id")], k).join(names, "other_id")
 
 
+def best_neighbours(edges: DataFrame, artist_id: int, k: int = NEIGHBOURS) -> DataFrame:
+    """(artist_id, rank, other_id, score) of one artist's best k edges, at either end of them."""
+    other = F.when(F.col("source_id") == artist_id, F.col("target_id")).otherwise(F.col("source_id"))
+    rows = edges.select(F.lit(artist_id).cast("int").alias("artist_id"), other.alias("other_id"), "score")
+    return top(rows, "artist_id", [F.desc_nulls_last("score"), F.asc("other_id")], k).select("artist_id", "rank", "other_id", "score")
+
+
 def cards(artists: DataFrame, positions: DataFrame, prominence: DataFrame, genres: DataFrame, neighbours: DataFrame) -> DataFrame:
     """A row per artist with nested position, genres and neighbours, as a service returns it. genres and neighbours
     are the results of top_genres() and top_neighbours(). Filter `artists` for a single card; none gives no row."""

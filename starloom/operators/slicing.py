@@ -22,11 +22,13 @@ def kept(positions: DataFrame, prominence: DataFrame, keep: int = KEEP) -> DataF
 
 def pruned(table: DataFrame, columns: list[str], kept: DataFrame) -> DataFrame:
     """Rows whose every reference is kept or null (a row without an artist isn't removed with one). The table is read
-    once, whatever the number of references."""
-    known = kept.select(F.col("artist_id").alias("_kept")).distinct()
+    once, whatever the number of references. Rows without one go to any task: they take negative numbers, which no artist has."""
+    known = kept.select(F.col("artist_id").cast("bigint").alias("_kept")).distinct()
     out = table
     for c in columns:
-        out = out.join(known, F.col(c) == F.col("_kept"), "left").where(F.col(c).isNull() | F.col("_kept").isNotNull()).drop("_kept")
+        spread = -1 - F.pmod(F.xxhash64(*table.columns), F.lit(1 << 20))
+        out = out.withColumn("_key", F.coalesce(F.col(c).cast("bigint"), spread)).join(known, F.col("_key") == F.col("_kept"), "left")
+        out = out.where(F.col(c).isNull() | F.col("_kept").isNotNull()).drop("_key", "_kept")
     return out
 
 

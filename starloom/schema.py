@@ -47,6 +47,21 @@ FK_TO_ARTIST: list[tuple[str, str]] = [
     ("artist_position", "artist_id"),
 ]
 
+#: Tables kept in a folder for each value of a column, so that a job replaces its own value's rows alone.
+PARTS: dict[str, str] = {"artist_similarity": "metric_id", "artist_prominence": "metric_id", "artist_position": "layout_id"}
+
+#: Columns that a table is sorted by, a copy for each: what asks for one value of them reads few row groups.
+ORDERS: dict[str, list[str]] = {
+    "artist": ["id"],
+    "artist_similarity": ["source_id", "target_id"],
+    "artist_prominence": ["artist_id"],
+    "artist_position": ["artist_id"],
+    "artist_genre": ["artist_id"],
+    "artist_url": ["artist_id"],
+    "artist_prose": ["artist_id"],
+    "genre": ["id"],
+}
+
 #: Conditions that every row of a table meets.
 CHECKS: dict[str, str] = {
     "artist_similarity": "source_id < target_id",

@@ -1,16 +1,19 @@
 """Dump files as DataFrames: COPY TEXT, JSON lines, JSON arrays by line, XML records and index lines.
 
-Compressed text is read by Spark itself (bzip2 splits, gzip doesn't). Members of tar archives are unpacked by the
-shell before import; a file per table is what Spark reads in parallel.
+Compressed text is read by Spark itself (bzip2 splits, gzip doesn't); tar archives by the source in archives.py, wanted
+streams of a multi-stream archive by streams.py.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import copy_fields, whole_number
+from ..functions.parsing import XML_NAMES, copy_fields, decoded, whole_number
 from ..operators.facts import entities
+from . import archives
 
 #: COPY TEXT tables: (name, position, type) of the columns in use (fixed values).
 COPY_COLUMNS: dict[str, list[tuple[str, int, str]]] = {
@@ -30,23 +33,62 @@ COPY_COLUMNS: dict[str, list[tuple[str, int, str]]] = {
     "l_artist_url": [("link", 1, "int"), ("artist_id", 2, "int"), ("url_id", 3, "int")],
 }
 
-MASTER = "artists struct<artist:array<struct<id:string>>>, genres struct<genre:array<string>>, styles struct<style:array<string>>"
-LABEL = "id string, name string, profile string, parentLabel struct<_VALUE:string,_id:string>"
-ARTIST = "id string"
-PAGE = "title string, revision struct<id:bigint,text:struct<_VALUE:string>>"
+#: What a record of each kind begins with. A record of labels or artists has no attributes, records of the same name inside
+#: others have (fixed values of the dumps).
+RECORD_START = {"master": "<master", "label": "<label>", "artist": "<artist>", "page": "<page>"}
+#: What a file begins with; and elements inside a record that have an id, a name or a label of others (fixed values).
+HEADER = r"\A\s*\ufeff?\s*(?:\z|<(?:\?xml|!DOCTYPE|masters|labels|artists|mediawiki)\b)"
+OTHERS = "members|aliases|groups|namevariations|sublabels|images|urls"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of text files; of a tar archive, those of the members that hold relations."""
+    if archives.is_tar(path):
+        return archives.lines(spark, path, ["*relations.json"]).select("value")
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: the file, where their block begins in it, and their number among the lines of their task.
+    Every scan of the same files is cut alike."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+#: Files whose ends are compared in each task; with more the ends are joined.
+MOST_ENDS = 1000
+
+
 def copy_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (value) of COPY TEXT files up to each file's end mark, a lone \\. in its line. A line's place is where its
-    block begins in the file and its number among the lines of its task; both scans are cut alike."""
-    place = ["_metadata.file_path", "_metadata.file_block_start"]
-    rows = lines(spark, path).select("value", *(F.col(c).alias(n) for c, n in zip(place, ("file", "block"), strict=True)), F.monotonically_increasing_id().alias("line"))
+    """Lines (value) of COPY TEXT files up to each file's end mark, a lone \\. in its line. The ends are one row a file,
+    found by a scan for that line alone; lines aren't shuffled."""
+    rows = _placed(spark, path)
     ends = rows.where(F.rtrim(F.col("value")).isin("\\.", "\\.\r")).groupBy("file").agg(F.min(F.struct("block", "line")).alias("end"))
-    return rows.join(ends, "file", "left").where(F.col("end").isNull() | (F.struct("block", "line") < F.col("end"))).select("value")
+    first = ends.limit(MOST_ENDS + 1).collect()
+    if len(first) > MOST_ENDS:
+        return rows.join(ends, "file", "left").where(F.col("end").isNull() | (F.struct("block", "line") < F.col("end"))).select("value")
+    for r in first:
+        rows = rows.where((F.col("file") != r.file) | (F.col("block") < r.end.block) | ((F.col("block") == r.end.block) & (F.col("line") < r.end.line)))
+    return rows.select("value")
+
+
+def first_lines(spark: SparkSession, path: str, limit: int, wanted: Callable[[Column], Column]) -> DataFrame:
+    """The first `limit` wanted lines (value) in the order of files and of places in them, the same each time. Lines are
+    counted by block; then the blocks before the one that reaches the limit are read whole, and of that one the first."""
+    rows = _placed(spark, path).where(wanted(F.col("value")))
+    left, cut = limit, None
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).sort("file", "block")
+    for r in counts.toLocalIterator():
+        if r.n >= left:
+            cut = r
+            break
+        left -= r.n
+    if cut is None:
+        return rows.select("value")
+    before = rows.where((F.col("file") < cut.file) | ((F.col("file") == cut.file) & (F.col("block") < cut.block)))
+    own = rows.where((F.col("file") == cut.file) & (F.col("block") == cut.block))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("line"))).where(F.col("place") <= left)
+    return before.select("value").unionByName(own.select("value"))
 
 
 def copy_table(rows: DataFrame, table: str) -> DataFrame:
@@ -77,28 +119,72 @@ def entity_lines(spark: SparkSession, path: str) -> DataFrame:
     return entities(lines(spark, path))
 
 
-def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """Records of XML files. A compressed file may be one task, so records of few files are dealt out again; those of
-    many files stay where they are."""
-    rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Records (value) of XML files, each from behind its opening tag's name to its end, or to where the file is cut.
+
+    A file is cut where records begin, so compressed files that can be split are, and whatever is wrong in a record (a
+    cut end, an unknown entity, a stray ampersand) touches that record alone. A file that can't be split is one task, so records of few files are dealt out again.
+    """
+    rows = spark.read.option("lineSep", RECORD_START[kind]).text(path).where(~F.col("value").rlike(HEADER))
+    value = F.regexp_replace("value", "(?s)<!--.*?(?:-->|\\z)", "")
+    if kind in ("label", "artist"):
+        value = F.regexp_replace(F.regexp_replace(value, f"<(?:{OTHERS})(?:\\s[^<>]*)?/>", ""), f"(?s)<({OTHERS})(?:\\s[^<>]*)?>.*?(?:</\\1>|\\z)", "")
+    elif kind == "master":
+        rows = rows.where(F.col("value").rlike(r"\A(?:\s|/?>)"))
+    rows = rows.select(F.substring_index(value, f"</{kind}>", 1).alias("value"))
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
+def xml_text(raw: Column) -> Column:
+    """What an element's content says: references to characters decoded, marked character data as it is, blanks trimmed."""
+    piece = lambda x: F.when(F.startswith(x, F.lit("<![CDATA[")), F.regexp_replace(x, r"\A<!\[CDATA\[|\]\]>\z", "")).otherwise(decoded(x, XML_NAMES))
+    pieces = F.regexp_extract_all(raw, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]+"), F.lit(0))
+    whole = F.when(F.contains(raw, F.lit("<![CDATA[")), F.array_join(F.transform(pieces, piece), "")).otherwise(decoded(raw, XML_NAMES))
+    return F.regexp_replace(whole, r"\A\s+|\s+\z", "")
+
+
+_CONTENT = r"((?:[^<]|<!\[CDATA\[(?s:.*?)\]\]>)*)"
+
+
+def elements(body: Column, name: str) -> Column:
+    """array<string>: the contents of all closed elements of a name that hold text."""
+    return F.transform(F.regexp_extract_all(body, F.lit(f"<{name}(?:\\s[^<>]*)?>{_CONTENT}</{name}>"), F.lit(1)), xml_text)
+
+
+def inside(body: Column, name: str) -> Column:
+    """What stands in the first element of a name, or from it to the end of a cut record; empty if there is none."""
+    return F.regexp_extract(body, f"(?s)<{name}(?:\\s[^<>]*)?(?<!/)>(.*?)(?:</{name}>|\\z)", 1)
+
+
 def masters(rows: DataFrame) -> DataFrame:
     """(artists, genres, styles) arrays of master records, as operators.genres.tagged() takes them."""
-    ids = F.filter(F.transform("artists.artist", lambda a: whole_number(F.trim(a["id"]))), lambda a: a.isNotNull())
+    value = F.col("value")
+    ids = F.filter(F.transform(elements(inside(value, "artists"), "id"), lambda a: whole_number(a)), lambda a: a.isNotNull())
     full = lambda c: F.filter(c, lambda g: g != "")
-    return rows.select(ids.alias("artists"), full("genres.genre").alias("genres"), full("styles.style").alias("styles"))
+    return rows.select(ids.alias("artists"), full(elements(inside(value, "genres"), "genre")).alias("genres"), full(elements(inside(value, "styles"), "style")).alias("styles"))
 
 
 def labels(rows: DataFrame) -> DataFrame:
-    return rows.select(whole_number(F.trim("id")).alias("id"), F.trim("name").alias("name"), F.trim("profile").alias("profile"), whole_number(F.col("parentLabel._id")).alias("parent_id"))
+    value = F.col("value")
+    first = lambda name: F.get(elements(value, name), F.lit(0))
+    parent = F.nullif(F.regexp_extract(value, r"""<parentLabel\s(?:[^<>]*\s)?id=["']([^"'<>]*)["']""", 1), F.lit(""))
+    return rows.select(whole_number(first("id")).alias("id"), first("name").alias("name"), first("profile").alias("profile"), whole_number(parent).alias("parent_id"))
+
+
+def artist_ids(rows: DataFrame) -> DataFrame:
+    """(artist) of artist records; nested elements' ids have gone."""
+    return rows.select(whole_number(F.get(elements(F.col("value"), "id"), F.lit(0))).alias("artist"))
 
 
 def pages(rows: DataFrame) -> DataFrame:
-    """(title, revision_id, text) of page records; the XML source has undone the dump's own escapes."""
-    return rows.select("title", F.col("revision.id").alias("revision_id"), F.col("revision.text._VALUE").alias("text")).where("title is not null and text is not null")
+    """(title, revision_id, text) of page records, the dump's own escapes undone; a page cut before its text ended goes."""
+    value = F.col("value")
+    revision = F.get(F.split(value, "<revision>", 2), F.lit(1))
+    body = F.get(F.split(F.get(F.split(revision, "<text(?=[\\s>])", 2), F.lit(1)), ">", 2), F.lit(1))
+    text = F.when(F.contains(body, F.lit("</text>")), decoded(F.substring_index(body, "</text>", 1), XML_NAMES))
+    number = whole_number(F.get(elements(revision, "id"), F.lit(0)), "bigint")
+    return rows.select(F.get(elements(value, "title"), F.lit(0)).alias("title"), number.alias("revision_id"), text.alias("text")).where("title is not null and text is not null")
 
 
 def index(rows: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows, written once and read from there; by: a column of few values, with a folder for each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/starloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

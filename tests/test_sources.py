@@ -62,14 +62,14 @@ def test_xml_masters(spark, tmp_path):
         '<masters><master id="1"><artists><artist><id>7</id><name>A</name></artist><artist><id>8</id></artist></artists><genres><genre>Rock</genre></genres><styles><style>Rock &amp; Roll</style></styles></master>'
         '<master id="2"><artists><artist><id>7</id></artist></artists></master></masters>'
     )
-    rows = dumps.masters(dumps.xml_records(spark, str(tmp_path / "m.xml"), "master", dumps.MASTER))
+    rows = dumps.masters(dumps.records(spark, str(tmp_path / "m.xml"), "master"))
     got = sorted(tuple(r) for r in genres.tagged(rows).collect())
     assert got == [(7, "Rock", False), (7, "Rock & Roll", True), (8, "Rock", False), (8, "Rock & Roll", True)]
 
 
 def test_xml_labels(spark, tmp_path):
     (tmp_path / "l.xml").write_text('<labels><label><id>5</id><name>N</name><parentLabel id="4">P</parentLabel><sublabels><label id="6">S</label></sublabels></label></labels>')
-    assert [tuple(r) for r in dumps.labels(dumps.xml_records(spark, str(tmp_path / "l.xml"), "label", dumps.LABEL)).collect()] == [(5, "N", None, 4)]
+    assert [tuple(r) for r in dumps.labels(dumps.records(spark, str(tmp_path / "l.xml"), "label")).collect()] == [(5, "N", None, 4)]
 
 
 ENTITY = '{"id":"Q%d","labels":{"en":{"value":"L%d"}},"claims":{%s},"sitelinks":{"enwiki":{"title":"T"}}},'

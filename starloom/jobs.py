@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,14 @@ def _all(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+def _got(observed: Observation, *names: str) -> dict[str, int]:
+    """What was observed; zeros where Spark has left the step out of the plan, as it does over an empty table."""
+    try:
+        return observed.get
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+
+
 def require(canon: Canon | Snapshot, table: str, before: str) -> None:
     if canon.read(table).isEmpty():
         raise ValueError(f"import {before} first: {table} is empty")
@@ -67,7 +76,7 @@ def import_backbone(canon: Canon, path: str, version: str) -> int:
     urls = backbone.artist_urls(t["l_artist_url"], t["link"], t["link_type"], t["url"], artists)
     tables = {"artist": artists, "artist_credit": credits, "release_group": groups, "artist_url": typed(urls, "artist_url")}
     rows = canon.replace(tables, "backbone", version, emptied=["*"])
-    canon.counters = read.get | kept.get
+    canon.counters = _got(read, "release_groups") | _got(kept, "kept")
     return rows
 
 
@@ -82,7 +91,7 @@ def import_similarity(canon: Canon, path: str, version: str, least: float = 0.0,
         strong = dumps.relations(dumps.lines(canon.spark, path)).observe(seen, _all("relations"), F.count_if(weak).alias("weak")).where(~weak)
         judged = similarity.judged(strong, at.read("artist_credit"), least).observe(outcome, *(F.count_if(F.col("outcome") == o).alias(o) for o in ("unknown", "self", "kept")))
         rows = stage(similarity.collapsed(judged.where("outcome = 'kept'").select("a", "b", "score")), "edges")
-        canon.counters = seen.get | outcome.get
+        canon.counters = _got(seen, "relations", "weak") | _got(outcome, "unknown", "self", "kept")
         return rows
 
     found = _Made(edges, ("artist_credit",))
@@ -113,7 +122,7 @@ def import_genres(canon: Canon, masters: str, version: str, labels: str | None =
         tags = genres.tagged(dumps.masters(dumps.records(canon.spark, masters, "master")))
         seen = Observation("tags")
         counted = stage(genres.counts(tags.observe(seen, _all("tags")), mapping, known), "counts")
-        canon.counters = seen.get | counted.agg(F.coalesce(F.sum("releases"), F.lit(0)).alias("credited")).first().asDict()
+        canon.counters = _got(seen, "tags") | counted.agg(F.coalesce(F.sum("releases"), F.lit(0)).alias("credited")).first().asDict()
         words = stage(genres.vocabulary(counted), "vocabulary")
         entry = mapping.groupBy("artist_id").agg(F.min("artist").alias("discogs_id"))
         tables = {"genre": typed(words, "genre"), "artist_genre": typed(genres.summed(counted, mapping, words), "artist_genre"), "artist_discogs": typed(entry, "artist_discogs")}

@@ -20,6 +20,7 @@ from .similarity import both_ways
 SEED, ITERATIONS = 0x5EED, 300
 REACH = 1  # cells on each side that count as near
 DEPTH_ROUNDS = 10  # rounds after which the grid's depth is fitted anew
+EVERYWHERE = 4_000_000  # up to so many stars or cells (some 50 bytes each) go to every task, so that no edge or pair moves
 DAMPING, SOFTENING, LONGEST_STEP, LAST_HEAT = 0.9, 0.01, 10.0, 0.1
 
 
@@ -68,19 +69,32 @@ def _cells(stars: DataFrame, depth: int) -> DataFrame:
     return sums.select("level", "cx", "cy", "m", (F.col("mx") / F.col("m")).alias("mx"), (F.col("my") / F.col("m")).alias("my"))
 
 
-def _around(cells: DataFrame, steps: range) -> DataFrame:
-    """Each cell with each cell around it (tx, ty)."""
-    every = F.array(*(F.struct(F.lit(i).cast("bigint").alias("dx"), F.lit(j).cast("bigint").alias("dy")) for i in steps for j in steps))
-    return cells.select("*", F.explode(every).alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("tx"), (F.col("cy") + F.col("d.dy")).alias("ty"))
+def _steps(columns: range, rows: range, but: int = -1) -> Column:
+    """Array of steps (dx, dy), without those of at most `but` on both sides."""
+    step = lambda i, j: F.struct(F.lit(i).cast("bigint").alias("dx"), F.lit(j).cast("bigint").alias("dy"))
+    return F.array(*(step(i, j) for i in columns for j in rows if max(abs(i), abs(j)) > but))
 
 
-def _felt(stars: DataFrame, cells: DataFrame, depth: int, reach: int) -> DataFrame:
-    """(artist_id, fx, fy): repulsion by all others, of stars placed in cells of a depth; cells: _cells() of them."""
+def _far_steps(reach: int) -> Column:
+    """Steps to the cells that are near the parent's cell and not near the own one; which these are follows from whether
+    a cell is the first or the second of its parent on each side."""
+    side = (range(-2 * reach, 2 * reach + 2), range(-2 * reach - 1, 2 * reach + 1))
+    odd = lambda c: F.col(c).bitwiseAND(1) == 1
+    at = lambda i: F.when(odd("cy"), _steps(side[i], side[1], reach)).otherwise(_steps(side[i], side[0], reach))
+    return F.when(odd("cx"), at(1)).otherwise(at(0))
+
+
+def _around(cells: DataFrame, steps: Column) -> DataFrame:
+    """Each cell with each cell that the steps lead to (tx, ty)."""
+    return cells.select("*", F.explode(steps).alias("d")).select("*", (F.col("cx") + F.col("d.dx")).alias("tx"), (F.col("cy") + F.col("d.dy")).alias("ty"))
+
+
+def _felt(stars: DataFrame, cells: DataFrame, depth: int, reach: int, everywhere: bool) -> DataFrame:
+    """(artist_id, fx, fy): repulsion by all others, of stars placed in cells of a depth; cells: _cells() of them.
+    everywhere: give all cells to all tasks, so that each cell is met and summed up where it lies; else pairs are shuffled."""
+    given = F.broadcast if everywhere else lambda df: df
     target = cells.select("level", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("m").alias("tm"), F.col("mx").alias("ux"), F.col("my").alias("uy"))
-    wide = range(-2 * reach - 1, 2 * reach + 2)
-    kin = lambda a, t: F.abs(F.shiftright(t, 1) - F.shiftright(a, 1)) <= reach
-    far = (F.abs(F.col("d.dx")) > reach) | (F.abs(F.col("d.dy")) > reach)
-    met = _around(cells, wide).where(far & kin("cx", "tx") & kin("cy", "ty")).join(target, ["level", "tx", "ty"])
+    met = _around(cells, _far_steps(reach)).join(given(target), ["level", "tx", "ty"])
     dx, dy = F.col("ux") - F.col("mx"), F.col("uy") - F.col("my")
     d2 = dx * dx + dy * dy
     soft = F.greatest(d2, F.lit(SOFTENING))
@@ -97,7 +111,7 @@ def _felt(stars: DataFrame, cells: DataFrame, depth: int, reach: int) -> DataFra
     # The finest cells near each other, at most (2 reach + 1) squared of them
     close = cells.where(F.col("level") == depth)
     own = (F.col("d.dx") == 0) & (F.col("d.dy") == 0)
-    close = _around(close, range(-reach, reach + 1)).join(target, ["level", "tx", "ty"]).select("cx", "cy", "mx", "my", F.struct("tm", "ux", "uy", own.alias("own")).alias("c"))
+    close = _around(close, _steps(range(-reach, reach + 1), range(-reach, reach + 1))).join(given(target.where(F.col("level") == depth)), ["level", "tx", "ty"]).select("cx", "cy", "mx", "my", F.struct("tm", "ux", "uy", own.alias("own")).alias("c"))
     close = close.groupBy("cx", "cy", "mx", "my").agg(F.collect_list("c").alias("near"))
     rows = stars.select("artist_id", "cx", "cy", "x", "y", "mass").join(close.join(above, ["cx", "cy"], "left"), ["cx", "cy"])
 
@@ -116,10 +130,11 @@ def _felt(stars: DataFrame, cells: DataFrame, depth: int, reach: int) -> DataFra
     return rows.select("artist_id", (F.col("n.fx") + zero("fx") + zero("jxx") * ox + zero("jxy") * oy).alias("fx"), (F.col("n.fy") + zero("fy") + zero("jxy") * ox - zero("jxx") * oy).alias("fy"))
 
 
-def _pulled(stars: DataFrame, ways: DataFrame) -> DataFrame:
-    """(artist_id, px, py): the weighted sum of the neighbours' places."""
+def _pulled(stars: DataFrame, ways: DataFrame, everywhere: bool) -> DataFrame:
+    """(artist_id, px, py): the weighted sum of the neighbours' places. `ways` lie sorted by artist, so that what a task
+    passes on is about one sum for each of its artists. everywhere: give all places to all tasks; else ways are shuffled."""
     place = stars.select(F.col("artist_id").alias("other_id"), "x", "y")
-    rows = ways.join(place, "other_id")
+    rows = ways.join(F.broadcast(place) if everywhere else place, "other_id")
     return rows.groupBy("artist_id").agg(F.sum(F.col("score") * F.col("x")).alias("px"), F.sum(F.col("score") * F.col("y")).alias("py"))
 
 
@@ -127,7 +142,7 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
     """(artist_id, x, y) after a fixed number of rounds. Each round's places are written to the shared folder, so that
     plans stay short and a lost executor costs one round; the round before is then deleted. movement: gets the sum of
     the stars' steps, round by round. Without edges the result is empty."""
-    ways = stage(both_ways(edges).withColumn("score", F.col("score").cast("double")), "ways")
+    ways = stage(both_ways(edges).withColumn("score", F.col("score").cast("double")).repartitionByRange("artist_id").sortWithinPartitions("artist_id"), "ways")
     zero = F.lit(0.0)
     stars = stage(spiral(nodes(edges), seed).withColumns({"vx": zero, "vy": zero}), "stars")
     n = stars.count()
@@ -136,7 +151,8 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
         depth = fitting_depth(stars) if t % DEPTH_ROUNDS == 0 else depth
         placed = _placed(stars, depth)
         cells = stage(_cells(placed, depth), "cells")
-        moved = placed.join(_felt(placed, cells, depth, reach), "artist_id", "left").join(_pulled(stars, ways), "artist_id", "left")
+        felt = _felt(placed, cells, depth, reach, cells.count() <= EVERYWHERE)
+        moved = placed.join(felt, "artist_id", "left").join(_pulled(stars, ways, n <= EVERYWHERE), "artist_id", "left")
         force = lambda f, p, at: (F.coalesce(f, zero) + F.coalesce(p, zero) - F.col("mass") * F.col(at)) / F.greatest(F.col("degree"), F.lit(1))
         speed = {v: (F.col(v) + force(f, p, at)) * (DAMPING * heat) for v, f, p, at in (("vx", "fx", "px", "x"), ("vy", "fy", "py", "y"))}
         moved = moved.withColumns(speed)
@@ -150,11 +166,12 @@ def run(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, reach:
     return stars.select("artist_id", "x", "y")
 
 
-def repulsion(stars: DataFrame, reach: int = REACH, depth: int | None = None) -> DataFrame:
+def repulsion(stars: DataFrame, reach: int = REACH, depth: int | None = None, everywhere: int = EVERYWHERE) -> DataFrame:
     """(artist_id, fx, fy) of stars (artist_id, x, y, mass), for checks against the sum over all pairs."""
     depth = depth or fitting_depth(stars)
     placed = _placed(stars, depth)
-    return _felt(placed, stage(_cells(placed, depth), "cells"), depth, reach)
+    cells = stage(_cells(placed, depth), "cells")
+    return _felt(placed, cells, depth, reach, cells.count() <= everywhere)
 
 
 def pair_distance(edges: DataFrame, positions: DataFrame, distance: Column | None = None) -> DataFrame:

@@ -88,12 +88,13 @@ class _Reader(DataSourceReader):
         return (not self._patterns or any(fnmatch(name, p) for p in self._patterns)) and all(name in names for names in self._names)
 
     def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
-        for member in unpacked(partition.path):
+        archive = unpacked(partition.path)
+        for member in archive:
             if member.isfile() and self._wanted(member.name):
-                yield from _batches(partition.path, member.name, self._lines(member, partition.path))
+                yield from _batches(partition.path, member.name, self._lines(archive.extractfile(member)))
 
-    def _lines(self, member: tarfile.TarInfo, path: str) -> Iterator[bytes]:
-        for line in member.tarfile.extractfile(member):
+    def _lines(self, member: IO[bytes]) -> Iterator[bytes]:
+        for line in member:
             line = line.removesuffix(b"\n")
             if self._end_mark and line in END_MARK:
                 return
@@ -117,7 +118,9 @@ def _batches(archive: str, member: str, lines: Iterator[bytes]) -> Iterator[pa.R
 
 
 def lines(spark: SparkSession, path: str, members: list[str], end_mark: bool = False) -> DataFrame:
-    """(archive, member, line, value) of the members whose names fit one of the patterns."""
+    """(archive, member, line, value) of the members whose names fit one of the patterns. Spark hands conditions to a
+    Python source only where the session lets it, so that setting is switched on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TarLines)
     return spark.read.format("tar_lines").option("members", ",".join(members)).option("end_mark", str(end_mark).lower()).load(path)
 

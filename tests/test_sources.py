@@ -44,6 +44,12 @@ def test_nothing_follows_the_end_of_a_copy(spark, tmp_path):
     assert sorted(got) == sorted([*(f"{i}\tx" for i in range(9000)), "7\ty", "5\tw", "\\.x"])
 
 
+def test_lines_of_a_copy_are_not_shuffled(spark, tmp_path, capsys):
+    (tmp_path / "a").write_text("1\tx\n\\.\n")
+    dumps.copy_lines(spark, str(tmp_path)).explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_relations(spark):
     rows = spark.createDataFrame([("not json",), ('{"id_0":1,"id_1":2,"score":0.5,"more":1}',), ("",), ('{"id_0":1}',)], "value string")
     assert [tuple(r) for r in dumps.relations(rows).collect()] == [(1, 2, 0.5)]
@@ -111,6 +117,9 @@ LEADS = [
     ("Nothing at all is said about what comes after this {{mark that nobody has ever closed", "Nothing at all is said about what comes after this"),
     ("A <span <b>of</b> x>word</span> that has a tag inside a tag, and then goes on < with the rest lost", "A word that has a tag inside a tag, and then goes on"),
     ("An image [[File:x.jpg|thumb|of [[a|one [[b]] two]] and [c] more]] stands in the middle of this sentence.", "An image stands in the middle of this sentence."),
+    ("A value of 5 > 3 stands here, and an arrow -> as well, for a good while.", "A value of 5 > 3 stands here, and an arrow -> as well, for a good while."),
+    ("They wrote [[Song [live]|the song [live] here]] and [[a|b|c [d]]] too, in a single week of May.", "They wrote the song [live] here and c [d] too, in a single week of May."),
+    ("They wrote one song that is well known and loved [[and one link that nobody closes", "They wrote one song that is well known and loved"),
     ("The first café was opened by two of them&nbsp;in [[Zürich|the city of Zürich]] & then another.", "The first café was opened by two of them in the city of Zürich & then another."),
 ]
 

@@ -27,12 +27,13 @@ def _all(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def _got(observed: Observation, *names: str) -> dict[str, int]:
-    """What was observed; zeros where Spark has left the step out of the plan, as it does over an empty table."""
+def _got(observed: Observation, rows: DataFrame, *counts: Column) -> dict[str, int]:
+    """What was observed of the rows; where Spark has left the step out of the plan, as it does where a join has an empty
+    side, they are counted by themselves."""
     try:
         return observed.get
     except Py4JJavaError:
-        return dict.fromkeys(names, 0)
+        return rows.agg(*counts).first().asDict()
 
 
 def require(canon: Canon | Snapshot, table: str, before: str) -> None:
@@ -68,15 +69,15 @@ def import_backbone(canon: Canon, path: str, version: str) -> int:
     artists = stage(typed(backbone.artists(t["artist"], t["artist_type"], t["area"], t["iso_3166_1"]), "artist"), "artists")
     if artists.isEmpty():
         raise ValueError(f"no artists in {path}")
-    read, kept = Observation("groups read"), Observation("groups kept")
+    read = Observation("groups read")
     credits = stage(typed(backbone.first_credits(t["artist_credit_name"], artists), "artist_credit"), "credits")
     years = backbone.group_years([t["release_country"], t["release_unknown_country"]], t["release"])
-    groups = backbone.release_groups(t["release_group"].observe(read, _all("release_groups")).where("id is not null and mbid is not null and name is not null"), credits, t["release_group_primary_type"], years)
-    groups = stage(typed(groups, "release_group").observe(kept, _all("kept")), "groups")
+    counted = t["release_group"].observe(read, _all("release_groups")).where("id is not null and mbid is not null and name is not null")
+    groups = stage(typed(backbone.release_groups(counted, credits, t["release_group_primary_type"], years), "release_group"), "groups")
     urls = backbone.artist_urls(t["l_artist_url"], t["link"], t["link_type"], t["url"], artists)
     tables = {"artist": artists, "artist_credit": credits, "release_group": groups, "artist_url": typed(urls, "artist_url")}
     rows = canon.replace(tables, "backbone", version, emptied=["*"])
-    canon.counters = _got(read, "release_groups") | _got(kept, "kept")
+    canon.counters = _got(read, t["release_group"], _all("release_groups")) | {"kept": groups.count()}
     return rows
 
 
@@ -88,10 +89,12 @@ def import_similarity(canon: Canon, path: str, version: str, least: float = 0.0,
         require(at, "artist_credit", "the backbone")
         seen, outcome = Observation("relations"), Observation("outcomes")
         weak = F.col("score") < F.lit(least).cast("float")
-        strong = dumps.relations(dumps.lines(canon.spark, path)).observe(seen, _all("relations"), F.count_if(weak).alias("weak")).where(~weak)
-        judged = similarity.judged(strong, at.read("artist_credit"), least).observe(outcome, *(F.count_if(F.col("outcome") == o).alias(o) for o in ("unknown", "self", "kept")))
+        relations = dumps.relations(dumps.lines(canon.spark, path))
+        all_, each = [_all("relations"), F.count_if(weak).alias("weak")], [F.count_if(F.col("outcome") == o).alias(o) for o in ("unknown", "self", "kept")]
+        plain = similarity.judged(relations.where(~weak), at.read("artist_credit"), least)
+        judged = similarity.judged(relations.observe(seen, *all_).where(~weak), at.read("artist_credit"), least).observe(outcome, *each)
         rows = stage(similarity.collapsed(judged.where("outcome = 'kept'").select("a", "b", "score")), "edges")
-        canon.counters = _got(seen, "relations", "weak") | _got(outcome, "unknown", "self", "kept")
+        canon.counters = _got(seen, relations, *all_) | _got(outcome, plain, *each)
         return rows
 
     found = _Made(edges, ("artist_credit",))
@@ -122,7 +125,7 @@ def import_genres(canon: Canon, masters: str, version: str, labels: str | None =
         tags = genres.tagged(dumps.masters(dumps.records(canon.spark, masters, "master")))
         seen = Observation("tags")
         counted = stage(genres.counts(tags.observe(seen, _all("tags")), mapping, known), "counts")
-        canon.counters = _got(seen, "tags") | counted.agg(F.coalesce(F.sum("releases"), F.lit(0)).alias("credited")).first().asDict()
+        canon.counters = _got(seen, tags, _all("tags")) | counted.agg(F.coalesce(F.sum("releases"), F.lit(0)).alias("credited")).first().asDict()
         words = stage(genres.vocabulary(counted), "vocabulary")
         entry = mapping.groupBy("artist_id").agg(F.min("artist").alias("discogs_id"))
         tables = {"genre": typed(words, "genre"), "artist_genre": typed(genres.summed(counted, mapping, words), "artist_genre"), "artist_discogs": typed(entry, "artist_discogs")}

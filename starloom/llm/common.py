@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import sys
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,25 +43,16 @@ def appended(docs: DataFrame, name: str, score: Callable[[list[str]], np.ndarray
     return bounded_batches(kept, rows, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
-def free_memory() -> None:
-    """Give memory that training has let go of back to the system, where the C library can do that; a driver that
-    trains runs on for long."""
-    gc.collect()
-    library = ctypes.CDLL(None) if sys.platform == "linux" else None
-    if hasattr(library, "malloc_trim"):
-        library.malloc_trim(0)
-
-
 def fold(doc_id: F.Column) -> F.Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int = 20_000) -> list[tuple[str, int]]:
-    """At most `per_class` training texts of each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int = 20_000) -> DataFrame:
+    """(text, y): at most `per_class` training texts of each class, chosen by a hash of the id.
 
     Only rows outside fold 0 count. Null labels, null texts and repeated ids are left out, and so are texts over
-    `max_chars`, which bounds what reaches the driver at 2 x per_class x max_chars characters.
+    `max_chars`, which bounds the sample at 2 x per_class x max_chars characters.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     picked = picked.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -71,8 +60,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = [picked.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     keys = chosen[0].unionByName(chosen[1])
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    found = texts.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return [(r.text, r.y) for r in found.orderBy("doc_id").select("text", "y").collect()]
+    return texts.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+
+
+def trained_in_a_task(sample: DataFrame, train: Callable[[list[tuple[str, int]]], object]) -> object:
+    """train(sample) by a task, from rows (doc_id, text, y) of a bounded sample in the order of doc_id. The driver, which
+    runs on for long and coordinates, holds what was learnt but neither the texts nor what training needs."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([x[1:] for x in sorted(held)]))], pa.binary())], ["model"])
+
+    made = bounded_batches(sample.repartition(1), rows, "model binary").first()
+    return pickle.loads(made.model) if made else train([])  # Spark may run no task over no rows
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import bounded_batches, in_parts, table, texts_of
+from .common import bounded_batches, in_parts, stage, table, texts_of
 
 WINDOW = 32  # bytes in a feature
 NEIGHBOURS = 64  # adjacent windows among which the rarest counts
@@ -185,7 +185,7 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
         total = np.zeros(LEVELS + 1, np.int64)
         for part in in_parts(batches):
             for group in groups([t.encode("utf-8", "surrogatepass") for t in texts_of(part)]):
-                    total += level_counts(group)
+                total += level_counts(group)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["level", "n"])
 
@@ -195,36 +195,36 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
     return ranks(counts)
 
 
-def _cuts(rows: DataFrame, rows_per_bin: int, most_bins: int) -> tuple[list[tuple[int, int]], tuple[int, int]]:
-    """(cut points between bins, least key). Keys are (k, h); every tenth of a sample by hash becomes a cut, so that
-    10 x most_bins keys at most are expected on the driver."""
+def _cuts(rows: DataFrame, rows_per_bin: int, most_bins: int) -> DataFrame:
+    """One row: the cut points between bins (cuts, an array in order) and the least key (least). Keys are (k, h); every
+    tenth of a sample by hash becomes a cut. The row is made by Spark and goes to all tasks: 16 bytes a cut."""
     each = max(rows_per_bin, rows.count() // most_bins)
-    chosen = rows.where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, each // 10))) == 0).select("k", "h").distinct()
-    keys = sorted((r.k, r.h) for r in chosen.collect())
-    least = rows.agg(F.min(F.struct("k", "h")).alias("least")).first().least
-    return keys[9::10], (least.k, least.h) if least else (0, 0)
+    key = F.struct("k", "h")
+    chosen = F.when(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, each // 10))) == 0, key)
+    one = rows.agg(F.min(key).alias("least"), F.sort_array(F.collect_set(chosen)).alias("keys"))
+    return stage(one.select("least", F.filter("keys", lambda _, i: i % 10 == 9).alias("cuts")), "cuts")
 
 
-def followed(docs: DataFrame, rows_per_bin: int = 1000, most_bins: int = 100_000) -> DataFrame:
+def followed(docs: DataFrame, rows_per_bin: int = 1000, most_bins: int = 200_000) -> DataFrame:
     """Rows in bins of descending doc_id, each bin followed by a copy (ghost = 1) of the row that comes after it.
 
     Cuts are keys of rows, so that a bin's first row is known by its key and needs no search. A row finds its bin by
     halving among the cuts. The row after the last is the first. Rows with equal ids stand in the order of hashes of
-    their texts, so that many may be dealt out too; those without an id (or with the least there is) come last.
+    their texts, so that many may be dealt out too (those equal in both are of one bin); those without an id (or with the
+    least there is) come last. Bins are sorted on disk, so they may be larger than a task's memory.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"k": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "h": F.xxhash64("text")})
-    cuts, least = _cuts(rows, rows_per_bin, most_bins)
-    listed = lambda i: F.lit([c[i] for c in cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    at = lambda i, p: F.get(listed(i), p)
-    reached = lambda p: (at(0, p - 1) < F.col("k")) | ((at(0, p - 1) == F.col("k")) & (at(1, p - 1) <= F.col("h")))
-    steps = F.array(*(F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1))) if cuts else F.array().cast("array<int>")
-    step = lambda p, s: F.when((p + s <= len(cuts)) & reached(p + s), p + s).otherwise(p)
-    rows = rows.withColumn("bin", F.aggregate(steps, F.lit(0), step))
-    starts = (F.col("bin") > 0) & (at(0, F.col("bin") - 1) == F.col("k")) & (at(1, F.col("bin") - 1) == F.col("h"))
-    first = (F.col("k") == least[0]) & (F.col("h") == least[1])
+    rows = rows.crossJoin(F.broadcast(_cuts(rows, rows_per_bin, most_bins)))
+    at = lambda p: F.get("cuts", p - 1)
+    reached = lambda p: (at(p)["k"] < F.col("k")) | ((at(p)["k"] == F.col("k")) & (at(p)["h"] <= F.col("h")))
+    steps = F.array(*(F.lit(1 << s) for s in range(most_bins.bit_length() + 3, -1, -1)))
+    step = lambda p, s: F.when((p + s <= F.size("cuts")) & reached(p + s), p + s).otherwise(p)
+    own = F.aggregate(steps, F.lit(0), step)
+    same = lambda c: (c["k"] == F.col("k")) & (c["h"] == F.col("h"))
+    rows = rows.select("doc_id", "text", "k", "h", own.alias("bin"), F.size("cuts").alias("last"), F.coalesce(same(at(own)), F.lit(False)).alias("starts"), same(F.col("least")).alias("first"))
     place = lambda b, g: F.struct(b.cast("int").alias("bin"), F.lit(g).alias("ghost"))
-    ghosts = [F.when(starts, place(F.col("bin") - 1, 1)), F.when(first, place(F.lit(len(cuts)), 1))]
+    ghosts = [F.when(F.col("starts"), place(F.col("bin") - 1, 1)), F.when(F.col("first"), place(F.col("last"), 1))]
     out = rows.withColumn("place", F.explode(F.array_compact(F.array(place(F.col("bin"), 0), *ghosts)))).select("doc_id", "text", "place.bin", "place.ghost", "k", "h")
     return out.repartition("bin").sortWithinPartitions("bin", "ghost", "k", "h", "text").select("doc_id", "text", "bin", "ghost")
 

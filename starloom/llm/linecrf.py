@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import appended, bounded_batches, fold, free_memory, in_parts, labelled_sample, table, texts_of
+from .common import appended, bounded_batches, fold, in_parts, labelled_sample, table, texts_of, trained_in_a_task
 
 PER_CLASS = 700  # labelled texts of each class at most
 THRESHOLD = 0.3
@@ -208,9 +208,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 120) -> L
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineField:
     """A field from labelled texts outside fold 0; null and repeated labels as labelled_sample() has it."""
-    made = train(labelled_sample(docs, labels, "quality", per_class))
-    free_memory()
-    return made
+    return trained_in_a_task(labelled_sample(docs, labels, "quality", per_class), train)
 
 
 def _state(field: LineField) -> tuple:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import appended, bounded_batches, fold, free_memory, in_parts, labelled_sample, table, texts_of
+from .common import appended, bounded_batches, fold, in_parts, labelled_sample, table, texts_of, trained_in_a_task
 from .wordcache import Remembered, blocks, narrow_spaces
 
 DECAY = 0.5
@@ -395,9 +395,7 @@ def rated(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFram
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
     """A machine from labelled texts outside fold 0; null and repeated labels as labelled_sample() has it."""
-    made = train(labelled_sample(docs, labels, "toxic", per_class))
-    free_memory()
-    return made
+    return trained_in_a_task(labelled_sample(docs, labels, "toxic", per_class), train)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Candidates are values of six characters or more that a credential word is given, and runs of at least twelve token
 characters with a digit. The forest sees a value's length, character transitions, dictionary coverage and path marks,
-and the words before and after it. Labels for its training come from what it doesn't see: issuers' formats, and the
-name that a value is directly given to. Its trees become one column expression, so scoring needs neither joins nor
+and the words before and after it. Labels for its training come from issuers' formats, the name that a value is directly
+given to, a value's plain shape, or an identifying word before it. Where a name or a word gave the label, that stretch is
+blanked in what the forest is trained on, so it can't learn the rule by reading it; a format or a plain shape is part of
+the value, of which the forest sees lengths and shares only. Its trees become one column expression, so scoring needs neither joins nor
 Python. DataFrame and SQL functions throughout.
 """
 
@@ -33,6 +35,8 @@ LEAST_VOTE = 0.5
 TREES, DEPTH = 20, 7
 TRAINING_ROWS = 4000  # labelled findings of each class at most
 DICTIONARY = 2000  # commonest words of the corpus
+REAL_WEIGHT = 4.0  # of a finding of the corpus; one made by KINDS weighs 1
+SHOWN = rf"(?i)(?<![a-z]){IDENTIFYING}[ \t:=#]{{1,3}}$"
 LEAST_SHARE = 20_000  # a dictionary word makes up one in so many words of the corpus at least
 FEATURES = ["length", "digits", "capitals", "switches", "runs", "distinct", "covered", "other_marks", "slashes", "dots", "groups", "at_sign", "hex", "quoted", "assigned", "plain_before", "plain_after", "credential_near", "identifying_near"]
 
@@ -64,14 +68,15 @@ def worth(c: Column) -> Column:
     return (F.length(c["value"]) >= 6) & (c["named"] | (F.length(c["value"]) >= 12) & c["value"].rlike("[0-9]"))
 
 
-def features(c: Column, words: Column) -> list[Column]:
-    """The forest's inputs, in the order of FEATURES. c: value, before and after; words: array of dictionary words."""
+def features(c: Column, words: list[str]) -> list[Column]:
+    """The forest's inputs, in the order of FEATURES. c: value, before and after; words: the dictionary, which Spark looks
+    up by hash."""
     value = c["value"]
     length = F.length(value).cast("double")
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
     plain = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
     letters = lambda ws: F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w))
-    known = lambda ws: F.filter(ws, lambda w: F.array_contains(words, w))
+    known = lambda ws: F.filter(ws, lambda w: w.isin(words))
     share = lambda text: F.size(known(plain(text))).cast("double") / F.greatest(F.size(plain(text)), F.lit(1))
     around = F.concat(c["before"], F.lit(" "), c["after"])
     return [
@@ -108,22 +113,24 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
 
 
 def labelled_findings(docs: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
-    """(value, before, after, label) of findings, labelled by rules whose inputs the forest doesn't get: 1 where a value
-    has an issuer's format, or is directly given to a credential name and mixes letters and digits; 0 for addresses,
-    numbers, plain words, paths, and what an identifying word stands before. About `most` of each class, by a hash;
-    others stay unlabelled. A value that is found often counts once. Each finding also comes without the text around
-    it, so that a value's own shape has to tell."""
+    """(value, before, after, label, weight) of findings, labelled by rule: 1 where a value has an issuer's format, or is
+    directly given to a credential name and mixes letters and digits; 0 for addresses, numbers, plain words, paths, and
+    what an identifying word stands before. The name or word that gave a label is taken out of `before`. About `most` of
+    each class, by a hash; others stay unlabelled. A value that is found often counts once. Each finding also comes
+    without the text around it, so that a value's own shape has to tell."""
     cut = docs.where(F.col("text").isNotNull()).select(F.explode_outer(_let(cut_text(F.col("text")), findings)).alias("c"))
-    found = cut.where(worth(F.col("c"))).groupBy("c.value").agg(F.min(F.struct("c.named", "c.before", "c.after")).alias("c")).select("value", "c.*")
+    found = cut.where(worth(F.col("c"))).groupBy("c.value").agg(F.min(F.struct("c.named", "c.before", "c.after", "c.lead")).alias("c")).select("value", "c.*")
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     plain = F.col("value").rlike(r"@[A-Za-z0-9-]+\.|^[0-9.+-]+$|^[A-Za-z.+/_~-]+$|^[a-z]+[0-9]{1,4}$|/[A-Za-z]+/")
-    shown = F.col("before").rlike(rf"(?i)(?<![a-z]){IDENTIFYING}[ \t:=#]{{1,3}}$")
-    label = F.when(F.col("value").rlike(ISSUED), 1.0).when(F.col("named") & mixed & ~F.col("value").contains("@"), 1.0).when(plain & ~F.col("named") | shown, 0.0)
-    kept = stage(found.withColumn("label", label).where("label is not null").select("value", "before", "after", "label"), "labelled")
+    shown, issued = F.col("before").rlike(SHOWN), F.col("value").rlike(ISSUED)
+    label = F.when(issued, 1.0).when(F.col("named") & mixed & ~F.col("value").contains("@"), 1.0).when(plain & ~F.col("named") | shown, 0.0)
+    unnamed = F.when(F.col("named"), F.expr("substring(before, 1, greatest(length(before) - lead, 0))")).otherwise(F.col("before"))
+    blind = F.when(issued, F.col("before")).otherwise(F.regexp_replace(unnamed, SHOWN, " "))
+    kept = stage(found.withColumn("label", label).where("label is not null").select("value", blind.alias("before"), "after", "label", F.lit(REAL_WEIGHT).alias("weight")), "labelled")
     n = {r.label: r.n for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [kept.where((F.col("label") == y) & (F.pmod(F.xxhash64("value"), F.lit(max(1, n.get(y, 0) // most))) == 0)) for y in (0.0, 1.0)]
     both = chosen[0].unionByName(chosen[1])
-    return both.unionByName(both.select("value", F.lit("").alias("before"), F.lit("").alias("after"), "label"))
+    return both.unionByName(both.select("value", F.lit("").alias("before"), F.lit("").alias("after"), "label", "weight"))
 
 
 #: Kinds of labelled findings made by rule, beside the corpus's own: (kind, label, text before, value, text after). In
@@ -137,7 +144,7 @@ KINDS = [
 
 
 def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) -> DataFrame:
-    """(kind, value, before, after, label): `each` findings of each kind, made from counters by hashing."""
+    """(kind, value, before, after, label, weight): `each` findings of each kind, made from counters by hashing."""
     n = spark.range(each).select(F.col("id"), *(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512).alias(k) for k in ("h", "x", "y")))
     mixed = F.translate(F.concat("x", F.upper("y")), "0123456789abcdefABCDEF", "3KmP8vRz4tQhw7XfLpgZJdBn")
     sources = {"h": F.col("h"), "u": F.translate(F.upper("h"), "01", "XY"), "d": F.translate("h", "abcdef", "314159"), "m": F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.concat(F.substring(mixed, k, F.lit(1)), F.substring(mixed, k + 128, F.lit(1)))))}
@@ -154,7 +161,7 @@ def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) ->
                 out.append(F.lit(part))
         return F.concat(*out)
 
-    rows = [n.select(F.lit(k).alias("kind"), made(v).alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for k, y, b, v, a in kinds]
+    rows = [n.select(F.lit(k).alias("kind"), made(v).alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label"), F.lit(1.0).alias("weight")) for k, y, b, v, a in kinds]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -186,21 +193,17 @@ class Forest:
 
     def vote(self, c: Column) -> Column:
         """The trees' mean vote for one finding; 0 if it isn't worth one."""
-        f = F.transform(F.array(F.array(*features(c, _listed(self.words)))), lambda f: sum((_leaf(t, f) for t in self.trees), F.lit(0.0)) / len(self.trees))
+        f = F.transform(F.array(F.array(*features(c, self.words))), lambda f: sum((_leaf(t, f) for t in self.trees), F.lit(0.0)) / len(self.trees))
         return F.when(worth(c), f[0]).otherwise(0.0)
 
 
-def _listed(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-
-
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from labelled findings (value, before, after, label)."""
+    """A forest from labelled findings (value, before, after, label, weight)."""
     c = F.struct("value", "before", "after")
-    rows = findings.select("label", *(f.alias(n) for n, f in zip(FEATURES, features(c, _listed(words)), strict=True)))
+    rows = findings.select("label", "weight", *(f.alias(n) for n, f in zip(FEATURES, features(c, words), strict=True)))
     rows = stage(rows.repartition(2), "findings")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(ready)
+    model = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(ready)
     return Forest([_tree(t._call_java("rootNode")) for t in model.trees], words)
 
 
@@ -254,7 +257,8 @@ def found(docs: DataFrame, forest: Forest, least: float = LEAST_VOTE, name: str
 
 
 def masked(docs: DataFrame, forest: Forest, least: float = LEAST_VOTE, hidden: str = "[SECRET]") -> DataFrame:
-    """The rows with the findings that stay replaced in `text`; other columns are left as they are."""
+    """The rows with the findings that stay replaced in `text`; other columns are left as they are. Null texts stay null;
+    repeated rows stay; an empty table gives none. In a text with a finding that stays, U+FDD0 comes out as a space."""
     text = F.col("text")
     return docs.withColumn("text", _scan(text, forest, lambda parts, marks: _masked(text, parts, marks, least, hidden)))
 

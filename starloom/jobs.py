@@ -12,7 +12,7 @@ from . import progress
 from .functions import parsing
 from .operators import backbone, facts, genres, layout, prose, serve, similarity, slicing, tiles
 from .schema import FK_TO_ARTIST, PARTS, TABLES
-from .sources import archives, dumps, streams
+from .sources import archives, dumps, streams, tilefiles
 from .staging import stage
 from .store import LEDGER, Canon, Snapshot, numbered
 
@@ -224,10 +224,10 @@ def newest(canon: Canon | Snapshot) -> tuple[DataFrame, DataFrame]:
 
 
 def write_tiles(canon: Canon, folder: str, level0: int = tiles.LEVEL0_STARS, most: int = tiles.MAX_LEVEL) -> int:
-    """Tile files as rows (path, part, stars, content) of a Parquet folder, with the sky's square beside them."""
+    """Tiles as files level/col/row.bin of a folder, with the sky's square beside them. Older files of other tiles stay."""
     stars = stage(tiles.stars(*newest(canon)), "stars")
     files = stage(tiles.files(stage(tiles.pyramid(stars, level0, most), "pyramid")), "tiles")
-    files.write.mode("overwrite").parquet(f"{folder}/tiles")
+    tilefiles.write(files, f"{folder}/tiles")
     deepest = files.select(F.max(F.split("path", "/")[0].cast("int")).alias("deepest"))
     tiles.bounds(stars).join(F.broadcast(deepest)).withColumn("record_bytes", F.lit(tiles.RECORD_BYTES)).write.mode("overwrite").json(f"{folder}/sky")
     return files.select("path").distinct().count()

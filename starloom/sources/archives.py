@@ -24,12 +24,17 @@ def is_tar(path: str) -> bool:
     return re.search(r"\.(?:tar(?:\.(?:bz2|gz))?|tgz|tbz2?)$", path) is not None
 
 
-def opened(path: str) -> IO[bytes]:
-    """A file of any store that pyarrow knows, opened for reading at any place."""
+def store_of(path: str) -> tuple:
+    """(file system, path in it) of any store that pyarrow knows."""
     from pyarrow import fs
 
     plain = re.sub(r"^file:/+", "/", path)
-    where, at = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
+    return fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
+
+
+def opened(path: str) -> IO[bytes]:
+    """A file opened for reading at any place."""
+    where, at = store_of(path)
     return where.open_input_file(at)
 
 

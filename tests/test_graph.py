@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from starloom import store
 from starloom.operators import layout, serve, similarity, slicing, tiles
+from starloom.sources import tilefiles
 from starloom.staging import ranked
 from starloom.streaming.imports import import_batches
 
@@ -86,6 +87,23 @@ def test_tiles(spark):
     assert tiles.pyramid(stars.where("false")).count() == 0
 
 
+def test_tile_files(spark, tmp_path):
+    """Paths and bytes are those of the rows; a failed task leaves nothing; a second run replaces its own files."""
+    stars = spark.createDataFrame([(i, float(i), float(-i), 1.0 / (i + 1)) for i in range(30)], "artist_id int, x float, y float, brightness float")
+    rows = tiles.files(tiles.pyramid(stars, level0=4, most=6), part_stars=3)
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.path, r.part)):
+        want[r.path] = want.get(r.path, b"") + bytes(r.content)
+    found = lambda: {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()}
+    broken = rows.withColumn("content", F.when(F.col("path").startswith("0/"), F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        tilefiles.write(broken, str(tmp_path))
+    assert found() == {} and not list(tmp_path.iterdir())
+    for _ in range(2):
+        tilefiles.write(rows, str(tmp_path))
+        assert found() == want
+
+
 def test_search_terms(spark):
     artists = spark.createDataFrame([(1, "Beatless"), (2, "The Beatles"), (3, "beatles")], "id int, name string")
     place = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0)], "artist_id int, x float, y float")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_OF_A_NAME = 10_000  # artists of one name that go to every task
 
 def tagged(masters: DataFrame) -> DataFrame:
     """(artist, name, is_style): masters(artists array, genres array, styles array) by every credited artist and every
@@ -49,3 +50,15 @@ def with_parents(labels: DataFrame) -> DataFrame:
     there = labels.select(F.col("id").alias("parent_id"), F.col("id").alias("parent_label_id"))
     rows = labels.join(there, "parent_id", "left")
     return rows.select("id", "name", F.nullif("profile", F.lit("")).alias("profile"), F.when(F.col("parent_label_id") != F.col("id"), F.col("parent_label_id")).alias("parent_label_id"))
+
+
+def of_name(artist_genres: DataFrame, words: DataFrame, artists: DataFrame, name: str) -> DataFrame:
+    """(id, genre, is_style, releases) of every artist of exactly this name. Artists are narrowed first."""
+    found = artists.where(F.col("name") == name).select(F.col("id").alias("artist_id"))
+    rows = artist_genres.join(F.broadcast(found) if found.limit(MOST_OF_A_NAME + 1).count() <= MOST_OF_A_NAME else found, "artist_id")
+    return rows.join(words.select(F.col("id").alias("genre_id"), F.col("name").alias("genre"), "is_style"), "genre_id").select(F.col("artist_id").alias("id"), "genre", "is_style", "releases")
+
+
+def entries(artist_discogs: DataFrame, artists: DataFrame) -> DataFrame:
+    """(id, name, discogs_id): the catalogue's entry of each artist that has one."""
+    return artist_discogs.join(artists.select(F.col("id").alias("artist_id"), "name"), "artist_id").select(F.col("artist_id").alias("id"), "name", "discogs_id")

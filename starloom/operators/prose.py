@@ -33,6 +33,14 @@ def prose(pages: DataFrame, titles: DataFrame, version: str) -> DataFrame:
     )
 
 
+def attribution(prose: DataFrame, artists: DataFrame) -> DataFrame:
+    """(id, name, source_title, source_url, licence, dump_version, share): what has to stand beside each extract, and how
+    many per cent of its page the extract is (null for an empty page)."""
+    share = F.round(F.lit(100.0) * F.col("extract_chars") / F.nullif("source_chars", F.lit(0)), 1)
+    rows = prose.join(artists.select(F.col("id").alias("artist_id"), "name"), "artist_id")
+    return rows.select(F.col("artist_id").alias("id"), "name", "source_title", "source_url", "licence", "dump_version", share.alias("share"))
+
+
 def coverage(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """One row: wanted titles, pages found and pages without a lead."""
     rows = wanted(titles).join(pages, "title", "left").select(F.col("text").isNotNull().alias("found"), (F.col("text").isNotNull() & lead(F.col("text")).isNull()).alias("bare"))

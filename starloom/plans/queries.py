@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, parsing
-from ..operators import backbone, facts, genres, layout, serve, similarity, slicing, tiles
+from ..operators import backbone, facts, genres, layout, prose, serve, similarity, slicing, tiles
 from ..sources import dumps
 from ..store import first_wins, merged, numbered
 from . import canon
@@ -164,6 +164,10 @@ def _customers(t: Tables, where: str = "true") -> DataFrame:
     return t.customer.where(where).select(F.col("c_custkey").alias("artist"), F.col("c_nationkey").alias("artist_id"))
 
 
+def _nations(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+
+
 def _artist_genres(t: Tables) -> tuple[DataFrame, DataFrame]:
     tags = _tags(t)
     words = genres.vocabulary(tags)
@@ -191,6 +195,16 @@ def artist_genre_top8(t):
     return serve.top_genres(*_artist_genres(t)).select("artist_id", "rank", "name", "is_style", "releases")
 
 
+@query("tags vocabulary genre_counts artist_genres", "SELECT n_nationkey AS id, v.name AS genre, is_style, releases FROM artist_genres JOIN vocabulary v ON v.id = genre_id JOIN nation ON n_nationkey = artist_id WHERE n_name = 'FRANCE'")
+def genres_of_name(t):
+    return genres.of_name(*_artist_genres(t), _nations(t), "FRANCE")
+
+
+@query(sql="SELECT n_nationkey AS id, n_name AS name, min(c_custkey) AS discogs_id FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def catalogue_entries(t):
+    return genres.entries(_customers(t).groupBy("artist_id").agg(F.min("artist").alias("discogs_id")), _nations(t))
+
+
 @query("tags", "SELECT artist, name, is_style, count(*) AS releases FROM tags JOIN customer ON c_custkey = artist WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' GROUP BY ALL")
 def masters_semi(t):
     return genres.counts(_tags(t), _customers(t, "c_acctbal > 0"), _customers(t, "c_mktsegment = 'BUILDING'"))
@@ -333,6 +347,17 @@ def prose_ratio(t):
     return rows.withColumn("share", F.round(F.lit(100.0) * F.col("extract_chars") / F.nullif("source_chars", F.lit(0)), 4))
 
 
+@query(sql=f"""SELECT c_custkey AS id, c_name AS name, 'page ' || doc_id AS source_title, '{prose.BASE_URL}page_' || doc_id AS source_url, '{prose.LICENCE}' AS licence, 'v1' AS dump_version,
+    round(100.0::DOUBLE * length(array_to_string(p, chr(10) || chr(10))) / nullif(length(text), 0), 1) AS share FROM (SELECT doc_id, text, {_PARAGRAPHS} AS p FROM documents) JOIN customer ON c_custkey = doc_id""")
+def prose_attribution(t):
+    title, extract = F.concat(F.lit("page "), "doc_id"), F.array_join(markup.paragraphs(F.col("text")), "\n\n")
+    rows = t.documents.select(
+        F.col("doc_id").alias("artist_id"), title.alias("source_title"), parsing.page_url(title, prose.BASE_URL).alias("source_url"), F.lit(prose.LICENCE).alias("licence"), F.lit("v1").alias("dump_version"),
+        F.length("text").alias("source_chars"), F.length(extract).alias("extract_chars"),
+    )
+    return prose.attribution(rows, canon.artists(t))
+
+
 @query()
 def prose_lead(t):
     return t.documents.select("doc_id", markup.lead(F.col("text")).alias("extract"))

@@ -212,13 +212,14 @@ def _sketch(made: DataFrame, key: str, name: str) -> DataFrame:
     return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)))
 
 
-def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LEAST, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verified links, classes) between distinct texts: `made` has their (id, bands, bits), `named` their (id, first, h,
     c, n), `texts` all rows as _keyed() gives them. Pairs whose short sketches rule them out are never made: that test is
-    part of the joins' conditions. Links inside a class that is already joined aren't looked for."""
+    part of the joins' conditions; without `sketched` all pairs of a bucket are compared in full. Links inside a class that
+    is already joined aren't looked for."""
     made = made.where(F.col("bands").isNotNull())
     p, q = ([f"{x}{k}" for k in range(SKETCH_WORDS)] for x in "pq")
-    likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) * 15 / 16 * ROWS * BANDS)
+    likely = _apart(p, q) <= int((1 - LEAST_ESTIMATE) * 15 / 16 * ROWS * BANDS) if sketched else F.lit(True)
     entry = made.select("id", F.explode("bands").alias("bucket"))
     # Aggregates are written out before they are joined back: both sides are then shuffled for the join, and Spark can
     # split a bucket or a group of copies that holds very many rows
@@ -268,31 +269,32 @@ def _merged(classes: DataFrame, found: DataFrame) -> DataFrame:
     return stage(classes.join(above, "class").select("id", F.col("top").alias("class")), "classes")
 
 
-def _labelled(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _labelled(rows: DataFrame, least: float, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
     """(the rows' ids and keys, all distinct texts as h, c, n, n_copies, class_id, stands): a text stands for its class
     if its row is the class's first by doc_id and then by key. Texts are numbered, so ids may repeat."""
     made = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
     groups = made.groupBy(*KEY).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
     groups = stage(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     chosen = made.withColumnRenamed("id", "first").join(groups.drop("n_copies"), ["first", *KEY]).select("id", "bands", "bits").dropDuplicates(["id"])
-    _, label = links(chosen, rows, groups.drop("n_copies"), least)
+    _, label = links(chosen, rows, groups.drop("n_copies"), least, sketched)
     joined = stage(groups.join(label, "id", "left").withColumn("class", F.coalesce("class", "id")), "labels")
     top = stage(joined.groupBy("class").agg(F.min(F.struct("first", *KEY)).alias("top")), "tops")
     named = joined.join(top, "class").select(*KEY, "n_copies", F.col("top.first").alias("class_id"), (F.col("top") == F.struct("first", *KEY)).alias("stands"))
     return made.select("id", *KEY), stage(named, "named")
 
 
-def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST, sketched: bool = True) -> DataFrame:
     """(doc_id, class_id, n_copies) of each row. class_id is the least doc_id that links lead to; n_copies counts the rows
     with the same text.
 
     Null texts count as empty; texts without a word are linked to their exact copies alone; a row without doc_id has
     neither class nor count, as nothing can name it. Repeated rows stay; different texts under one doc_id are each
     compared for themselves, and may bear one class_id without being alike. An empty table gives none; other columns
-    are not read.
+    are not read. sketched: pairs that short sketches rule out aren't compared, which may miss a link at the very edge of
+    `least`; without it every pair that shares a band is compared in full.
     """
     rows = _keyed(docs)
-    made, named = _labelled(rows, least)
+    made, named = _labelled(rows, least, sketched)
     out = made.join(named, KEY).select(F.col("id").alias("doc_id"), "class_id", "n_copies")
     return out.unionByName(docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("bigint").alias(c) for c in out.columns)))
 

@@ -11,6 +11,7 @@ Python. DataFrame and SQL functions throughout.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -34,6 +35,7 @@ CONTEXT = 40  # characters on either side that the forest's features may read
 LEAST_VOTE = 0.5
 TREES, DEPTH = 20, 7
 TRAINING_ROWS = 4000  # labelled findings of each class at most
+BUCKETS = 4096  # of the dictionary by hash
 DICTIONARY = 2000  # commonest words of the corpus
 REAL_WEIGHT = 4.0  # of a finding of the corpus; one made by KINDS weighs 1
 SHOWN = rf"(?i)(?<![a-z]){IDENTIFYING}[ \t:=#]{{1,3}}$"
@@ -68,6 +70,18 @@ def worth(c: Column) -> Column:
     return (F.length(c["value"]) >= 6) & (c["named"] | (F.length(c["value"]) >= 12) & c["value"].rlike("[0-9]"))
 
 
+def _bucket(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % BUCKETS).cast("int")
+
+
+def _hashed(words: list[str]) -> Column:
+    """Array of BUCKETS strings, each with the words of one hash between blanks: one literal, which Spark splits once."""
+    held = [" "] * BUCKETS
+    for w in words:
+        held[zlib.crc32(w.encode()) % BUCKETS] += f"{w} "
+    return F.split(F.lit("|".join(held)), "[|]")
+
+
 def features(c: Column, words: list[str]) -> list[Column]:
     """The forest's inputs, in the order of FEATURES. c: value, before and after; words: the dictionary, which Spark looks
     up by hash."""
@@ -76,7 +90,8 @@ def features(c: Column, words: list[str]) -> list[Column]:
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
     plain = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
     letters = lambda ws: F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w))
-    known = lambda ws: F.filter(ws, lambda w: w.isin(words))
+    table = _hashed(words)
+    known = lambda ws: F.filter(ws, lambda w: F.contains(F.get(table, _bucket(w)), F.concat(F.lit(" "), w, F.lit(" "))))
     share = lambda text: F.size(known(plain(text))).cast("double") / F.greatest(F.size(plain(text)), F.lit(1))
     around = F.concat(c["before"], F.lit(" "), c["after"])
     return [
@@ -148,6 +163,7 @@ def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) ->
     n = spark.range(each).select(F.col("id"), *(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512).alias(k) for k in ("h", "x", "y")))
     mixed = F.translate(F.concat("x", F.upper("y")), "0123456789abcdefABCDEF", "3KmP8vRz4tQhw7XfLpgZJdBn")
     sources = {"h": F.col("h"), "u": F.translate(F.upper("h"), "01", "XY"), "d": F.translate("h", "abcdef", "314159"), "m": F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.concat(F.substring(mixed, k, F.lit(1)), F.substring(mixed, k + 128, F.lit(1)))))}
+    n = stage(n.select("id", *(c.alias(k) for k, c in sources.items())), "counters")
 
     def made(pattern: str) -> Column:
         out, at = [], 1
@@ -155,7 +171,7 @@ def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) ->
             if k % 2 and part == "i":
                 out.append(F.col("id").cast("string"))
             elif k % 2:
-                out.append(F.substring(sources[part[0]], at, int(part[1:])))
+                out.append(F.substring(part[0], at, int(part[1:])))
                 at += int(part[1:]) if at < 60 else 0
             else:
                 out.append(F.lit(part))
@@ -200,8 +216,9 @@ class Forest:
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> Forest:
     """A forest from labelled findings (value, before, after, label, weight)."""
     c = F.struct("value", "before", "after")
+    findings = stage(findings, "findings")  # of many branches, each of which would get the features' expressions
     rows = findings.select("label", "weight", *(f.alias(n) for n, f in zip(FEATURES, features(c, words), strict=True)))
-    rows = stage(rows.repartition(2), "findings")
+    rows = stage(rows.repartition(2), "features")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(ready)
     return Forest([_tree(t._call_java("rootNode")) for t in model.trees], words)

@@ -229,7 +229,8 @@ def scored(docs: DataFrame, field: LineField) -> DataFrame:
 
 
 def rated(docs: DataFrame, field: LineField, name: str = "quality_score") -> DataFrame:
-    """All columns of the rows, and their score, in place of a column of that name if there is one."""
+    """All columns of the rows, and their score, in place of a column of that name if there is one. Null and empty texts
+    get the score of a text without lines; repeated rows stay; an empty table gives none."""
     state = _state(field)
     return appended(docs, name, lambda texts: LineField(*state).score(texts))
 

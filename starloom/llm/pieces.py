@@ -325,7 +325,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): the ids of each whole text and the text made from them again.
 
     Null and empty texts have no ids; repeated rows stay; a text's own U+2581 comes back as a space, as the model
-    file's convention has it.
+    file's convention has it; of paths that weigh the same the merges' own is taken; an empty table gives none; other
+    columns are not read.
     """
     path = path or vocabulary("piece_bpe_32k.model")
 
@@ -340,7 +341,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digest columns of encoded(), made beside it so that ids needn't leave the Python worker."""
+    """Digest columns of encoded(), made beside it so that ids needn't leave the Python worker. Rows are treated as there:
+    null and empty texts have no ids, repeated rows stay, an empty table gives none, other columns are not read."""
     path = path or vocabulary("piece_bpe_32k.model")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -261,7 +261,8 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, in
 
 def spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """(doc_id, base, spans): arrays of struct<kind, start, end> of each whole text, in code points, by start and then
-    kind. Null and empty texts have empty arrays; repeated rows stay."""
+    kind. Null and empty texts have empty arrays; repeated rows stay; of overlapping added spans the set that weighs most
+    stays, of equal ones the first by place; an empty table gives none; other columns are not read."""
     weights = tagger.w
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -388,7 +388,8 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def rated(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
     """All columns of the rows, and their score, in place of a column of that name if there is one; rows keep their
-    places, nothing is joined."""
+    places, nothing is joined. Null and empty texts get the score of a text without words; repeated rows stay; an empty
+    table gives none."""
     state = (machine.landmarks, machine.weights, machine.bias, machine.scale)
     return appended(docs, name, lambda texts: _loaded(state).score(texts))
 

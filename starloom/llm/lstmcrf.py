@@ -7,7 +7,7 @@ import numpy as np
 #: Labels in the order in which they are listed; 0 is no personal data.
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = 1 + len(KINDS)
-HIDDEN = 16
+HIDDEN = 24
 #: Character classes: each small letter (capitals alike) and ASCII mark has its own; all digits share one, and so do
 #: white space, letters beyond ASCII and the rest.
 _TABLE = np.full(128, 3, np.uint8)
@@ -94,12 +94,12 @@ class Tagger:
     def _marginals(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(marginals, forward sums, backward sums, log partition) of the CRF over scores (T, B, LABELS)."""
         change = self.w["change"]
-        alpha, beta = np.empty_like(score), np.zeros_like(score)
-        alpha[0] = score[0]
+        ways = np.exp(np.stack([change, change.T]))
+        both = np.stack([score, score[::-1]], 1)  # forward, and backward from the end, in one pass
         for t in range(1, len(score)):
-            alpha[t] = score[t] + _lse(alpha[t - 1][:, :, None] + change, 1)
-        for t in range(len(score) - 2, -1, -1):
-            beta[t] = _lse(change + (score[t + 1] + beta[t + 1])[:, None, :], 2)
+            top = both[t - 1].max(2, keepdims=True)
+            both[t] += top + np.log(np.exp(both[t - 1] - top) @ ways)
+        alpha, beta = both[:, 0], both[::-1, 1] - score
         whole = _lse(alpha[-1], 1)
         return np.exp(alpha + beta - whole[:, None]), alpha, beta, whole
 
@@ -110,10 +110,14 @@ class Tagger:
         seq = np.stack([c, c[:, ::-1]])
         kind = w["u"].dtype
         hids, cells, gates, tans = [np.zeros((2, b, h), kind)], [np.zeros((2, b, h), kind)], [], []
+        half = np.ones(4 * h, kind)
+        half[: 3 * h] = 0.5
+        x, u = w["x"] * half, w["u"] * half
+        into = np.stack([x[d][seq[d].T] for d in (0, 1)], 1)
         for t in range(t_all):
-            g = np.stack([w["x"][d][seq[d][:, t]] for d in (0, 1)]) + hids[-1] @ w["u"]
-            g[:, :, : 3 * h] = 1 / (1 + np.exp(-g[:, :, : 3 * h]))
-            g[:, :, 3 * h :] = np.tanh(g[:, :, 3 * h :])
+            g = np.tanh(into[t] + hids[-1] @ u)
+            g[:, :, : 3 * h] *= 0.5
+            g[:, :, : 3 * h] += 0.5
             cell = g[:, :, h : 2 * h] * cells[-1] + g[:, :, :h] * g[:, :, 3 * h :]
             tan = np.tanh(cell)
             gates.append(g), cells.append(cell), tans.append(tan), hids.append(g[:, :, 2 * h : 3 * h] * tan)

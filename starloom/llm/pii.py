@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_parts, table, texts_of
+from .common import bounded_batches, in_parts, table, texts_of, trained_in_a_task
 from .lstmcrf import KINDS, PAD, Tagger, classes_of
 
 #: Windows overlap by more than the longest span that holds() accepts, with room for edges that are trimmed: each such
@@ -28,7 +28,7 @@ TRAIN_WINDOW = 64
 BATCH = 1024
 SAMPLE_TEXTS = 300  # texts with a digit or at-sign from which the tagger learns, of at most SAMPLE_CHARS characters
 SAMPLE_CHARS = 20_000
-STEPS, TRAIN_BATCH, RATE = 320, 96, 0.03
+STEPS, TRAIN_BATCH, RATE = 640, 96, 0.015
 #: What makes a span certain enough to be added: the mean marginal probability of its label.
 LEAST_SURE = 0.8
 
@@ -104,8 +104,8 @@ def holds(kind: int, span: str) -> bool:
 
 def _parted(rng: random.Random) -> str:
     """What may stand between the groups of a disguised number: a mark or two, with or without blanks or brackets."""
-    mark = rng.choice("./_|~#,;+-:*=!&^%")
-    return rng.choice([mark, mark, f" {mark} ", f"{mark} ", mark * 2, f"[{mark}]", f"({mark})", "  ", " "])
+    mark, other = rng.choices("./_|~#,;+-:*=!&^%", k=2)
+    return rng.choice([mark, mark, f" {mark} ", f"{mark} ", mark * 2, mark + other, f" {mark}{other} ", f"[{mark}]", f"({mark})", f"<{mark}>", "  ", " "])
 
 
 def _written(kind: int, rng: random.Random) -> str:
@@ -117,7 +117,7 @@ def _written(kind: int, rng: random.Random) -> str:
         at, dot = (at.upper(), dot.upper()) if rng.random() < 0.2 else (at, dot)
         return w() + rng.choice(["", "." + w(), d(2), "." + d(2)]) + at + w() + rng.choice(["", d(1), dot + w()]) + dot + rng.choice(["com", "org", "net", "de"])
     if kind == 1:
-        return rng.choice([".", ".", "[.]", " . ", "(.)", "[dot]", " dot ", "(dot)", _parted(rng)]).join(str(rng.randint(0, 255)) for _ in range(4))
+        return rng.choice([".", "[.]", " . ", "(.)", "[dot]", " dot ", "(dot)", *(_parted(rng) for _ in range(5))]).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
         n = d(15)
         n = next(n + c for c in "0123456789" if luhn(n + c))
@@ -132,7 +132,7 @@ def _plain(rng: random.Random) -> str:
     return rng.choice([f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"{rng.randint(1, 23)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"${d(1)},{d(3)}.{d(2)}", d(rng.randint(1, 6)), d(rng.randint(7, 11)), "".join(rng.choice("0123456789abcdef") for _ in range(20)), f"at {w}" if (w := "noon") and rng.random() < 0.3 else "CC BY-NC 4.0", f"{d(1)} + {d(2)} = {d(2)}", "a.b.c", "see @ 5", f"{d(2)}%"])
 
 
-def training_windows(texts: list[str], n: int = 3000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], n: int = 8000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(classes, labels) of windows: around the patterns' spans, with forms written in, and of ordinary text."""
     rng = random.Random(seed)
     pool = [t for t in texts if len(t) > 20] or ["the quick brown fox jumps over the lazy dog and runs on "]
@@ -171,13 +171,23 @@ def train(texts: list[str], steps: int = STEPS) -> Tagger:
     return Tagger.fresh().fit(x, y, steps, TRAIN_BATCH, RATE)
 
 
+#: The last sample that a tagger was trained from, as hashes of its texts, and that tagger's weights.
+_KEPT: dict[tuple[int, ...], dict[str, np.ndarray]] = {}
+
+
 def trained(docs: DataFrame, most: int = SAMPLE_TEXTS) -> Tagger:
     """A tagger from at most `most` texts that hold a digit or an at-sign, chosen by a hash. The choice is made among
-    hashes; only chosen texts reach the driver."""
+    hashes, which are all that reaches the driver; a task reads the chosen texts and trains. Weights of the same sample
+    are kept, as training would find them again. Null texts are left out, repeated ones count once; a table without such
+    texts trains from forms written into one fixed sentence."""
     some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
-    chosen = some.select("h").distinct().orderBy("h").limit(most)
-    texts = some.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
-    return train([r.text for r in texts.orderBy("h").collect()])
+    chosen = tuple(r.h for r in some.select("h").distinct().orderBy("h").limit(most).collect())
+    if chosen not in _KEPT:
+        sample = some.where(F.col("h").isin(*chosen)).groupBy(F.col("h").alias("doc_id")).agg(F.min("text").alias("text"), F.lit(0).alias("y"))
+        weights = trained_in_a_task(sample, lambda texts: train([t for t, _ in texts]).w)
+        _KEPT.clear()
+        _KEPT[chosen] = weights
+    return Tagger(_KEPT[chosen])
 
 
 def best_set(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:

@@ -95,6 +95,21 @@ def test_pii_query_against_patterns(spark):
         assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), kinds.index(s.split(":")[0])))
 
 
+def test_kept_weights_follow_the_sample(spark):
+    texts = ["call 12 or 13 now", "write to a.b@c.de soon", "no mark at all"]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "STEPS", 2)
+        m.setattr(pii, "train", lambda texts: type("T", (), {"w": {"texts": sorted(texts)}}))
+        m.setattr(pii, "_KEPT", {})
+        assert pii.trained(frame([*texts, texts[0], None])).w["texts"] == sorted(texts[:2])
+        m.setattr(pii, "train", None)
+        assert pii.trained(frame(texts)).w["texts"] == sorted(texts[:2])
+        m.setattr(pii, "train", lambda texts: type("T", (), {"w": {"texts": sorted(texts)}}))
+        assert pii.trained(frame(texts[1:])).w["texts"] == [texts[1]]
+        assert pii.trained(frame([None])).w["texts"] == []
+
+
 def test_disguises_that_training_has_not_seen(spark):
     import random
 
@@ -122,7 +137,7 @@ def test_disguises_that_training_has_not_seen(spark):
         at = t.find(" ", r.randrange(max(1, len(t)))) + 1
         spans = pii.all_spans(tagger, [t[:at] + body + " " + t[at:]])[0][1]
         found[k % 4] += any(kind == k % 4 and min(e, at + len(body)) - max(s, at) >= 0.7 * len(body) for s, kind, e in spans)
-    assert [f / n >= least for f, least in zip(found, (0.8, 0.35, 0.5, 0.6), strict=True)] == [True] * 4, found
+    assert [f / n >= least for f, least in zip(found, (0.85, 0.8, 0.6, 0.6), strict=True)] == [True] * 4, found
     assert sum(len(both) - len(base) for base, both in pii.all_spans(tagger, plain)) <= 3
 
 

@@ -95,6 +95,15 @@ def test_pii_query_against_patterns(spark):
         assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), kinds.index(s.split(":")[0])))
 
 
+def test_pii_counts_are_of_base_spans(spark):
+    """Added spans change neither counts nor digest."""
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    rows = spark.createDataFrame([(1, [("email", 0, 6)], [("email", 0, 6), ("email", 9, 30), ("phone", 40, 52)]), (2, [], [("card", 3, 30)])], f"doc_id bigint, base {kind}, spans {kind}")
+    one, other = pii.listed(rows).orderBy("doc_id").collect()
+    assert one[1:5] == (1, 0, 0, 0) and one.base_sha256 == hashlib.sha256(b"email:0:6").hexdigest() and one.spans == "email:0:6,email:9:30,phone:40:52"
+    assert other[1:5] == (0, 0, 0, 0) and other.base_sha256 == hashlib.sha256(b"").hexdigest() and other.spans == "card:3:30"
+
+
 def test_kept_weights_follow_the_sample(spark):
     texts = ["call 12 or 13 now", "write to a.b@c.de soon", "no mark at all"]
     frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")

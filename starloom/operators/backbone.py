@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import dealt
+
 
 def named(df: DataFrame, names: DataFrame, key: str, out: str) -> DataFrame:
     """Add names(id, name) by `key`; rows without one keep null. Small name tables are broadcast by the optimizer."""
@@ -24,21 +26,23 @@ def first_credits(names: DataFrame, artists: DataFrame) -> DataFrame:
     return first.join(artists.select(F.col("id").alias("artist_id")), "artist_id", "left_semi").select("id", "artist_id")
 
 
-def group_years(dates: list[DataFrame], releases: DataFrame) -> DataFrame:
+def group_years(dates: list[DataFrame], releases: DataFrame, parts: int | None = None) -> DataFrame:
     """(group, year): the earliest year of a release group's releases. dates: (release, year); releases: (release,
-    group). A release without a group counts nowhere."""
+    group). A release without a group counts nowhere. parts: as for dealt()."""
     dated = dates[0]
     for d in dates[1:]:
         dated = dated.unionByName(d)
-    dated = dated.where("year is not null").groupBy("release").agg(F.min("year").alias("year"))
-    return dated.join(releases, "release").groupBy("group").agg(F.min("year").alias("year"))
+    dated = dealt(dated.where("year is not null"), parts, "release").groupBy("release").agg(F.min("year").alias("year"))
+    grouped = dated.join(dealt(releases, parts, "release"), "release").select("group", "year")
+    return dealt(grouped, parts, "group").groupBy("group").agg(F.min("year").alias("year"))
 
 
-def release_groups(groups: DataFrame, credits: DataFrame, kinds: DataFrame, years: DataFrame) -> DataFrame:
-    """groups(id, mbid, name, credit, kind_id) whose credit is known, with kind and year where there are any."""
-    rows = groups.join(credits.select(F.col("id").alias("credit"), "artist_id"), "credit")
+def release_groups(groups: DataFrame, credits: DataFrame, kinds: DataFrame, years: DataFrame, parts: int | None = None) -> DataFrame:
+    """groups(id, mbid, name, credit, kind_id) whose credit is known, with kind and year where there are any. parts: as
+    for dealt()."""
+    rows = dealt(groups, parts, "credit").join(dealt(credits.select(F.col("id").alias("credit"), "artist_id"), parts, "credit"), "credit")
     rows = named(rows, kinds, "kind_id", "primary_type")
-    rows = rows.join(years.select(F.col("group").alias("id"), "year"), "id", "left")
+    rows = dealt(rows, parts, "id").join(years.select(F.col("group").alias("id"), "year"), "id", "left")
     return rows.select("id", "mbid", "name", "primary_type", "artist_id", "year")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import dealt, stage
+
 MOST_OF_A_NAME = 10_000  # artists of one name that go to every task
 
 def tagged(masters: DataFrame) -> DataFrame:
@@ -18,11 +20,12 @@ def tagged(masters: DataFrame) -> DataFrame:
     return rows.select("artist", F.explode("tags").alias("t")).select("artist", "t.name", "t.is_style").where("name <> ''")
 
 
-def counts(tags: DataFrame, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(artist, name, is_style, releases) of the wanted artists (and, where given, known ones)."""
-    tags = tags.join(wanted.select("artist"), "artist", "left_semi")
+def counts(tags: DataFrame, wanted: DataFrame, known: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(artist, name, is_style, releases) of the wanted artists (and, where given, known ones). parts: as for dealt(); an
+    artist's tags are then counted where they meet the wanted ones."""
+    tags = dealt(tags, parts, "artist").join(dealt(wanted.select("artist"), parts, "artist"), "artist", "left_semi")
     if known is not None:
-        tags = tags.join(known.select("artist"), "artist", "left_semi")
+        tags = tags.join(dealt(known.select("artist"), parts, "artist"), "artist", "left_semi")
     return tags.groupBy("artist", "name", "is_style").agg(F.count(F.lit(1)).alias("releases"))
 
 
@@ -31,16 +34,16 @@ def vocabulary(tags: DataFrame) -> DataFrame:
     counting those before its first letter's group and within it, so that no task numbers the whole vocabulary."""
     from pyspark.sql import Window
 
-    words = tags.select("name", "is_style").distinct().withColumn("part", F.substring("name", 1, 1))
+    words = stage(tags.select("name", "is_style").distinct().withColumn("part", F.substring("name", 1, 1)), "words")  # read twice, and all tags else
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("name", "is_style")))
     return ranked.join(before, "part").select((F.col("before") + F.col("rank")).cast("int").alias("id"), "name", "is_style")
 
 
-def summed(counts: DataFrame, mapping: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(artist_id, genre_id, releases): counts of all entries that map to an artist, added up."""
-    rows = counts.join(mapping, "artist").join(vocabulary, ["name", "is_style"])
+def summed(counts: DataFrame, mapping: DataFrame, vocabulary: DataFrame, parts: int | None = None) -> DataFrame:
+    """(artist_id, genre_id, releases): counts of all entries that map to an artist, added up. parts: as in counts()."""
+    rows = counts.join(dealt(mapping, parts, "artist"), "artist").join(vocabulary, ["name", "is_style"])
     return rows.groupBy("artist_id", F.col("id").alias("genre_id")).agg(F.sum("releases").alias("releases"))
 
 

@@ -23,10 +23,15 @@ def is_entity(line: Column) -> Column:
     return ~_body(line).isin("", "[", "]") & F.from_json(_body(line), "id string")["id"].isNotNull()
 
 
+def _once(value: Column) -> Column:
+    """The value, worked out once for a row: Spark copies what an alias stands for into each later condition that names it,
+    but not what comes out of an explode."""
+    return F.explode_outer(F.array(value))
+
+
 def entities(lines: DataFrame) -> DataFrame:
     """Entities of text lines (value): an array's brackets, blank and malformed lines go."""
-    body = _body(F.col("value"))
-    rows = lines.select(body.alias("body")).where(~F.col("body").isin("", "[", "]")).select(F.from_json("body", ENTITY).alias("e"))
+    rows = lines.select(_once(_body(F.col("value"))).alias("body")).where(~F.col("body").isin("", "[", "]")).select(_once(F.from_json("body", ENTITY)).alias("e"))
     return rows.where("e.id is not null").select("e.*")
 
 
@@ -37,7 +42,7 @@ def values(claims: Column, prop: str) -> Column:
 
 def linked(claims: Column, prop: str) -> Column:
     """array<int>: the Q-numbers that a property's values name."""
-    numbers = F.transform(values(claims, prop), lambda v: item_number(F.get_json_object(v, "$.id")))
+    numbers = F.transform(F.transform(values(claims, prop), lambda v: F.get_json_object(v, "$.id")), item_number)
     return F.coalesce(F.filter(numbers, lambda n: n.isNotNull()), F.array().cast("array<int>"))
 
 
@@ -53,16 +58,21 @@ def slim(entities: DataFrame) -> DataFrame:
     return entities.select("id", only("labels", ["en"]).alias("labels"), claims.alias("claims"), only("sitelinks", ["enwiki"]).alias("sitelinks"))
 
 
+#: What facts() gives of each artist, in SQL.
+FACTS = ["artist_id", "qid", "enwiki_title", "origin.qid AS origin_qid", "origin.is_birth AS origin_is_birth", "inception_year", "country_qid", "genres", "labels", "influenced_by"]
+
+
 def facts(entities: DataFrame, artists: DataFrame) -> DataFrame:
     """A row for each known artist. An entity stands for the first of its artist ids that is known; of several
     entities the greatest Q-number wins. Formation goes before birth as origin. Entities without an artist id go, and
     what facts need is taken out of the claims, before anything is shuffled."""
     claims = F.col("claims")
-    formed, born = F.get(linked(claims, FORMED_IN), F.lit(0)), F.get(linked(claims, BORN_IN), F.lit(0))
+    places = F.array(F.struct(F.get(linked(claims, FORMED_IN), F.lit(0)).alias("formed"), F.get(linked(claims, BORN_IN), F.lit(0)).alias("born")))
+    is_birth = lambda p: F.when(p["formed"].isNotNull(), False).when(p["born"].isNotNull(), True)
+    origin = F.transform(places, lambda p: F.struct(F.coalesce(p["formed"], p["born"]).alias("qid"), is_birth(p).alias("is_birth")))[0]
     fact = F.struct(
         F.col("sitelinks")["enwiki"]["title"].alias("enwiki_title"),
-        F.coalesce(formed, born).alias("origin_qid"),
-        F.when(formed.isNotNull(), False).when(born.isNotNull(), True).alias("origin_is_birth"),
+        origin.alias("origin"),
         signed_year(F.get_json_object(F.get(values(claims, INCEPTION), F.lit(0)), "$.time")).alias("inception_year"),
         F.get(linked(claims, COUNTRY), F.lit(0)).alias("country_qid"),
         linked(claims, GENRE).alias("genres"),
@@ -73,7 +83,7 @@ def facts(entities: DataFrame, artists: DataFrame) -> DataFrame:
     items = items.select("qid", F.posexplode_outer("mbids").alias("pos", "mbid"), "fact").where("qid is not null and mbid is not null")
     known = items.join(artists.select(F.col("id").alias("artist_id"), "mbid"), "mbid")
     owned = known.groupBy("qid").agg(F.min_by(F.struct("artist_id", "fact"), "pos").alias("o")).select("o.artist_id", "qid", "o.fact")
-    return owned.groupBy("artist_id").agg(F.max_by(F.struct("qid", "fact"), "qid").alias("f")).select("artist_id", "f.qid", "f.fact.*")
+    return owned.groupBy("artist_id").agg(F.max_by(F.struct("qid", "fact"), "qid").alias("f")).select("artist_id", "f.qid", "f.fact.*").selectExpr(*FACTS)
 
 
 def counted(entities: DataFrame, facts: DataFrame) -> DataFrame:

@@ -148,10 +148,10 @@ def decode_entities(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Runs of blanks become one; parentheses lose edge punctuation and go if empty; marks follow their word."""
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     text = F.regexp_replace(text, r"\([\s;,/–-]*([^()]*?)[\s;,/–-]*\)", "($1)")
     text = F.regexp_replace(text, r" *\(\)", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     return F.regexp_replace(text, r" ([,;.])", "$1")
 
 
@@ -165,11 +165,16 @@ def paragraphs(text: Column, least_bytes: int = 40) -> Column:
 
 def lead(text: Column) -> Column:
     """The prose before the first heading of a wiki text; null for redirects and where nothing remains."""
-    body = F.regexp_extract(text, r"(?sm)\A(.*?)(?:^[ ]*==|\z)", 1)
+    head = lambda x: F.when(F.contains(x, F.lit("==")), F.regexp_extract(x, r"(?sm)\A(.*?)(?:^[ ]*==|\z)", 1)).otherwise(x)
+    # Where none of these stands in a text, no step finds anything; the steps then get null, and Python no text
+    marked = F.contains(text, F.lit("{{")) | F.contains(text, F.lit("<")) | F.contains(text, F.lit("[["))
+    body = head(F.when(marked, text))
     for step in (strip_comments, strip_refs, resolve_templates, strip_tags, strip_files, flatten_links):
         body = step(body)
-    body = tidy(decode_entities(F.regexp_replace(body, r"''+", "")))
-    prose = F.array_join(paragraphs(body), "\n\n")
+    body = F.coalesce(body, head(F.when(~marked, text)))
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    decoded_ = once(F.regexp_replace(body, r"''+", ""), decode_entities)
+    prose = F.array_join(once(decoded_, lambda x: paragraphs(tidy(x))), "\n\n")
     return F.when(text.rlike(r"(?i)\A\s*#redirect"), None).otherwise(F.nullif(prose, F.lit("")))
 
 

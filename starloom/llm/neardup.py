@@ -10,7 +10,10 @@ with all weights 1, where texts agree with just that probability. Texts that agr
 only the registers of weight 1 may rule a candidate out. Shingles that occur once have the same arrivals in both.
 Equal texts are one from the start. In a band's bucket every text is first compared with one of them, and where that
 leaves several classes, with another one, and again; only texts that even then aren't in the last one's class are
-compared with all others there. So a bucket of n near copies costs n, and no link that joins classes is left out.
+compared with all others there, and of these pairs only those become rows that may be similar by what is kept of each
+text: the sketch, and a bitmap of the parities of its shingles, by which two sets differ in as many shingles at least as
+their bitmaps do in bits. So no link that joins classes is left out; a bucket of n near copies makes n rows, and besides
+about as many as it has links between classes.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ STARS = 3  # rounds in which a bucket's texts are compared with one of them, bef
 #: verification: 3.2 deviations below 0.8.
 SKETCH_WORDS = -(-4 * ROWS * BANDS // 64)
 LEAST_ESTIMATE = 0.735
+PARITY_WORDS = 16  # of the bitmap, a power of two; it tells apart sets of up to about 1,000 shingles
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +119,20 @@ def _bands(got: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return bytehash.mix(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def parities(owner: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY_WORDS) bitmaps of n sets of hashes: a bit is set if an odd number of elements fall on it. What two sets
+    share cancels out, so they differ in as many elements at least as their bitmaps do in bits."""
+    bits = PARITY_WORDS.bit_length() + 5
+    at = (element >> np.uint64(64 - bits)).astype(np.int64)
+    out = np.zeros(n * PARITY_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * PARITY_WORDS + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.reshape(n, PARITY_WORDS)
+
+
 #: What tells texts apart: hash, checksum and bytes.
 KEY = ["h", "c", "n"]
+#: What sketches() adds.
+MADE = ["bands", "bits", "parity", "distinct"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -126,8 +142,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame, n_rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, h, c, n, bands, bits) of each row (id, text, h, c, n): the hashes of its bands (those of both weightings, equal
-    ones once) and a short sketch of the registers of weight 1; both lists are null where the text has no word."""
+    """(id, h, c, n, bands, bits, parity, distinct) of each row (id, text, h, c, n): the hashes of its bands (those of both
+    weightings, equal ones once), a short sketch of the registers of weight 1, the bitmap and the number of its shingles;
+    the lists are null where the text has no word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, most_bytes=1_000_000):
@@ -139,10 +156,12 @@ def sketches(rows: DataFrame, n_rows: int = ROWS, bands: int = BANDS) -> DataFra
             low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16)))
             bits = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2])
             empty = pa.array(~got.any(1))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (band, list(bits.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", *KEY)), *(pc.if_else(empty, None, x) for x in lists)], ["id", *KEY, "bands", "bits"])
+            parity = parities(owner, element, len(whole))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (band, list(bits.view(np.int64)), list(parity.view(np.int64)))]
+            distinct = pa.array(np.bincount(owner, minlength=len(whole)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", *KEY)), *(pc.if_else(empty, None, x) for x in lists), distinct], ["id", *KEY, *MADE])
 
-    return bounded_batches(rows.select("id", "text", *KEY), sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>")
+    return bounded_batches(rows.select("id", "text", *KEY), sketch, "id bigint, h bigint, c bigint, n bigint, bands array<bigint>, bits array<bigint>, parity array<bigint>, distinct bigint")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,14 +226,22 @@ def _apart(a: list[str], b: list[str]) -> Column:
     return sum((differ(x, y) for x, y in zip(a, b, strict=True)), F.lit(0))
 
 
-def _sketch(made: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name0, name1, ...): the words of the short sketches."""
-    return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)))
+def _sketch(made: DataFrame, key: str, name: str, bitmap: bool = False) -> DataFrame:
+    """(key, name0, name1, ...): the words of the short sketches; bitmap: name_parity0 ... and name_distinct too."""
+    more = [*(F.col("parity")[k].alias(f"{name}_parity{k}") for k in range(PARITY_WORDS)), F.col("distinct").alias(f"{name}_distinct")]
+    return made.select(F.col("id").alias(key), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH_WORDS)), *(more if bitmap else []))
+
+
+def _within_reach(x: str, y: str, least: float) -> Column:
+    """Whether the sets of shingles of two texts can have Jaccard similarity `least`: they have it if they differ in at
+    most (1 - least) / (1 + least) of their numbers' sum."""
+    differ = sum((F.bit_count(F.col(f"{x}_parity{k}").bitwiseXOR(F.col(f"{y}_parity{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    return differ <= (F.col(f"{x}_distinct") + F.col(f"{y}_distinct")) * ((1 - least) / (1 + least)) + 1e-6
 
 
 def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LEAST, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(verified links, classes) between distinct texts: `made` has their (id, bands, bits), `named` their (id, first, h,
-    c, n), `texts` all rows as _keyed() gives them. Pairs whose short sketches rule them out are never made: that test is
+    """(verified links, classes) between distinct texts: `made` has their (id, *MADE), `named` their (id, first, h, c, n),
+    `texts` all rows as _keyed() gives them. Pairs whose short sketches rule them out are never made: that test is
     part of the joins' conditions; without `sketched` all pairs of a bucket are compared in full. Links inside a class that
     is already joined aren't looked for."""
     made = made.where(F.col("bands").isNotNull())
@@ -252,7 +279,9 @@ def links(made: DataFrame, texts: DataFrame, named: DataFrame, least: float = LE
     # What a bucket then still holds in more than one class: its rest against all that is there, in other classes
     rest = known.where("class <> head_class").select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"))
     other = known.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), (F.col("class") == F.col("head_class")).alias("main"))
-    rest, other = rest.join(_sketch(made, "a", "p"), "a"), other.join(_sketch(made, "b", "q"), "b")
+    rest, other = rest.join(_sketch(made, "a", "p", bitmap=sketched), "a"), other.join(_sketch(made, "b", "q", bitmap=sketched), "b")
+    if sketched:
+        likely = likely & _within_reach("p", "q", least)
     meet = (rest["bucket"] == other["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & likely
     crossed = rest.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = stage(_similar(crossed, own, least), "links")
@@ -275,7 +304,7 @@ def _labelled(rows: DataFrame, least: float, sketched: bool = True) -> tuple[Dat
     made = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
     groups = made.groupBy(*KEY).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
     groups = stage(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
-    chosen = made.withColumnRenamed("id", "first").join(groups.drop("n_copies"), ["first", *KEY]).select("id", "bands", "bits").dropDuplicates(["id"])
+    chosen = made.withColumnRenamed("id", "first").join(groups.drop("n_copies"), ["first", *KEY]).select("id", *MADE).dropDuplicates(["id"])
     _, label = links(chosen, rows, groups.drop("n_copies"), least, sketched)
     joined = stage(groups.join(label, "id", "left").withColumn("class", F.coalesce("class", "id")), "labels")
     top = stage(joined.groupBy("class").agg(F.min(F.struct("first", *KEY)).alias("top")), "tops")

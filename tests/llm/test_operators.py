@@ -241,6 +241,25 @@ def test_near_duplicates_with_blocks_repeated_in_one_text(spark):
     assert got == want
 
 
+def test_near_duplicates_in_a_group_that_misses_the_threshold_make_few_pairs(spark, monkeypatch):
+    rows, copies = [], 200
+    for k in range(copies):
+        text = [f"w{j}" for j in range(150)]
+        for e in range(1 if k % 2 else 4):  # one edit: all alike; four: like none
+            text[(37 * k + 31 * e) % 146 + 2] = f"x{k}e{e}"
+        rows.append((k, " ".join(text)))
+    sizes, similar = [], neardup._similar
+
+    def counted(pairs, own, least):
+        sizes.append(pairs.count())
+        return similar(pairs, own, least)
+
+    monkeypatch.setattr(neardup, "_similar", counted)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: 1 if k % 2 else k for k in range(copies)}
+    assert len(sizes) == 1 + neardup.STARS and sizes[-1] <= copies
+
+
 def test_fingerprints_follow_descending_ids(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)

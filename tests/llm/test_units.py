@@ -330,3 +330,16 @@ def test_lines():
     assert owner.tolist() == [0, 0, 0, 2] and size.tolist() == [9, 13, 9, 1]
     assert own[:, 10].tolist() == [0, 0, 1, 0]
     assert json.dumps(linecrf.lines([])[0].tolist()) == "[]"
+
+
+def test_bitmaps_of_shingles_never_differ_in_more_bits_than_the_sets_do():
+    rng = np.random.default_rng(5)
+    base = bytehash.mix(np.arange(3000, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.permutation(n)[: n - k]], bytehash.mix(rng.integers(1 << 40, size=k).astype(np.uint64))])) for n, k in ((1, 0), (40, 9), (150, 3), (150, 20), (150, 60), (3000, 900))]
+    sets.insert(2, np.zeros(0, np.uint64))
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    maps = neardup.parities(owner, np.concatenate(sets), len(sets))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            bits, apart = int(np.bitwise_count(maps[i] ^ maps[j]).sum()), len(np.setxor1d(x, y))
+            assert bits <= apart and (bits - apart) % 2 == 0 and (apart > 100 or bits >= 0.8 * apart)

@@ -148,3 +148,16 @@ def test_streamed_import_happens_once(spark, tmp_path):
         stream = spark.readStream.schema("id int, name string").parquet(str(tmp_path / "in"))
         import_batches(stream, canon, "stream", lambda b: {"label": b}, str(tmp_path / "state")).awaitTermination()
     assert canon.read("label").count() == 1 and canon.read("dump_import").count() == 1
+
+
+def test_layout_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = edges(spark, [(i, i + 1, 0.5) for i in range(50)])
+    assert layout.run(e.mapInArrow(counted, e.schema), iterations=2).count() == 51
+    assert read.value == 50

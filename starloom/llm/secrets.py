@@ -143,9 +143,10 @@ def labelled_findings(docs: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
     blind = F.when(issued, F.col("before")).otherwise(F.regexp_replace(unnamed, SHOWN, " "))
     kept = stage(found.withColumn("label", label).where("label is not null").select("value", blind.alias("before"), "after", "label", F.lit(REAL_WEIGHT).alias("weight")), "labelled")
     n = {r.label: r.n for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [kept.where((F.col("label") == y) & (F.pmod(F.xxhash64("value"), F.lit(max(1, n.get(y, 0) // most))) == 0)) for y in (0.0, 1.0)]
-    both = chosen[0].unionByName(chosen[1])
-    return both.unionByName(both.select("value", F.lit("").alias("before"), F.lit("").alias("after"), "label", "weight"))
+    one_in = [F.lit(max(1, n.get(y, 0) // most)) for y in (0.0, 1.0)]
+    chosen = kept.where(F.pmod(F.xxhash64("value"), F.when(F.col("label") == 0.0, one_in[0]).otherwise(one_in[1])) == 0)
+    alone = F.struct("value", F.lit("").alias("before"), F.lit("").alias("after"), "label", "weight")
+    return chosen.select(F.inline(F.array(F.struct(*chosen.columns), alone)))
 
 
 #: Kinds of labelled findings made by rule, beside the corpus's own: (kind, label, text before, value, text after). In
@@ -159,7 +160,8 @@ KINDS = [
 
 
 def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) -> DataFrame:
-    """(kind, value, before, after, label, weight): `each` findings of each kind, made from counters by hashing."""
+    """(kind, value, before, after, label, weight): `each` findings of each kind, made from counters by hashing. One
+    reading of the counters makes all kinds: each reading costs the driver a buffer of some megabytes."""
     n = spark.range(each).select(F.col("id"), *(F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512).alias(k) for k in ("h", "x", "y")))
     mixed = F.translate(F.concat("x", F.upper("y")), "0123456789abcdefABCDEF", "3KmP8vRz4tQhw7XfLpgZJdBn")
     sources = {"h": F.col("h"), "u": F.translate(F.upper("h"), "01", "XY"), "d": F.translate("h", "abcdef", "314159"), "m": F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.concat(F.substring(mixed, k, F.lit(1)), F.substring(mixed, k + 128, F.lit(1)))))}
@@ -177,11 +179,8 @@ def decoys(spark: SparkSession, kinds: list[tuple] = KINDS, each: int = 120) ->
                 out.append(F.lit(part))
         return F.concat(*out)
 
-    rows = [n.select(F.lit(k).alias("kind"), made(v).alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label"), F.lit(1.0).alias("weight")) for k, y, b, v, a in kinds]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = [F.struct(F.lit(k).alias("kind"), made(v).alias("value"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label"), F.lit(1.0).alias("weight")) for k, y, b, v, a in kinds]
+    return n.select(F.inline(F.array(*rows)))
 
 
 def _tree(node) -> tuple | float:
@@ -216,9 +215,9 @@ class Forest:
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> Forest:
     """A forest from labelled findings (value, before, after, label, weight)."""
     c = F.struct("value", "before", "after")
-    findings = stage(findings, "findings")  # of many branches, each of which would get the features' expressions
-    rows = findings.select("label", "weight", *(f.alias(n) for n, f in zip(FEATURES, features(c, words), strict=True)))
-    rows = stage(rows.repartition(2), "features")
+    # Dealt first, so that the features' expressions stand once, not in each branch that the findings come from
+    rows = findings.repartition(2).select("label", "weight", *(f.alias(n) for n, f in zip(FEATURES, features(c, words), strict=True)))
+    rows = stage(rows, "features")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(ready)
     return Forest([_tree(t._call_java("rootNode")) for t in model.trees], words)
